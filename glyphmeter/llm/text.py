@@ -141,3 +141,27 @@ def window_hashes(w: Words, width: int, powers: Powers) -> tuple[np.ndarray, np.
     before = np.cumsum(counts) - counts
     at = np.arange(counts.sum()) + np.repeat(w.first[:-1] - before, counts)
     return mix((total[at + width] - total[at]) * down[at]), at
+
+
+def flat(column: pa.Array, pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Row offsets and bytes of each text as `pad` spaces, then its words with one space after each."""
+    offsets, raw = normalised(column)
+    inside = raw != 0
+    rows = len(offsets) - 1
+    take = inside.copy()
+    take[1:] |= inside[:-1]  # the first separator after a word
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    take[heads] = inside[heads]
+    count = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(take, out=count[1:])
+    kept = count[offsets[1:]] - count[offsets[:-1]]
+    closed = np.zeros(rows, np.int64)  # a last word that nothing ends gets its space
+    full = np.flatnonzero(offsets[:-1] < offsets[1:])
+    closed[full] = inside[offsets[1:][full] - 1]
+    at = np.zeros(rows + 1, np.int64)
+    np.cumsum(kept + closed + pad, out=at[1:])
+    out = np.full(at[-1], 32, np.uint8)
+    picked = raw[take]
+    picked[picked == 0] = 32
+    out[np.arange(len(picked)) + np.repeat(at[:-1] + pad - count[offsets[:-1]], kept)] = picked
+    return at, out
