@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmeter.llm import bpe, token_counts
+from glyphmeter.llm import bpe, pii, simhash, token_counts, warc
 from glyphmeter.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their personal numbers, dates and addresses pseudonymised."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seekable bundles of all pages."""
+    return warc.bundles(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among documents."""
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded again."""
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op9_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op6_warc, op7_simhash, op9_bpe)}
 ORACLES: dict[str, str] = {}
