@@ -182,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = low.groupBy("a").agg(F.min("b").alias("m"))
         small_star = low.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = checkpoint(small_star.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum("a"), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
