@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmeter.llm import bpe, pii, simhash, token_counts, warc
+from glyphmeter.llm import bpe, decontamination, language, pii, simhash, token_counts, warc
 from glyphmeter.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in documents."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded again."""
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op6_warc, op7_simhash, op9_bpe)}
-ORACLES: dict[str, str] = {}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language family and language of each document, from machines trained on a bounded sample of its lang labels."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op6_warc, op7_simhash, op8_decontamination, op9_bpe, op10_language)}
+ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE}
