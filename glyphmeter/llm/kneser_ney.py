@@ -70,6 +70,7 @@ class Lookup:
     """uint64 keys to float32 values: one hashed slot each, and a sorted overflow."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
+        """key: distinct, sorted."""
         self.bits = max(4, int(len(key)).bit_length() + 2)
         slot = self._slot(key)
         owner = np.full(1 << self.bits, -1, np.int64)
@@ -81,6 +82,16 @@ class Lookup:
         rest = np.flatnonzero(owner[slot] != np.arange(len(key)))
         self.rest, self.rest_value = key[rest], value[rest].astype(np.float32)
 
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Lookup:
+        self = cls.__new__(cls)
+        self.key, self.value, self.rest, self.rest_value = (arrays[x] for x in ("key", "value", "rest", "rest_value"))
+        self.bits = len(self.key).bit_length() - 1
+        return self
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {x: getattr(self, x) for x in ("key", "value", "rest", "rest_value")}
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
@@ -105,6 +116,14 @@ class Model:
     gram: Lookup
     context: Lookup
 
+    @classmethod
+    def of(cls, order: int, arrays: dict[str, np.ndarray]) -> Model:
+        part = lambda p: Lookup.of({k[1:]: v for k, v in arrays.items() if k[0] == p})
+        return cls(order, part("g"), part("c"))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {p + k: v for p, x in (("g", self.gram), ("c", self.context)) for k, v in x.arrays().items()}
+
     def ratios(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: the sum of the log-ratios over its bytes, and how many there are."""
         first, key = keys(column, self.order)

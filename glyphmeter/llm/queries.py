@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmeter.llm import bpe, decontamination, language, pii, simhash, token_counts, warc
+from glyphmeter.llm import bpe, decontamination, language, pii, simhash, token_counts, toxicity, warc
 from glyphmeter.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and decision of each document, from models of all labelled documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seekable bundles of all pages."""
     return warc.bundles(table(spark, sf_dir, "pages"))
@@ -48,5 +53,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op6_warc, op7_simhash, op8_decontamination, op9_bpe, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_toxicity, op6_warc, op7_simhash, op8_decontamination, op9_bpe, op10_language)}
 ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE}
