@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmeter.llm import bpe, decontamination, language, pii, simhash, substring, token_counts, toxicity, warc
+from glyphmeter.llm import bpe, decontamination, language, media, pii, simhash, substring, token_counts, toxicity, warc
 from glyphmeter.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True types and embedded media of a media column: the tables have none, so it is made of the documents."""
+    return media.inspect(media.packed(table(spark, sf_dir, "documents")))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that documents repeat."""
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
@@ -58,5 +63,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_toxicity, op5_substring, op6_warc, op7_simhash, op8_decontamination, op9_bpe, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_toxicity, op4_media, op5_substring, op6_warc, op7_simhash, op8_decontamination, op9_bpe, op10_language)}
 ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE}
