@@ -1,11 +1,16 @@
 """SimHash near-duplicates through covering locality-sensitive hashing.
 
-A text's fingerprint has 64 bits: each of its distinct words votes with 1 + ln(count).  A second one, of its
-pairs of adjacent words, tells apart texts that only share the frequent words of a language.  Two texts are
-near if at most `radius` bits of the first and at most CHECK of the second differ.  Candidates come from 2**(radius + 1) - 1 bit masks (Pagh's
-covering construction): each bit gets a random vector of radius + 1 bits, and mask v keeps the bits whose
-vector has an odd inner product with v.  Whatever bits a pair differs in, if they are no more than radius
-some v is orthogonal to all their vectors, so under that mask the pair is equal: none is missed.
+A text has LANES independent fingerprints of 64 bits: each of its distinct words votes with 1 + ln(count), in
+every lane with other bits.  One more, the mark, is of its pairs of adjacent words: it tells apart texts that
+only share the frequent words of a language.  Two texts are near if their marks are equal, or if at most CHECK
+bits of the marks and at most `radius` bits of the fingerprints of some lane differ.  (Of two texts whose
+fingerprints are expected to differ in 6 bits, 4 lanes of radius 5 find 0.92, one lane of radius 7 finds 0.77,
+with as many tables.)
+
+Candidates of a lane come from 2**(radius + 1) - 1 bit masks (Pagh's covering construction): each bit gets a
+random vector of radius + 1 bits, and mask v keeps the bits whose vector has an odd inner product with v.
+Whatever bits a pair differs in, if they are no more than radius some v is orthogonal to all their vectors, so
+under that mask the pair is equal: none is missed.
 """
 
 from __future__ import annotations
@@ -20,9 +25,11 @@ from pyspark.sql import functions as F
 from glyphmeter.llm import text as tx
 from glyphmeter.llm.shared import checkpoint, small
 
-RADIUS = 7
-#: Unrelated texts differ in 32 +- 4 bits of the second fingerprint.
+RADIUS = 5
+LANES = 4
+#: Unrelated texts differ in 32 +- 4 bits of the mark.
 CHECK = 18
+PRINTS = [f"fp{k}" for k in range(LANES)]
 #: Bytes of fingerprints that one task compares, and fingerprints that one task spreads at once.
 TASK_BYTES = 12 << 20
 SPREAD = 1 << 13
@@ -31,8 +38,8 @@ ALL_PAIRS = 8
 SEED = 20250711
 
 
-def _votes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have any feature, and the 64 bits that the features of each vote for."""
+def _votes(row: np.ndarray, hashes: np.ndarray, rows: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have any feature, and the bits that the features of each vote for: a row of numbers per lane."""
     bits = np.uint64(max(1, rows.bit_length()))
     key = (row.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
     key.sort()
@@ -40,36 +47,35 @@ def _votes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray,
     weight = (1 + np.log(np.diff(np.append(heads, len(key))))).astype(np.float32)
     key = key[heads]
     row = (key >> (np.uint64(64) - bits)).astype(np.int64)
-    feature = tx.mix((key & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))) >> (np.uint64(24) - bits))  # the top 40 bits of the hash, however many rows there are
+    # the top 40 bits of the hash, however many rows there are
+    feature = (key & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))) >> (np.uint64(24) - bits)
     starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     total = np.add.reduceat(weight, starts)
-    value = np.zeros(len(starts), np.uint64)
-    for b in range(64):
-        ones = np.add.reduceat(weight * ((feature >> np.uint64(b)) & np.uint64(1)).astype(np.float32), starts)
-        value |= (2 * ones > total).astype(np.uint64) << np.uint64(b)
+    value = np.zeros((lanes, len(starts)), np.uint64)
+    for lane in range(lanes):
+        vote = tx.mix(feature + np.uint64(lane << 40))
+        for b in range(64):
+            ones = np.add.reduceat(weight * ((vote >> np.uint64(b)) & np.uint64(1)).astype(np.float32), starts)
+            value[lane] |= (2 * ones > total).astype(np.uint64) << np.uint64(b)
     return row[starts], value
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The two fingerprints of each text, and whether it has any: texts without words have none."""
-    first, second, has = np.zeros(len(column), np.uint64), np.zeros(len(column), np.uint64), np.zeros(len(column), np.bool_)
+    """Each text's fingerprints (a row per lane), its mark, and whether it has any: texts without words have none."""
+    prints, mark, has = np.zeros((LANES, len(column)), np.uint64), np.zeros(len(column), np.uint64), np.zeros(len(column), np.bool_)
     for at, part in tx.slices(column):
         w = tx.words(part)
         if not len(w.hash):
             continue
         row = w.row()
-        to, value = _votes(row, w.hash, len(part))
-        first[at + to], has[at + to] = value, True
-        second[at + to] = value
+        to, value = _votes(row, w.hash, len(part), LANES)
+        prints[:, at + to], has[at + to] = value, True
+        mark[at + to] = value[0]  # of a text of one word, which has no pair
         pair = row[1:] == row[:-1]
-        if pair.any():  # a text of one word has no pair, and its word's votes again
-            to, value = _votes(row[1:][pair], tx.mix(w.hash[:-1][pair] * np.uint64(3) + w.hash[1:][pair]), len(part))
-            second[at + to] = value
-    return first, second, has
-
-
-def node(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return tx.mix(first + tx.mix(second))
+        if pair.any():
+            to, value = _votes(row[1:][pair], tx.mix(w.hash[:-1][pair] * np.uint64(3) + w.hash[1:][pair]), len(part), 1)
+            mark[at + to] = value[0]
+    return prints, mark, has
 
 
 def masks(radius: int, seed: int = SEED) -> np.ndarray:
@@ -80,20 +86,20 @@ def masks(radius: int, seed: int = SEED) -> np.ndarray:
     return (odd << np.arange(64, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
 
 
-def edges_of(fp: np.ndarray, check: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def edges_of(fp: np.ndarray, mark: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs that agree under the mask and are near.
 
     In a group of more than ALL_PAIRS, only a spanning forest of its near pairs: it connects the same ones.
     """
     key = fp & mask
     order = np.argsort(key, kind="stable")
-    key, fp, check = key[order], fp[order], check[order]
+    key, fp, mark = key[order], fp[order], mark[order]
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(heads, len(key)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(check[i] ^ check[j]) <= CHECK)
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(mark[i] ^ mark[j]) <= CHECK)
 
     for head, size in zip(heads[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS]):
         rest = np.arange(head, head + size)
@@ -118,51 +124,52 @@ def edges_of(fp: np.ndarray, check: np.ndarray, mask: np.uint64, radius: int) ->
 
 
 def near_pairs(prints: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
-    """a, b: edges (of nodes) that connect exactly what the near pairs of the distinct fingerprints fp, fp2 connect.
+    """a, b: edges between marks that connect exactly what the near pairs of the distinct rows (PRINTS, mark) connect.
 
-    Each pair of fingerprints goes to the task of its value under each mask; only its 16 bytes travel, since
-    the receiver masks again.  The tasks grow with count * masks, their size doesn't.
+    A fingerprint goes, with its mark, to the task of its value under each mask of its lane; only these 16
+    bytes travel, since the receiver masks again.  The tasks grow with count * tables, their size doesn't.
     """
-    all_masks = masks(radius)
-    parts = max(1, -(-count * len(all_masks) * 16 // TASK_BYTES))
-    lanes = max(1, min(parts, count // SPREAD))
+    tables = [(lane, mask) for lane in range(LANES) for mask in masks(radius)]
+    parts = max(1, -(-count * len(tables) * 16 // TASK_BYTES))
+    tasks = max(1, min(parts, count // SPREAD))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")]
+            prints, marks = np.stack([batch.column(c).to_numpy() for c in PRINTS]).view(np.uint64), batch.column("mark").to_numpy().view(np.uint64)
             for at in range(0, batch.num_rows, SPREAD):
-                fp, check = (x[at : at + SPREAD] for x in whole)
-                to = np.empty((len(all_masks), len(fp)), np.int32)
-                for t, mask in enumerate(all_masks):
-                    to[t] = (tx.mix((fp & mask) + np.uint64(t)) % np.uint64(parts)).astype(np.int32)
+                fp, mark = prints[:, at : at + SPREAD], marks[at : at + SPREAD]
+                to = np.empty((len(tables), len(mark)), np.int32)
+                for t, (lane, mask) in enumerate(tables):
+                    to[t] = (tx.mix((fp[lane] & mask) + np.uint64(t)) % np.uint64(parts)).astype(np.int32)
                 to = to.ravel()
-                order = np.argsort(to, kind="stable")  # by part, then by mask
+                order = np.argsort(to, kind="stable")  # by part, then by table
                 ends = np.searchsorted(to[order], np.arange(parts + 1))
-                t, k = order // len(fp), order % len(fp)
+                t, k = order // len(mark), order % len(mark)
+                own, marked = fp[t // (len(tables) // LANES), k], mark[k]
                 used = np.flatnonzero(np.diff(ends))
                 spans = [slice(ends[p], ends[p + 1]) for p in used]
                 columns = [
                     pa.array(used, pa.int32()),
-                    pa.array([np.bincount(t[x], minlength=len(all_masks)).astype(np.int32).tobytes() for x in spans], pa.binary()),
-                    pa.array([fp[k[x]].tobytes() for x in spans], pa.binary()),
-                    pa.array([check[k[x]].tobytes() for x in spans], pa.binary()),
+                    pa.array([np.bincount(t[x], minlength=len(tables)).astype(np.int32).tobytes() for x in spans], pa.binary()),
+                    pa.array([own[x].tobytes() for x in spans], pa.binary()),
+                    pa.array([marked[x].tobytes() for x in spans], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "sizes", "fp", "fp2"])
+                yield pa.RecordBatch.from_arrays(columns, ["part", "sizes", "fp", "mark"])
 
     def compare(group: pa.Table) -> pa.Table:
         sizes = [np.frombuffer(b, np.int32) for b in group.column("sizes").to_pylist()]
-        first, second = ([np.frombuffer(b, np.uint64) for b in group.column(c).to_pylist()] for c in ("fp", "fp2"))
+        prints, marks = ([np.frombuffer(b, np.uint64) for b in group.column(c).to_pylist()] for c in ("fp", "mark"))
         at = [np.concatenate(([0], np.cumsum(s))) for s in sizes]
         pairs = [np.zeros((0, 2), np.int64)]
-        for t, mask in enumerate(all_masks):
-            fp, check = (np.concatenate([p[o[t] : o[t + 1]] for p, o in zip(x, at)]) for x in (first, second))
-            i, j = edges_of(fp, check, mask, radius)
-            a, b = (node(fp[x], check[x]).view(np.int64) for x in (i, j))
-            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        for t, (_, mask) in enumerate(tables):
+            fp, mark = (np.concatenate([p[o[t] : o[t + 1]] for p, o in zip(x, at)]) for x in (prints, marks))
+            i, j = edges_of(fp, mark, mask, radius)
+            a, b = mark[i].view(np.int64), mark[j].view(np.int64)
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
         both = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    sent = prints.select("fp", "fp2").repartition(lanes).mapInArrow(spread, "part int, sizes binary, fp binary, fp2 binary")
+    sent = prints.select(*PRINTS, "mark").repartition(tasks).mapInArrow(spread, "part int, sizes binary, fp binary, mark binary")
     return sent.groupBy("part").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -197,26 +204,26 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, int]:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second, has = fingerprints(batch.column("text"))
-            prints = [pa.array(x.view(np.int64), mask=~has) for x in (first, second, node(first, second))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *prints], ["doc_id", "text_hash", "fp", "fp2", "node"])
+            prints, mark, has = fingerprints(batch.column("text"))
+            columns = [pa.array(x.view(np.int64), mask=~has) for x in (*prints, mark)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", *PRINTS, "mark"])
 
     hashed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    read_rows = hashed.mapInArrow(read, "doc_id bigint, text_hash bigint, fp bigint, fp2 bigint, node bigint").where("fp is not null")
-    rows = checkpoint(read_rows.groupBy("doc_id", "text_hash", "fp", "fp2", "node").agg(F.count("*").alias("copies")))
-    prints = checkpoint(rows.select("fp", "fp2").distinct())
-    roots = components(near_pairs(prints, prints.count(), radius)).withColumnRenamed("node", "member")
-    joined = rows.join(small(roots, roots.count(), 16), F.col("node") == F.col("member"), "left").select("doc_id", "text_hash", "fp", "copies", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("fp").alias("f"))
+    read_rows = hashed.mapInArrow(read, f"doc_id bigint, text_hash bigint, {', '.join(f'{c} bigint' for c in PRINTS)}, mark bigint").where("mark is not null")
+    rows = checkpoint(read_rows.groupBy("doc_id", "text_hash", *PRINTS, "mark").agg(F.count("*").alias("copies")))
+    prints = checkpoint(rows.select(*PRINTS, "mark").distinct())
+    roots = components(near_pairs(prints, prints.count(), radius))
+    joined = rows.join(small(roots, roots.count(), 16), F.col("mark") == F.col("node"), "left").select("doc_id", "text_hash", *PRINTS, "copies", F.coalesce("root", "mark").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), *PRINTS)
     best = joined.groupBy("root").agg(F.min(order).alias("best"), F.sum("copies").alias("group_rows")).where("group_rows > 1")
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("best.f")))
+    distance = F.least(*(F.bit_count(F.col(c).bitwiseXOR(F.col(f"best.{c}"))) for c in PRINTS))
     found = joined.join(best, "root").select("doc_id", "text_hash", "copies", "group_rows", F.col("best.d").alias("kept_id"), distance.alias("distance"), (order == F.col("best")).alias("keep"))
     found = checkpoint(found)
     return found, found.count()
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, duplicate_of, distance, group_rows of each document that another one of its group stands for.
+    """doc_id, duplicate_of, distance (the least of any lane), group_rows of each document that another one of its group stands for.
 
     Groups are the connected components of the near pairs; the member with the least doc_id stays.  Null,
     empty and wordless texts are in no group.  A row that repeats another one entirely is its duplicate.
