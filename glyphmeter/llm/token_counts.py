@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmeter.llm import bpe
+from glyphmeter.llm.shared import checkpoint
 
 #: Lengths a bucket of the two-level suffix sums holds.
 BUCKET = 4096
@@ -32,7 +33,7 @@ def histogram(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(n, pa.int64())], ["n_tokens", "documents"])
 
     partial = docs.select("text").mapInArrow(run, "n_tokens bigint, documents bigint")
-    return partial.groupBy("n_tokens").agg(F.sum("documents").alias("documents"))
+    return checkpoint(partial.groupBy("n_tokens").agg(F.sum("documents").alias("documents")))  # so that texts are encoded once
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:
