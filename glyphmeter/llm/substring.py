@@ -43,17 +43,23 @@ def windows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def cells(h: np.ndarray, row: int, size: int) -> np.ndarray:
-    """The counter of each window in one row of the sketch; size is a power of two."""
-    return tx.mix(h + np.uint64(_SALT * (row + 1) % 2**64)) & np.uint64(size - 1)
+    """The counter of each window in one row of the sketch."""
+    return tx.mix(h + np.uint64(_SALT * (row + 1) % 2**64)) % np.uint64(size)
+
+
+def shape(estimate: int) -> tuple[int, int]:
+    """Slices of a row and counters of a slice for about so many windows."""
+    size = min(max(1 << 16, LOAD * estimate), MOST)
+    slices = -(-size // SLICE)
+    return slices, -(-size // slices // 8) * 8
 
 
 def gaps(sorted_cells: np.ndarray) -> bytes:
-    """Distinct ascending numbers as their gaps, in the unsigned type that fits the usual gap; the type's greatest value adds up."""
+    """Distinct ascending numbers as their gaps, in the unsigned type that takes the fewest bytes; the type's greatest value adds up."""
     if not len(sorted_cells):
         return b""
     gap = np.diff(sorted_cells.astype(np.int64), prepend=-1)
-    usual = gap.mean()
-    kind = next(k for k in (1, 2, 4, 8) if usual * 4 < 256**k or k == 8)
+    kind = min((1, 2, 4, 8), key=lambda k: k * (len(gap) + (int((gap // (256**k - 1)).sum()) if k < 8 else 0)))
     if kind == 8:
         return b"\x08" + gap.astype("<u8").tobytes()
     most = 256**kind - 1
@@ -72,11 +78,9 @@ def ungaps(data: bytes) -> np.ndarray:
     return total if kind == 8 else total[values != 256**kind - 1]
 
 
-def sketch(docs: DataFrame, width: int, size: int) -> str:
+def sketch(docs: DataFrame, width: int, slices: int, span: int) -> str:
     """The folder with, per row and slice, the bits of the counters that reach 2."""
     uri = folder(docs.sparkSession, "sketch")
-    slices = max(1, size // SLICE)
-    span = size // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -84,7 +88,7 @@ def sketch(docs: DataFrame, width: int, size: int) -> str:
         def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(held)
             for row in range(ROWS):
-                cell = cells(h, row, size)
+                cell = cells(h, row, slices * span)
                 cell.sort()
                 heads = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
                 twice = np.diff(np.append(heads, len(cell))) > 1
@@ -127,9 +131,8 @@ def sketch(docs: DataFrame, width: int, size: int) -> str:
 class Estimates:
     """Which windows the merged sketch estimates to occur twice."""
 
-    def __init__(self, uri: str, size: int) -> None:
-        self.uri, self.size, self.slices = uri, size, max(1, size // SLICE)
-        self.span = size // self.slices
+    def __init__(self, uri: str, slices: int, span: int) -> None:
+        self.uri, self.size, self.span = uri, slices * span, span
         self.bits: dict[tuple[int, int], np.ndarray] = {}
 
     def _load(self, row: int, part: int) -> np.ndarray:
@@ -180,13 +183,13 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     estimate = max(1, size_of // 6)  # words; the sketch's size is a matter of efficiency only
-    size = 1 << min(max(16, (LOAD * estimate - 1).bit_length()), MOST.bit_length() - 1)
-    uri = sketch(docs, width, size)
+    slices, span = shape(estimate)
+    uri = sketch(docs, width, slices, span)
     parts = max(1, -(-estimate * 12 // 3 // TASK_BYTES))
     homes = max(1, -(-size_of // TEXT_BYTES))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        estimates = Estimates(uri, size)
+        estimates = Estimates(uri, slices, span)
         for batch in batches:
             for first, piece in tx.slices(batch.column("text"), 1 << 23):
                 found = []
