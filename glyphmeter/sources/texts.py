@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from glob import glob
@@ -44,9 +45,11 @@ def read_json(spark: SparkSession, path: str | list[str], rank: int = 0) -> Data
     out = []
     for p in paths:
         with open(p, encoding="utf-8", errors="replace") as f:
-            head = f.read(4096).lstrip()
-        lines = head.split("\n", 1)
-        whole = head.startswith("[") or (len(lines) > 1 and not lines[1].lstrip().startswith("{")) or lines[0].strip() == "{"
+            first = next((line for line in f if line.strip()), "")
+        try:
+            whole = not isinstance(json.loads(first), dict)
+        except ValueError:
+            whole = first.lstrip()[:1] in ("[", "{") and len(first.strip()) <= 2 or first.lstrip().startswith("[")
         df = spark.read.schema("text string").json(p, multiLine=whole)
         out.append(_clean(df.select("text", "_metadata"), rank))
     rows = out[0]
