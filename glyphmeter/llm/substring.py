@@ -3,8 +3,9 @@
 Every window of WINDOW words is counted in a sketch of ROWS rows of counters that saturate at 2.  Map tasks
 send, per slice of a row, which counters they raise (gap-coded); one task per slice merges them and writes
 which counters reached 2.  Merged counts never underestimate, so in the second pass each window that occurs
-twice has all its counters at 2: only windows estimated repeated are grouped, exactly, by 96 bits of hash,
-and what really repeats becomes maximal spans.
+twice has all its counters at 2: only windows estimated repeated are grouped, exactly, by 96 bits of hash.
+A window travels as its hash and its place in its batch of texts; what really repeats goes back to the batch,
+whose texts were sent there directly, and becomes maximal spans.
 """
 
 from __future__ import annotations
@@ -26,20 +27,18 @@ ROWS = 2
 LOAD = 4
 SLICE = 1 << 26
 MOST = 1 << 36
-#: Bytes of windows' hashes that one task groups, and bytes of text of which one task merges the spans.
+#: Bytes of windows' hashes that one task groups.
 TASK_BYTES = 12 << 20
-TEXT_BYTES = 256 << 20
 _POWERS = tx.Powers(0xD6E8FEB86659FD93)
 _SALT = 0xA0761D6478BD642F
 SCHEMA = "doc_id bigint, text_hash bigint, start_word int, end_word int, words int, occurrences bigint"
 
 
 def windows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: its row, the number of its first word in the text, its hash."""
+    """The first word of each row (rows + 1, counted through the column), and of each window its first word and its hash."""
     w = tx.words(column)
     h, at = tx.window_hashes(w, width, _POWERS)
-    row = w.row()[at]
-    return row, at - w.first[row], h
+    return w.first, at, h
 
 
 def cells(h: np.ndarray, row: int, size: int) -> np.ndarray:
@@ -159,26 +158,14 @@ class Estimates:
         return at
 
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values start."""
-    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-
-
-def _pack(doc: np.ndarray, position: np.ndarray) -> dict[str, bytes]:
-    """Windows in the order of their documents: document numbers as runs, positions as steps."""
-    heads = _runs(doc)
-    step = np.diff(position, prepend=0).astype(np.int32)
-    return {"docs": doc[heads].astype(np.int32).tobytes(), "lengths": np.diff(np.append(heads, len(doc))).astype(np.int32).tobytes(), "steps": step.tobytes()}
-
-
 def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, start_word, end_word (exclusive), words, occurrences of each maximal repeated span.
 
     A window repeats if its words occur twice or more in the corpus, in one text or in several; spans are
     unions of overlapping or adjoining repeated windows, occurrences the most that any of its windows has.
     Words are runs of letters and digits of the lower-cased whole text.  Texts under `width` words, nulls and
-    empty ones have none; equal rows (doc_id and text) share their spans, given once; a null doc_id stays
-    null.  Columns other than doc_id and text play no part.
+    empty ones have none; each of several equal rows has its spans; a null doc_id stays null.  Columns other
+    than doc_id and text play no part.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -186,91 +173,86 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     slices, span = shape(estimate)
     uri = sketch(docs, width, slices, span)
     parts = max(1, -(-estimate * 12 // 3 // TASK_BYTES))
-    homes = max(1, -(-size_of // TEXT_BYTES))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         estimates = Estimates(uri, slices, span)
         for batch in batches:
-            for first, piece in tx.slices(batch.column("text"), 1 << 23):
-                found = []
-                for at, part in tx.slices(piece):
-                    row, position, h = windows(part, width)
-                    k = estimates.repeated(h)
-                    found.append((row[k] + at, position[k], h[k]))
-                row, position, h = (np.concatenate(x) for x in zip(*found))
-                if not len(h):
-                    continue
-                to = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[order], np.arange(parts + 1))
-                ids, hashes = (batch.column(c).slice(first, len(piece)) for c in ("doc_id", "text_hash"))
-                rows = []
-                for p in np.flatnonzero(np.diff(ends)).tolist():
-                    k = order[ends[p] : ends[p + 1]]
-                    own = np.unique(row[k])
-                    check = (tx.mix(h[k] * np.uint64(_SALT)) >> np.uint64(32)).astype(np.uint32)
-                    rows.append({"part": p, "ids": ids.take(pa.array(own)).to_pylist(), "texts": hashes.take(pa.array(own)).to_pylist(), "hash": h[k].tobytes(), "check": check.tobytes()} | _pack(np.searchsorted(own, row[k]), position[k]))
-                yield pa.RecordBatch.from_pylist(rows, candidate_schema)
+            place, hashes, firsts, base = [], [], [], 0
+            for _, part in tx.slices(batch.column("text")):
+                first, at, h = windows(part, width)
+                k = estimates.repeated(h)
+                place.append(base + at[k])
+                hashes.append(h[k])
+                firsts.append(base + first[:-1])
+                base += int(first[-1])
+            if not batch.num_rows or not sum(map(len, place)):
+                continue
+            place, h, firsts = (np.concatenate(x) for x in (place, hashes, firsts))
+            used = np.unique(np.searchsorted(firsts, place, "right") - 1)
+            ids, texts = (batch.column(c).take(pa.array(used)) for c in ("doc_id", "text_hash"))
+            mixed = tx.mix(texts.to_numpy().view(np.uint64) + tx.mix(ids.fill_null(-1).to_numpy().view(np.uint64))) * tx.mix(firsts[used].astype(np.uint64) + np.uint64(1))
+            origin = int(np.add.reduce(mixed).view(np.int64))
+            rows = [{"part": origin % parts, "origin": origin, "ids": ids.to_pylist(), "texts": texts.to_pylist(), "firsts": firsts[used].tobytes()}]
+            to = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                k = order[ends[p] : ends[p + 1]]
+                check = (tx.mix(h[k] * np.uint64(_SALT)) >> np.uint64(32)).astype(np.uint32)
+                rows.append({"part": p, "origin": origin, "place": gaps(place[k]), "hash": h[k].tobytes(), "check": check.tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, candidate_schema)
 
     def confirm(group: pa.Table) -> pa.Table:
-        blobs = {c: group.column(c).to_pylist() for c in group.column_names}
-        h = np.concatenate([np.frombuffer(b, np.uint64) for b in blobs["hash"]])
-        check = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs["check"]])
-        order = np.lexsort((check, h))
-        h, check = h[order], check[order]
-        heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))
-        times = np.diff(np.append(heads, len(h)))
-        occurs = np.empty(len(h), np.int32)
-        occurs[order] = np.repeat(times, times)
-        rows, at = [], 0
-        for k in range(len(blobs["hash"])):
-            lengths = np.frombuffer(blobs["lengths"][k], np.int32)
-            doc = np.repeat(np.frombuffer(blobs["docs"][k], np.int32), lengths)
-            position = np.cumsum(np.frombuffer(blobs["steps"][k], np.int32))
-            n = occurs[at : at + len(doc)]
-            at += len(doc)
-            yes = n > 1
-            doc, position, n = doc[yes], position[yes], n[yes]
-            texts = np.array(blobs["texts"][k], np.int64)
-            home = (texts.view(np.uint64)[doc] % np.uint64(homes)).astype(np.int64) if len(doc) else doc
-            for p in np.unique(home).tolist():
-                own = home == p
-                used = np.unique(doc[own])
-                rows.append({"home": p, "ids": [blobs["ids"][k][i] for i in used], "texts": texts[used].tolist(), "occurs": n[own].tobytes()} | _pack(np.searchsorted(used, doc[own]), position[own]))
-        return pa.Table.from_pylist(rows, confirmed_schema)
+        rows = group.to_pylist()
+        sent = [r for r in rows if r["hash"] is not None]
+        out = [r for r in rows if r["hash"] is None]  # the texts of a batch, on their way
+        if sent:
+            h = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in sent])
+            check = np.concatenate([np.frombuffer(r["check"], np.uint32) for r in sent])
+            order = np.lexsort((check, h))
+            h, check = h[order], check[order]
+            heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))
+            times = np.diff(np.append(heads, len(h)))
+            occurs = np.empty(len(h), np.int32)
+            occurs[order] = np.repeat(times, times)
+            at = 0
+            for r in sent:
+                place = ungaps(r["place"])
+                n = occurs[at : at + len(place)]
+                at += len(place)
+                if (n > 1).any():
+                    out.append({"origin": r["origin"], "place": gaps(place[n > 1]), "occurs": n[n > 1].tobytes()})
+        return pa.Table.from_pylist(out, confirmed_schema)
 
     def merge(group: pa.Table) -> pa.Table:
-        numbers: dict[tuple, int] = {}
-        doc, position, occurs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b in group.to_batches():
-            for r in range(b.num_rows):
-                ids, texts = b.column("ids")[r].as_py(), b.column("texts")[r].as_py()
-                number = np.array([numbers.setdefault(x, len(numbers)) for x in zip(ids, texts)], np.int64)
-                raw = {c: b.column(c)[r].as_py() for c in ("docs", "lengths", "steps", "occurs")}
-                doc.append(np.repeat(number[np.frombuffer(raw["docs"], np.int32)], np.frombuffer(raw["lengths"], np.int32)))
-                position.append(np.cumsum(np.frombuffer(raw["steps"], np.int32)))
-                occurs.append(np.frombuffer(raw["occurs"], np.int32))
-        doc, position, occurs = (np.concatenate(x) for x in (doc, position, occurs))
-        order = np.lexsort((position, doc))
-        doc, position, occurs = doc[order], position[order], occurs[order]
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (position[1:] > position[:-1] + width))) if len(doc) else np.zeros(0, np.bool_)
-        heads = np.flatnonzero(new)
-        last = np.append(heads[1:], len(doc)) - 1
-        keys = list(numbers)
+        rows = group.to_pylist()
+        texts = [r for r in rows if r["firsts"] is not None]  # several: batches that are equal
+        places = [r for r in rows if r["firsts"] is None]
+        if not places:
+            return pa.Table.from_pylist([], span_schema)
+        first = np.frombuffer(texts[0]["firsts"], np.int64)
+        place, at = np.unique(np.concatenate([ungaps(r["place"]) for r in places]), return_index=True)
+        occurs = np.concatenate([np.frombuffer(r["occurs"], np.int32) for r in places])[at]
+        row = np.searchsorted(first, place, "right") - 1
+        position = place - first[row]
+        heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (position[1:] > position[:-1] + width))))
+        last = np.append(heads[1:], len(row)) - 1
+        of = pa.array(row[heads])
         columns = [
-            pa.array([keys[d][0] for d in doc[heads].tolist()], pa.int64()),
-            pa.array([keys[d][1] for d in doc[heads].tolist()], pa.int64()),
+            pa.array(texts[0]["ids"], pa.int64()).take(of),
+            pa.array(texts[0]["texts"], pa.int64()).take(of),
             pa.array(position[heads], pa.int32()),
             pa.array(position[last] + width, pa.int32()),
             pa.array(position[last] + width - position[heads], pa.int32()),
-            pa.array(np.maximum.reduceat(occurs, heads) if len(heads) else occurs, pa.int64()),
+            pa.array(np.maximum.reduceat(occurs, heads), pa.int64()),
         ]
-        return pa.Table.from_arrays(columns, ["doc_id", "text_hash", "start_word", "end_word", "words", "occurrences"])
-
-    binary = lambda *names: [(n, pa.binary()) for n in names]
-    longs = [("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))]
-    candidate_schema = pa.schema([("part", pa.int32()), *longs, *binary("hash", "check", "docs", "lengths", "steps")])
-    confirmed_schema = pa.schema([("home", pa.int32()), *longs, *binary("occurs", "docs", "lengths", "steps")])
-    found = docs.mapInArrow(candidates, "part int, ids array<bigint>, texts array<bigint>, hash binary, check binary, docs binary, lengths binary, steps binary")
-    sure = found.groupBy("part").applyInArrow(confirm, "home int, ids array<bigint>, texts array<bigint>, occurs binary, docs binary, lengths binary, steps binary")
-    return sure.groupBy("home").applyInArrow(merge, SCHEMA)
+        return pa.concat_tables([pa.Table.from_arrays(columns, schema=span_schema)] * len(texts))
+
+    longs = [("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("firsts", pa.binary())]
+    candidate_schema = pa.schema([("part", pa.int32()), ("origin", pa.int64()), ("place", pa.binary()), ("hash", pa.binary()), ("check", pa.binary()), *longs])
+    confirmed_schema = pa.schema([("origin", pa.int64()), ("place", pa.binary()), ("occurs", pa.binary()), *longs])
+    span_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("words", pa.int32()), ("occurrences", pa.int64())])
+    texts = "ids array<bigint>, texts array<bigint>, firsts binary"
+    found = docs.mapInArrow(candidates, f"part int, origin bigint, place binary, hash binary, check binary, {texts}")
+    sure = found.groupBy("part").applyInArrow(confirm, f"origin bigint, place binary, occurs binary, {texts}")
+    return sure.groupBy("origin").applyInArrow(merge, SCHEMA)
