@@ -27,7 +27,7 @@ ROUNDS = 8
 _FIRST = date(1900, 1, 1).toordinal()
 _DAYS = date(2099, 12, 31).toordinal() - _FIRST + 1
 #: Texts without any of this hold nothing to replace.
-PREFILTER = r"@|[0-9][0-9 ().+/:-]{4,}[0-9]|[A-Z]{2}[0-9]{2}[ A-Z0-9]{10}"
+PREFILTER = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]|@|[0-9][0-9 ().+/:-]{4,}[0-9]|[A-Z]{2}[0-9]{2}[ A-Z0-9]{10}"
 
 _MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = {m[:k].lower(): i + 1 for i, m in enumerate(_MONTHS) for k in (3, len(m))}
