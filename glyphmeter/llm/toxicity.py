@@ -110,7 +110,10 @@ def _ratios(model: kn.Model, column: pa.Array) -> np.ndarray:
 
 
 def threshold(docs: DataFrame, labels: DataFrame, uri: str, order: int = ORDER) -> float:
-    """The score from which calling a document toxic agrees best (in F1) with all labels; inf without toxic ones."""
+    """The score from which calling a document toxic agrees best (in F1) with all labels; inf without toxic ones.
+
+    It lies midway between the lowest score that is called toxic and the highest that isn't.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [load_model(uri, other, order) for other in ("1", "0")]
@@ -126,10 +129,10 @@ def threshold(docs: DataFrame, labels: DataFrame, uri: str, order: int = ORDER)
     rows = binned.groupBy("bin").agg(F.sum(F.col("is_toxic").cast("bigint")).alias("t"), F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
     toxic = sum(r["t"] for r in rows)
     best, at, hit, called = 0.0, float("inf"), 0, 0
-    for r in rows:
+    for r, after in zip(rows, [*rows[1:], None]):
         hit, called = hit + r["t"], called + r["n"]
         if toxic and (f1 := 2 * hit / (called + toxic)) > best:
-            best, at = f1, r["bin"] * BIN
+            best, at = f1, (r["bin"] + (after["bin"] + 1 if after else r["bin"])) / 2 * BIN
     return at
 
 
