@@ -117,7 +117,7 @@ def words(column: pa.Array) -> Words:
     return Words(np.searchsorted(start, offsets), start, end, h, raw)
 
 
-def slices(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows of about size bytes with the number of the first row; a longer row is a run of its own."""
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
     offsets, _ = buffers(column)

@@ -48,7 +48,7 @@ def counts(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             kind = 2 * batch.column("half").to_numpy() + (~batch.column("is_toxic").to_numpy(zero_copy_only=False)).astype(np.int64)
             seen: list[list[tuple]] = [[] for _ in _COUNTS]
-            for at, part in tx.slices(batch.column("text"), 1 << 22):
+            for at, part in tx.slices(batch.column("text")):
                 first, key = kn.keys(part, order)
                 of = np.repeat(kind[at : at + len(part)], np.diff(first))
                 for c in range(4):
@@ -104,7 +104,7 @@ def _mean(total: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _ratios(model: kn.Model, column: pa.Array) -> np.ndarray:
     out = [np.zeros(0)]
-    for _, part in tx.slices(column, 1 << 22):
+    for _, part in tx.slices(column):
         out.append(_mean(*model.ratios(part)))
     return np.concatenate(out)
 
