@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmeter.llm import text as tx
+from glyphmeter.llm.shared import small
 
 #: Labelled rows per language from which the machines are trained: a bound on the fit, not on what is classified.
 TRAIN_ROWS = 400
@@ -24,9 +25,10 @@ TRAIN_ROWS = 400
 FEATURE_BITS = 12
 RUNS = (2, 3, 4)
 #: A text is rejected if the best family's decision value is below this (no family claims it) or if less than
-#: this share of its pairs of bytes occurs in any training text (it is in no script or language that was seen).
+#: this share of its pairs of bytes is familiar from training texts (it is in no script or language that was seen).
 REJECT_BELOW = -0.5
 REJECT_FAMILIAR = 0.5
+FAMILIAR_IN = 500
 COST = 10.0
 EPOCHS = 40
 FAMILIES = {
@@ -99,7 +101,7 @@ class Model:
     def decide(self, column: pa.Array) -> np.ndarray:
         """Decision values, one row per text; nan where a text has no words."""
         out = np.full((len(column), self.weights.shape[1]), np.nan)
-        for first, part in tx.slices(column, 1 << 20):
+        for first, part in tx.slices(column, 1 << 19):
             at, f = features(part)
             some = np.flatnonzero(np.diff(at) > 1)
             if not len(some):
@@ -150,6 +152,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     members = [[x for x in names if family(x) == f] for f in families]
     x = frequencies(texts)
     mean = x.mean(axis=0)
+    # in more than one text and in more than one of FAMILIAR_IN: a stray mislabelled text makes nothing familiar
+    familiar = ((x > 0).sum(axis=0) > max(1, len(x) // FAMILIAR_IN)) & (np.arange(len(mean)) < 1 << FEATURE_BITS)
     scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
     x = (x - mean) * scale
     norm = np.float32(np.sqrt(np.mean(np.sum(x * x, axis=1))) or 1)
@@ -166,7 +170,6 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         w = (alpha @ x[rows]) * scale / norm
         weights.append(w)
         bias.append((alpha.sum() if len(set(y)) > 1 else y[0]) - float(w @ mean))
-    familiar = (mean > 0) & (np.arange(len(mean)) < 1 << FEATURE_BITS)
     return Model(families, members, np.stack([*weights, familiar], axis=1).astype(np.float32), np.array([*bias, 0.0]))
 
 
@@ -178,8 +181,12 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
     h = F.xxhash64("doc_id").alias("h")
     known = labelled.where("doc_id is not null and lang is not null and lang <> '' and text is not null")
+    # most rows are out by their hash alone, so no more than a few times `rows` of a language are ranked
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("size"))
+    likely = known.select("lang", h).join(small(sizes, sizes.count()), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = known.select("lang", h).withColumn("k", rank).where(F.col("k") <= rows)
+    chosen = likely.withColumn("k", rank).where(F.col("k") <= rows)
     least = {r["lang"]: r["top"] for r in chosen.groupBy("lang").agg(F.max("h").alias("top")).collect()}
     if not least:
         return Model()
