@@ -160,3 +160,28 @@ def to_json(values: DataFrame) -> DataFrame:
     """tokenizer, json: its measures as one object."""
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round("value", 6).alias("value")))))
     return values.groupBy("tokenizer").agg(F.to_json(pairs).alias("json"))
+
+
+def save_table(lines: Sequence[str], path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def select_tokenizers(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Values of these tokenizers only; ValueError for one that there isn't."""
+    known = {r[0] for r in values.select("tokenizer").distinct().collect()}
+    if set(names) - known:
+        raise ValueError(f"unknown tokenizers: {sorted(set(names) - known)}")
+    return values.where(F.col("tokenizer").isin(list(names)))
+
+
+def text_report(values: DataFrame) -> str:
+    """All values as plain text, a tokenizer after the other."""
+    rows = sorted((r["tokenizer"], r["metric"], r["value"]) for r in values.collect())
+    out, last = [], None
+    for tokenizer, metric, value in rows:
+        if tokenizer != last:
+            out += ["" if last is None else "", tokenizer, "-" * len(tokenizer)]
+            last = tokenizer
+        out.append(f"{_BY_NAME[metric].title if metric in _BY_NAME else metric:<28} " + ("---" if value is None else f"{value:.4f}"))
+    return "\n".join(out).lstrip("\n")

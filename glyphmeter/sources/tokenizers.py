@@ -35,7 +35,7 @@ def load(name: str, path: str) -> TokenizerSpec:
 
 
 def _byte_level(path: str):
-    from tokenizers import AddedToken, Tokenizer, decoders, models, pre_tokenizers
+    from tokenizers import AddedToken, Tokenizer, decoders, models, pre_tokenizers, processors
 
     with open(f"{path}/vocab.json", encoding="utf-8") as f:
         vocab = json.load(f)
@@ -45,6 +45,9 @@ def _byte_level(path: str):
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Whitespace(), pre_tokenizers.ByteLevel(use_regex=False)])
     tok.decoder = decoders.ByteLevel()
     tok.add_special_tokens([AddedToken(s, special=True) for s in SPECIALS if s in vocab])
+    if {"<s>", "</s>"} <= set(vocab):
+        ends = [(x, tok.token_to_id(x)) for x in ("<s>", "</s>")]
+        tok.post_processor = processors.TemplateProcessing(single="<s> $A </s>", pair="<s> $A </s> $B </s>", special_tokens=ends)
     return tok
 
 
