@@ -7,17 +7,24 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches of long texts are bounded in bytes too, so that a worker holds little more than this at a time.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Python workers started from now on can import this package, wherever the driver was started.
 
+    Unless the session sets it, the size of Arrow batches is bounded by BATCH_BYTES.
+
     On several machines the package has to be installed (or sent with --py-files) as usual.
     """
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, known)))
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
 
 
