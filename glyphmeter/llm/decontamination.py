@@ -8,6 +8,7 @@ item if it has fewer), found by Wu-Manber search.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,12 @@ class Finder:
         return out
 
 
+@lru_cache(2)
+def finder(items: tuple, window: int) -> Finder:
+    """Built once per Python worker, not once per task."""
+    return Finder(list(items), window)
+
+
 def item_groups(benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
     """The benchmark's items, at most about group_bytes of text on the driver at a time."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
@@ -87,15 +94,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_b
 
     def searched(items: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(items, window)
+            found = finder(tuple(items), window)
             for batch in batches:
-                hits = sorted(finder.find(batch.column("text")).items())
+                hits = sorted(found.find(batch.column("text")).items())
                 rows = pa.array([r for (r, _), _ in hits], pa.int64())
                 columns = [
                     batch.column("doc_id").take(rows),
-                    pa.array([finder.items[i] for (_, i), _ in hits], pa.int64()),
+                    pa.array([found.items[i] for (_, i), _ in hits], pa.int64()),
                     pa.array([len(k) for _, k in hits], pa.int64()),
-                    pa.array([finder.total[i] for (_, i), _ in hits], pa.int64()),
+                    pa.array([found.total[i] for (_, i), _ in hits], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "windows_found", "windows_total"])
 
@@ -114,9 +121,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     for items in item_groups(benchmark, window, group_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            finder = Finder(items, window)
+            found = finder(tuple(items), window)
             for batch in batches:
-                hit = sorted({r for r, _ in finder.find(batch.column("text"))})
+                hit = sorted({r for r, _ in found.find(batch.column("text"))})
                 if hit:
                     keep = np.ones(batch.num_rows, np.bool_)
                     keep[hit] = False

@@ -54,7 +54,12 @@ def write_file(uri: str, data: bytes) -> None:
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         out.write(data)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # file systems that don't replace: another attempt was first
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(part)
 
 
 def map_file(uri: str) -> pa.Buffer:

@@ -20,7 +20,7 @@ class Searcher:
         self.patterns = patterns
         self.m = min(map(len, patterns), default=0)
         blocks = self.m - BLOCK + 1
-        self.bits = max(10, min(22, int(len(patterns) * max(blocks, 1)).bit_length() + 4))
+        self.bits = max(10, min(24, int(len(patterns) * max(blocks, 1)).bit_length() + 4))
         self.shift = np.full(1 << self.bits, max(blocks, 0), np.uint16)
         self.bucket: dict[int, list[int]] = {}
         if not patterns:
