@@ -45,35 +45,47 @@ def codec(path: str = VOCABULARY) -> Codec:
 
 
 class Codec:
+    """Tokens are arrays of ids: a text's ids as Python numbers would take nine times the memory."""
+
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = {v: k for k, v in self.ranks.items()}
-        self.split = tiktoken.Encoding("split", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.split = tiktoken.Encoding("split", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
         self.long = regex.compile(r"\S{%d}|\s{%d}" % (PIECE // 4, PIECE // 4))
+        by_id = sorted((i, x) for x, i in ranks.items())
+        self.size = np.zeros(by_id[-1][0] + 1 if by_id else 0, np.int64)
+        self.size[[i for i, _ in by_id]] = [len(x) for _, x in by_id]
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.blob = np.frombuffer(b"".join(x for _, x in by_id), np.uint8)
+
+    def raw(self, tokens: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens."""
+        size = self.size[tokens]
+        ends = np.cumsum(size)
+        return self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[tokens] - ends + size, size)]
 
     # -- one piece -------------------------------------------------------------------------------
-    def piece(self, data: bytes) -> list[int]:
+    def piece(self, data: bytes) -> np.ndarray:
         """Bytes that no pattern splits, encoded directly."""
-        return self.split._encode_single_piece(data)
+        return np.array(self.split._encode_single_piece(data), np.uint32)
 
-    def join_piece(self, left: list[int], right: list[int]) -> list[int]:
+    def join_piece(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The encoding of one piece from those of its halves."""
-        if not left or not right:
-            return left + right
+        if not len(left) or not len(right):
+            return np.concatenate((left, right))
         a = b = 1
         while True:
             a, b = min(a, len(left)), min(b, len(right))
-            old = left[len(left) - a :] + right[:b]
-            new = self.piece(b"".join(self.bytes[t] for t in old))
+            old = np.concatenate((left[len(left) - a :], right[:b]))
+            new = self.piece(self.raw(old).tobytes())
             fits_left = a == len(left) or new[0] == old[0]
             fits_right = b == len(right) or new[-1] == old[-1]
             if fits_left and fits_right:
-                return left[: len(left) - a] + new + right[b:]
+                return np.concatenate((left[: len(left) - a], new, right[b:]))
             a, b = a if fits_left else 2 * a, b if fits_right else 2 * b
 
-    def encode_piece(self, data: bytes) -> list[int]:
+    def encode_piece(self, data: bytes) -> np.ndarray:
         """A piece of any length: by halves, re-encoded around each join."""
         if len(data) <= PIECE:
             return self.piece(data)
@@ -81,16 +93,19 @@ class Codec:
         return self.join_piece(self.encode_piece(data[:mid]), self.encode_piece(data[mid:]))
 
     # -- texts -----------------------------------------------------------------------------------
-    def leaf(self, text: str) -> list[int]:
+    def leaf(self, text: str) -> np.ndarray:
         """Encoded directly, but for pieces of more than PIECE bytes."""
         if not self.long.search(text):
-            return self.split.encode_ordinary(text)
-        return [t for piece in self.pattern.findall(text) for t in self.encode_piece(piece.encode("utf-8"))]
+            return self.split.encode_to_numpy(text)
+        return self._pieces(self.pattern.findall(text))
+
+    def _pieces(self, pieces: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint32), *(self.encode_piece(p.encode("utf-8")) for p in pieces)])
 
-    def join(self, left_text: str, left: list[int], right_text: str, right: list[int]) -> list[int]:
+    def join(self, left_text: str, left: np.ndarray, right_text: str, right: np.ndarray) -> np.ndarray:
         """The encoding of left_text + right_text from those of both."""
         if not left_text or not right_text:
-            return left or right
+            return right if not left_text else left
         reach = 64
         while True:
             start = self._boundary(left_text, reach)
@@ -98,7 +113,7 @@ class Codec:
             if pieces:
                 keep_left = self._prefix(left, left_text[:start])
                 keep_right = self._prefix(right, right_text[:cut])
-                return left[:keep_left] + [t for p in pieces for t in self.encode_piece(p.encode("utf-8"))] + right[keep_right:]
+                return np.concatenate((left[:keep_left], self._pieces(pieces), right[keep_right:]))
             reach *= 4
 
     def _boundary(self, text: str, reach: int) -> int:
@@ -129,28 +144,30 @@ class Codec:
                 return pieces, m.end() - n
         return (pieces, len(right)) if len(part) == len(right) else ([], 0)
 
-    def _prefix(self, tokens: list[int], text: str) -> int:
+    def _prefix(self, tokens: np.ndarray, text: str) -> int:
         """How many of the tokens encode text, the beginning of what they encode."""
         want = len(text.encode("utf-8"))
-        size = np.cumsum(np.fromiter((len(self.bytes[t]) for t in tokens), np.int64, len(tokens)))
-        at = int(np.searchsorted(size, want, "left")) + 1 if want else 0
-        assert not want or size[at - 1] == want
+        if not want:
+            return 0
+        size = np.cumsum(self.size[tokens])
+        at = int(np.searchsorted(size, want, "left")) + 1
+        assert size[at - 1] == want
         return at
 
-    def tree(self, parts: list[tuple[str, list[int]]]) -> list[int]:
+    def tree(self, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
         """Neighbours are joined until one is left."""
         while len(parts) > 1:
             parts = [
                 (parts[i][0] + parts[i + 1][0], self.join(*parts[i], *parts[i + 1])) if i + 1 < len(parts) else parts[i]
                 for i in range(0, len(parts), 2)
             ]
-        return parts[0][1] if parts else []
+        return parts[0][1] if parts else np.zeros(0, np.uint32)
 
-    def encode(self, text: str, leaf: int = LEAF) -> list[int]:
+    def encode(self, text: str, leaf: int = LEAF) -> np.ndarray:
         return self.leaf(text) if len(text) <= leaf else self.tree([(t, self.leaf(t)) for t in leaves(text, leaf)])
 
-    def decode(self, tokens: list[int]) -> str:
-        return b"".join([self.bytes[t] for t in tokens]).decode("utf-8", errors="replace")
+    def decode(self, tokens: np.ndarray | list[int]) -> str:
+        return self.raw(np.asarray(tokens, np.int64)).tobytes().decode("utf-8", errors="replace")
 
 
 def leaves(text: str, leaf: int = LEAF) -> list[str]:
@@ -162,8 +179,19 @@ def leaves(text: str, leaf: int = LEAF) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:])]
 
 
-def _lists(values: list) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int32()))
+def _lists(values: list[np.ndarray | None]) -> pa.Array:
+    """An Arrow list per array; null for None."""
+    sizes = [0 if v is None else len(v) for v in values]
+    at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([*(v is None for v in values), False]))
+    flat = np.concatenate([np.zeros(0, np.uint32), *(v for v in values if v is not None)])
+    return pa.ListArray.from_arrays(at, pa.array(flat.astype(np.int32)))
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The ids of each row of a list column."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at, flat = whole.offsets.to_numpy(), whole.values.to_numpy(zero_copy_only=False).astype(np.uint32)
+    return [flat[a:b] for a, b in zip(at, at[1:])]
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
@@ -178,23 +206,22 @@ def encode(docs: DataFrame, path: str = VOCABULARY, leaf: int = LEAF) -> DataFra
     docs = docs.select("doc_id", "text")
 
     def rows(ids: pa.Array, texts: list, tokens: list, c: Codec) -> pa.RecordBatch:
-        known = [t is not None for t in texts]
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                _lists(tokens),
-                pa.array([len(t) if k else None for t, k in zip(tokens, known)], pa.int32()),
-                pa.array([len(t.encode("utf-8")) if k else None for t, k in zip(texts, known)], pa.int64()),
-                pa.array([c.decode(t) == x if k else None for x, t, k in zip(texts, tokens, known)], pa.bool_()),
-            ],
-            ["doc_id", "tokens", "n_tokens", "n_bytes", "round_trip"],
-        )
+        data = [None if t is None else t.encode("utf-8") for t in texts]
+        back = [None if x is None else c.raw(t).tobytes() == x for x, t in zip(data, tokens)]
+        columns = [
+            ids,
+            _lists(tokens),
+            pa.array([None if t is None else len(t) for t in tokens], pa.int32()),
+            pa.array([None if x is None else len(x) for x in data], pa.int64()),
+            pa.array(back, pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "n_tokens", "n_bytes", "round_trip"])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = part.column("text").to_pylist()
                 yield rows(part.column("doc_id"), texts, [None if t is None else c.leaf(t) for t in texts], c)
 
@@ -212,12 +239,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY, leaf: int = LEAF) -> DataFra
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists([c.leaf(t) for t in batch.column("text").to_pylist()])], [*batch.schema.names, "tokens"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists([c.leaf(t) for t in part.column("text").to_pylist()])], [*part.schema.names, "tokens"])
 
     def joined(group: pa.Table) -> pa.Table:
         c = codec(path)
         group = group.sort_by("leaf")
-        number, texts, tokens = (group.column(x).to_pylist() for x in ("leaf", "text", "tokens"))
+        number, texts, tokens = group.column("leaf").to_pylist(), group.column("text").to_pylist(), _arrays(group.column("tokens"))
         copies = number.count(0)  # equal rows: their leaves are equal, so one of each is enough
         parts = list(zip(texts, tokens))[::copies]
         text, ids = "".join(t for t, _ in parts), c.tree(parts)
