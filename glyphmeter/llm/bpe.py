@@ -52,7 +52,6 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = tiktoken.Encoding("split", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
-        self.long = regex.compile(r"\S{%d}|\s{%d}" % (PIECE // 4, PIECE // 4))
         by_id = sorted((i, x) for x, i in ranks.items())
         self.size = np.zeros(by_id[-1][0] + 1 if by_id else 0, np.int64)
         self.size[[i for i, _ in by_id]] = [len(x) for _, x in by_id]
@@ -95,10 +94,18 @@ class Codec:
     # -- texts -----------------------------------------------------------------------------------
     def leaf(self, text: str) -> np.ndarray:
         """Encoded directly, but for pieces of more than PIECE bytes."""
-        if not self.long.search(text):
+        if not self._has_long_runs(text):
             return self.split.encode_to_numpy(text)
         return self._pieces(self.pattern.findall(text))
 
+    @staticmethod
+    def _has_long_runs(text: str) -> bool:
+        """Whether a piece may have more than PIECE bytes, of up to four per character."""
+        words = text.split()
+        sizes = list(map(len, words))
+        spaces = len(text) - sum(sizes)
+        return max(sizes, default=0) >= PIECE // 4 or spaces - len(words) >= PIECE // 4 - 1
+
     def _pieces(self, pieces: list[str]) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint32), *(self.encode_piece(p.encode("utf-8")) for p in pieces)])
 
