@@ -81,7 +81,7 @@ class Analysis:
         self.sizes = self.spark.createDataFrame([(i.name, i.size(i.tokenized())) for i in inputs], "tokenizer string, vocab_size bigint")
         self.stats = tk.text_stats(self.tokenized)
         self.counts = tk.token_counts(self.tokenized)
-        self.total = tk.roll_up(self.counts)
+        self.total = tk.token_counts(self.tokenized, ("tokenizer",))
 
     def basic(self, fertility_unit: str = "words") -> dict[str, DataFrame]:
         return {

@@ -71,16 +71,16 @@ def type_token_ratio(counts: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFr
 def renyi(counts: DataFrame, by: Sequence[str] = TOKENIZER, orders: Sequence[float] = ORDERS) -> DataFrame:
     """Entropy in bits of each order of the token distribution; order 1 is Shannon's.
 
-    Two passes of aggregation without a window: totals first, then all orders at once.  counts has one row
-    per token and `by`.
+    One aggregate: with N the sum of the counts n, H_1 = log2 N - sum(n log2 n) / N and, of any other order a,
+    H_a = (log2 sum(n**a) - a log2 N) / (1 - a).  counts has one row per token and `by`.
     """
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    p = F.col("n") / F.col("total")
+    n = F.col("n").cast("double")
+    total = F.sum(n)
     values = []
     for a in orders:
-        value = -F.sum(p * F.log2(p)) if a == 1.0 else F.log2(F.sum(F.pow(p, F.lit(float(a))))) / F.lit(1.0 - a)
+        value = F.log2(total) - F.sum(n * F.log2(n)) / total if a == 1.0 else (F.log2(F.sum(F.pow(n, F.lit(float(a))))) - F.lit(float(a)) * F.log2(total)) / F.lit(1.0 - a)
         values.append(F.struct(F.lit(float(a)).alias("alpha"), value.alias("entropy")))
-    return counts.join(totals, list(by)).groupBy(*by).agg(F.array(*values).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.alpha", "x.entropy")
+    return counts.groupBy(*by).agg(F.array(*values).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.alpha", "x.entropy")
 
 
 def unigram(counts: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:

@@ -33,6 +33,11 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.token_counts(tokens(spark, sf_dir))
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each token over all languages, in one aggregate of the tokens."""
+    return tk.token_counts(tokens(spark, sf_dir), ("tokenizer",))
+
+
 def sizes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(tk.VOCABULARY.items()), "tokenizer string, vocab_size bigint")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmeter.operators import measures as ms
 from glyphmeter.operators import tokenized as tk
 from glyphmeter.plans import sql
-from glyphmeter.plans.common import counts, rounded, sizes, stats, stats_rounded
+from glyphmeter.plans.common import counts, rounded, sizes, stats, stats_rounded, totals
 from glyphmeter.plans.registry import ORACLES, QUERIES, documents, query
 
 
@@ -69,7 +69,7 @@ def _use_sql(by: str) -> str:
 
 @query(_use_sql("tokenizer"))
 def vocab_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.vocabulary_use(tk.roll_up(counts(spark, sf_dir)), sizes(spark)))
+    return rounded(ms.vocabulary_use(totals(spark, sf_dir), sizes(spark)))
 
 
 @query(_use_sql("tokenizer, lang"))
@@ -83,7 +83,7 @@ def _ttr_sql(by: str) -> str:
 
 @query(_ttr_sql("tokenizer"))
 def type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.type_token_ratio(tk.roll_up(counts(spark, sf_dir))))
+    return rounded(ms.type_token_ratio(totals(spark, sf_dir)))
 
 
 @query(_ttr_sql("tokenizer, lang"))
@@ -100,7 +100,7 @@ def _entropies(source: str, by: str) -> str:
 
 @query(f"WITH {sql.TOTALS}, {_entropies('total', 'tokenizer')}")
 def renyi_entropy_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.renyi(tk.roll_up(counts(spark, sf_dir))))
+    return rounded(ms.renyi(totals(spark, sf_dir)))
 
 
 @query(f"WITH {sql.COUNTS}, {_entropies('counts', 'tokenizer, lang')}")
@@ -115,7 +115,7 @@ def _unigram_sql(source: str, by: str) -> str:
 
 @query(f"WITH {sql.TOTALS}, {_unigram_sql('total', 'tokenizer')}")
 def unigram_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.unigram(tk.roll_up(counts(spark, sf_dir))))
+    return rounded(ms.unigram(totals(spark, sf_dir)))
 
 
 @query(f"WITH {sql.COUNTS}, {_unigram_sql('counts', 'tokenizer, lang')}")
@@ -139,8 +139,8 @@ def _pair(name: str, cte: str, value: str, build) -> None:
 _pair("pairwise_fertility", sql.STATS, "SELECT tokenizer, avg(n_tokens::DOUBLE / n_words) AS v FROM stats WHERE n_words > 0 GROUP BY tokenizer", lambda s, d: (ms.fertility(stats(s, d)), "mean"))
 _pair("pairwise_compression", sql.STATS, "SELECT tokenizer, avg(1.0::DOUBLE / n_tokens) AS v FROM stats WHERE n_tokens > 0 GROUP BY tokenizer", lambda s, d: (ms.compression(stats(s, d)), "mean"))
 _P = "SELECT tokenizer, n, n::DOUBLE / sum(n) OVER (PARTITION BY tokenizer) AS p, row_number() OVER (PARTITION BY tokenizer ORDER BY n DESC, token) AS r FROM total"
-_pair("pairwise_entropy", sql.TOTALS, f"SELECT tokenizer, -sum(p * log2(p)) AS v FROM ({_P}) GROUP BY tokenizer", lambda s, d: (ms.unigram(tk.roll_up(counts(s, d))), "entropy"))
-_pair("pairwise_token_rank", sql.TOTALS, f"SELECT tokenizer, sum(n * r)::DOUBLE / sum(n) AS v FROM ({_P}) GROUP BY tokenizer", lambda s, d: (ms.unigram(tk.roll_up(counts(s, d))), "avg_token_rank"))
+_pair("pairwise_entropy", sql.TOTALS, f"SELECT tokenizer, -sum(p * log2(p)) AS v FROM ({_P}) GROUP BY tokenizer", lambda s, d: (ms.unigram(totals(s, d)), "entropy"))
+_pair("pairwise_token_rank", sql.TOTALS, f"SELECT tokenizer, sum(n * r)::DOUBLE / sum(n) AS v FROM ({_P}) GROUP BY tokenizer", lambda s, d: (ms.unigram(totals(s, d)), "avg_token_rank"))
 
 
 @query(f"WITH {sql.STATS}, f AS (SELECT tokenizer, lang, avg(n_tokens::DOUBLE / n_words) AS m FROM stats WHERE n_words > 0 GROUP BY ALL) SELECT tokenizer, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(stddev_pop(m) / sqrt(count(m)), 6) AS std_err, count(m) AS count FROM f GROUP BY tokenizer")
