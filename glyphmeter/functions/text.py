@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: The body of a character class, understood alike by Java and RE2 regular expressions.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS_RUN = f"[{WS}]+"
+WORD = f"[^{WS}]+"
 #: Runs of word characters, or of what is neither word nor white space.
 PIECE = r"(?U)\w+|[^\w\s]+"
 PUNCTUATION = '.,!?;:"()[]{}'
@@ -26,12 +27,13 @@ def strip(text: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return text.isNotNull() & (strip(text) != "")
+    """Whether there is any character but white space; the search ends at the first."""
+    return text.isNotNull() & text.rlike(f"[^{WS}]")
 
 
 def split_words(text: Column) -> Column:
     """The parts between runs of white space."""
-    return F.filter(F.split(text, WS_RUN), lambda x: x != "")
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def split_spaces(text: Column) -> Column:

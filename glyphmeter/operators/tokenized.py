@@ -25,6 +25,12 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
     "trigrams": t.trigrams,
     "whitespace": t.split_words,
 }
+#: How many tokens each gives, where that needs no list of them.
+COUNTERS: dict[str, Callable[[Column], Column]] = {
+    "bytes": F.octet_length,
+    "characters": F.length,
+    "trigrams": lambda text: F.ceil(F.length(text) / 3),
+}
 VOCABULARY = {"bytes": 256, "characters": 1114112, "pieces": 100000, "trigrams": 250000, "whitespace": 200000}
 #: Those that the standard reports compare.
 STANDARD = ("bytes", "pieces", "whitespace")
@@ -57,7 +63,8 @@ def text_stats(tokenized: DataFrame) -> DataFrame:
 def text_stats_of(texts: DataFrame, names: tuple[str, ...] = STANDARD, extra: tuple[str, ...] = ()) -> DataFrame:
     """text_stats(tokenize(texts)), with each text measured once however many tokenizers there are."""
     text = F.col("text")
-    sizes = F.array(*(F.struct(F.lit(n).alias("tokenizer"), F.size(TOKENIZERS[n](text)).cast("bigint").alias("n_tokens")) for n in names))
+    count = {n: COUNTERS[n](text) if n in COUNTERS else F.size(TOKENIZERS[n](text)) for n in names}
+    sizes = F.array(*(F.struct(F.lit(n).alias("tokenizer"), count[n].cast("bigint").alias("n_tokens")) for n in names))
     measured = texts.where(t.not_blank(text)).select("lang", "doc_id", *extra, *stats_columns(text, F.array())[1:], sizes.alias("sizes"))
     return measured.select("*", F.explode("sizes").alias("x")).select("x.tokenizer", "lang", "doc_id", *extra, "x.n_tokens", *STATS[1:])
 
