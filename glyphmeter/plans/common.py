@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmeter.operators import tokenized as tk
-from glyphmeter.plans.registry import documents
+from glyphmeter.plans.registry import documents, spread
 
 STAT_NAMES = ("mean", "median", "std", "std_err", "min", "max", "count", "sum")
 GROUPS = {"family": {"germanic": ["en", "de"], "romance": ["fr", "es"]}, "size": {"large": ["en"], "medium": ["fr", "de", "es"]}}
@@ -22,7 +22,7 @@ def stats_rounded(df: DataFrame) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tk.STANDARD) -> DataFrame:
-    return tk.tokenize(documents(spark, sf_dir), names)
+    return tk.tokenize(spread(documents(spark, sf_dir)), names)
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
