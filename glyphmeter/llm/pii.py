@@ -31,20 +31,34 @@ PREFILTER = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]|@|
 
 _MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = {m[:k].lower(): i + 1 for i, m in enumerate(_MONTHS) for k in (3, len(m))}
-_PATTERN = re.compile(
-    r"""
-    (?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9]))
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<iso>(?<![\w.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![\w-]|\.[0-9]))
-  | (?P<dmy>(?<![\w.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?![\w-]|\.[0-9]))
-  | (?P<named>(?<!\w)[0-9]{1,2}[ ](?:MONTHS)[ ][0-9]{4}(?!\w)|(?<!\w)(?:MONTHS)[ ][0-9]{1,2},[ ][0-9]{4}(?!\w))
-  | (?P<ip>(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9]))
-  | (?P<phone>(?<![\w+])\+[0-9][0-9 ().-]{6,20}[0-9](?![0-9])|(?<![\w+(])\([0-9]{3}\)[ ]?[0-9]{3}[ -][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}(?P<s3>[-.])[0-9]{3}(?P=s3)[0-9]{4}(?![\w-]|\.[0-9]))
-  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9]))
-    """.replace("MONTHS", "|".join(f"{m}|{m[:3]}" for m in _MONTHS)),
-    re.VERBOSE,
-)
+_KINDS = {
+    kind: re.compile(pattern.replace("MONTHS", "|".join(f"{m}|{m[:3]}" for m in _MONTHS)))
+    for kind, pattern in {
+        "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "iso": r"(?<![\w.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![\w-]|\.[0-9])",
+        "dmy": r"(?<![\w.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?![\w-]|\.[0-9])",
+        "named": r"(?<!\w)[0-9]{1,2}[ ](?:MONTHS)[ ][0-9]{4}(?!\w)|(?<!\w)(?:MONTHS)[ ][0-9]{1,2},[ ][0-9]{4}(?!\w)",
+        "ip": r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])",
+        "phone": r"(?<![\w+])\+[0-9][0-9 ().-]{6,20}[0-9](?![0-9])|(?<![\w+(])\([0-9]{3}\)[ ]?[0-9]{3}[ -][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}(?P<s3>[-.])[0-9]{3}(?P=s3)[0-9]{4}(?![\w-]|\.[0-9])",
+        "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+        "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])",
+    }.items()
+}
+_PATTERN = re.compile("|".join(f"(?:{pattern.pattern})" for pattern in _KINDS.values()))
+#: Where a shorter reading of a kind may end.
+_ENDS = {"iban": re.compile(r"(?![A-Za-z0-9])"), "phone": re.compile(r"(?![0-9])"), "card": re.compile(r"(?!\w|\.[0-9])")}
+_IBAN_LENGTHS = """
+15 NO 16 BE 18 DK FI FK FO GL NL SD 19 MK SI 20 AT BA EE KZ LT LU MN XK 21 CH HR LI LV 22 BG BH CR DE GB GE IE ME RS VA
+23 AE GI IL IQ OM SO TL 24 AD CZ ES MD PK RO SA SE SK TN VG 25 LY PT ST 26 IS TR 27 BI DJ FR GR IT MC MR SM
+28 AL AZ BY CY DO GT HN HU LB NI PL SV 29 BR EG PS QA UA 30 JO KW MU YE 31 MT SC 32 LC 33 RU
+"""
+_IBAN_LENGTH: dict[str, int] = {}
+for _word in _IBAN_LENGTHS.split():
+    if _word.isdigit():
+        _length = int(_word)
+    else:
+        _IBAN_LENGTH[_word] = _length
 
 
 class Pseudonyms:
@@ -152,10 +166,8 @@ def _pad(old: str, new: int) -> str:
     return f"{new:02d}" if len(old) == 2 else str(new)
 
 
-def pseudonym(match: re.Match, p: Pseudonyms) -> str | None:
-    """What replaces a match; None if it isn't valid."""
-    text = match[0]
-    kind = next(k for k, v in match.groupdict().items() if v is not None)
+def pseudonym(kind: str, text: str, p: Pseudonyms) -> str | None:
+    """What replaces a text of this kind; None if it isn't valid."""
     digits = re.sub(r"[^0-9]", "", text)
     if kind == "email":
         local, _, host = text.rpartition("@")
@@ -205,17 +217,58 @@ def pseudonym(match: re.Match, p: Pseudonyms) -> str | None:
     return _refill(text, p.card(digits)) if luhn(digits) == 0 else None
 
 
-def replace(text: str, p: Pseudonyms) -> tuple[str, int]:
-    """text with its valid values replaced, and how many."""
-    count = 0
+def _readings(kind: str, text: str, at: int, p: Pseudonyms) -> list[str]:
+    """What could be a value of this kind at a position, the best reading first: the longest, unless
+
+    an IBAN has its country's length, or a phone number with a country code has 11 digits after +1, ends at a
+    complete number (not inside a date, time or address), has another value right behind it, or closes its brackets.
+    """
+    first = _KINDS[kind].match(text, at)
+    if not first:
+        return []
+    found = [first[0]]
+    if kind in _ENDS:
+        ends = (e for e in range(first.end() - 1, at, -1) if _ENDS[kind].match(text, e))
+        found += [m[0] for e in ends if (m := _KINDS[kind].fullmatch(text, at, e))]
+    if kind == "iban":
+        found.sort(key=lambda t: len(t.replace(" ", "")) != _IBAN_LENGTH.get(t[:2]))
+    if kind == "phone" and len(found) > 1:
+        found.sort(key=lambda t: _phone_faults(text, at, t, p))
+    return found
 
-    def one(match: re.Match) -> str:
-        nonlocal count
-        new = pseudonym(match, p)
-        count += new is not None
-        return match[0] if new is None else new
 
-    return _PATTERN.sub(one, text), count
+def _phone_faults(text: str, at: int, reading: str, p: Pseudonyms) -> tuple[bool, ...]:
+    end = at + len(reading)
+    behind = re.compile(r"[ ,;(]*").match(text, end).end()
+    behind -= text[behind - 1] == "(" and behind > end
+    followed = behind > end and not text.startswith("+", behind) and value(text, behind, p) is not None
+    american = reading[1] == "1" and sum(c.isdigit() for c in reading) == 11
+    return (not american, re.compile(r"[./:-][0-9]").match(text, end) is not None, not followed, reading.count("(") != reading.count(")"))
+
+
+def value(text: str, at: int, p: Pseudonyms) -> tuple[str, int] | None:
+    """The pseudonym of the valid value that begins at a position, and where the value ends; None if there is none."""
+    for kind in _KINDS:
+        for reading in _readings(kind, text, at, p):
+            new = pseudonym(kind, reading, p)
+            if new is not None:
+                return new, at + len(reading)
+    return None
+
+
+def replace(text: str, p: Pseudonyms) -> tuple[str, int]:
+    """text with its valid values replaced, and how many.  Where none is valid, the search goes on at the next character."""
+    out, kept, at, count = [], 0, 0, 0
+    while match := _PATTERN.search(text, at):
+        start = match.start()
+        found = value(text, start, p)
+        if found is None:
+            at = start + 1
+            continue
+        out += text[kept:start], found[0]
+        kept = at = found[1]
+        count += 1
+    return "".join((*out, text[kept:])), count
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, column: str = "text", count: str | None = "pii_values") -> DataFrame:

@@ -53,6 +53,33 @@ def test_equal_values_stay_linked():
     assert pii.replace("4111111111111111", pii.Pseudonyms(b"other")) != pii.replace("4111111111111111", P)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "+1 (826) 555-4081| |190.137.223.204",
+        "+1 (826) 555-4081| 42 calls",
+        "+49 30 1234567| |2024-05-06",
+        "+49 30 1234567| 12:30",
+        "+49 30 1234567| |4111 1111 1111 1111",
+        "4111111111111111| 12",
+        "4111111111111111|-12",
+        "12 |4111111111111111",
+        "AT61 1904 3002 3457 3201| EUR",
+        "BE68 5390 0754 7034| PAID |2024-05-06",
+    ],
+)
+def test_values_beside_others_change_as_they_do_alone(text):
+    parts = text.split("|")
+    alone = [change(x) for x in parts]
+    assert change(text.replace("|", "")) == ("".join(t for t, _ in alone), sum(n for _, n in alone)) != (text, 0)
+    assert all(n == 1 for (_, n), x in zip(alone, parts) if len(x) > 9)
+
+
+def test_long_rows_of_numbers_end():
+    text = "1 2 3 " * 20000 + "+1 826 555 4081 " * 5000
+    assert change(text)[1] >= 5000
+
+
 def test_different_values_stay_apart():
     rng = random.Random(2)
     cards = set()
