@@ -165,6 +165,8 @@ def _stream(make: Callable[[], object]) -> Callable[[memoryview, int], Length]:
 
 
 def _ogg(b: memoryview, at: int) -> Length:
+    if at and at + 27 <= len(b) and not b[at + 5] & 2 and (b[at + 5] & 1 or any(b[at + 18 : at + 22])):
+        return None  # a later page of a stream, not its beginning
     p, pages = at, 0
     while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
         table = b[p + 26]
@@ -265,18 +267,24 @@ def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     return kind or _plain(data), length, embedded
 
 
-_EMBEDDED = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+_EMBEDDED = [("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 SCHEMA = "media_id bigint, declared string, detected string, corrected boolean, size bigint, length bigint, embedded array<struct<type: string, offset: bigint, length: bigint>>"
 
 
-def inspect(media: DataFrame, id: str = "media_id", content: str = "content", declared: str = "declared") -> DataFrame:
+def inspect(media: DataFrame, id: str = "media_id", content: str = "content", declared: str = "declared", carved: bool = False) -> DataFrame:
     """media_id, declared, detected, corrected, size, length, embedded of each row.
 
+    carved: each embedded object has its content too, the bytes that carve() gives.
+
     corrected: the declared type was wrong, or missing, and detected replaces it.  length < size: something
     follows the object.  A null content has a null detected type and nothing embedded and isn't corrected; an
     empty one is text/plain of length 0.  Repeated rows stay repeated; other columns play no part.
     """
     narrow = media.select(F.col(id).cast("bigint").alias("media_id"), F.col(declared).alias("declared"), F.col(content).alias("content"))
+    embedded = pa.list_(pa.struct(_EMBEDDED + [("content", pa.binary())] * carved))
+
+    def objects(data: bytes, found: list[tuple[str, int, int]]) -> list[dict]:
+        return [{"type": kind, "offset": at, "length": n} | ({"content": data[at : at + n]} if carved else {}) for kind, at, n in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,11 +297,11 @@ def inspect(media: DataFrame, id: str = "media_id", content: str = "content", de
                 pa.array([f is not None and f[0] != s for f, s in zip(found, said)]),
                 pa.array([len(v.as_py()) if v.is_valid else None for v in values], pa.int64()),
                 pa.array([None if f is None else f[1] for f in found], pa.int64()),
-                pa.array([[] if f is None else [dict(zip(("type", "offset", "length"), e)) for e in f[2]] for f in found], _EMBEDDED),
+                pa.array([objects(v.as_py(), f[2]) if f and f[2] else [] for v, f in zip(values, found)], embedded),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["media_id", "declared", "detected", "corrected", "size", "length", "embedded"])
 
-    return narrow.mapInArrow(run, SCHEMA)
+    return narrow.mapInArrow(run, SCHEMA.replace("length: bigint>", "length: bigint, content: binary>") if carved else SCHEMA)
 
 
 def carve(media: DataFrame, id: str = "media_id", content: str = "content", declared: str = "declared") -> DataFrame:
@@ -319,12 +327,48 @@ def png(data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + _chunk(b"teXt", data) + _chunk(b"IDAT", zlib.compress(b"\0\0")) + _chunk(b"IEND", b"")
 
 
-def wav(data: bytes) -> bytes:
-    pad = data + b"\0" * (len(data) % 2)
-    body = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(data)) + pad
+def jpeg(data: bytes) -> bytes:
+    """A frame of one pixel with data as comments."""
+    comments = b"".join(b"\xff\xfe" + struct.pack(">H", len(data[i : i + 65533]) + 2) + data[i : i + 65533] for i in range(0, len(data), 65533))
+    frame, scan = b"\xff\xc0" + struct.pack(">HBHHBBBB", 11, 8, 1, 1, 1, 1, 0x11, 0), b"\xff\xda" + struct.pack(">HBBBBBB", 8, 1, 1, 0, 0, 63, 0)
+    return b"\xff\xd8" + comments + frame + scan + b"\x3f\xff\xd9"
+
+
+def _riff_of(kind: bytes, *chunks: tuple[bytes, bytes]) -> bytes:
+    body = kind + b"".join(name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2) for name, data in chunks)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def wav(data: bytes) -> bytes:
+    return _riff_of(b"WAVE", (b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8)), (b"data", data))
+
+
+def webp(data: bytes) -> bytes:
+    return _riff_of(b"WEBP", (b"VP8X", struct.pack("<IIH", 4, 0, 0)), (b"XMP ", data))
+
+
+def avi(data: bytes) -> bytes:
+    return _riff_of(b"AVI ", (b"JUNK", data), (b"LIST", b"movi"))
+
+
+def ogg(data: bytes) -> bytes:
+    """One packet over as many pages as it takes."""
+    table = bytes([255] * (len(data) // 255) + [len(data) % 255])
+    out, flip = [], bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+    for k in range(0, len(table), 255):
+        part, body = table[k : k + 255], data[k * 255 : (k + 255) * 255]
+        flags = (k > 0) + 2 * (k == 0) + 4 * (k + 255 >= len(table))
+        head = b"OggS" + struct.pack("<BBQII", 0, flags, 0, 1, k // 255)
+        # Ogg's sum is zlib's with the bits of each byte, and of the result, the other way round and no inversion
+        crc = zlib.crc32((head + b"\0" * 4 + bytes([len(part)]) + part + body).translate(flip), 0xFFFFFFFF) ^ 0xFFFFFFFF
+        out.append(head + struct.pack(">I", crc).translate(flip) + bytes([len(part)]) + part + body)
+    return b"".join(out)
+
+
+def mp4(data: bytes) -> bytes:
+    return struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 8 + len(data), b"mdat") + data
+
+
 def bmp(data: bytes) -> bytes:
     return b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(data), 0, 54, 40, len(data), 1, 1, 8, 0, 0, 0, 0, 0, 0) + data
 
@@ -351,6 +395,10 @@ def gz(data: bytes) -> bytes:
     return coder.compress(data) + coder.flush()
 
 
+def xz(data: bytes) -> bytes:
+    return lzma.compress(data, preset=0)
+
+
 #: (declared type, how a text is packed): some declarations are wrong, some values hold others.
 PACKINGS: list[tuple[str, Callable[[bytes], bytes]]] = [
     ("text/plain", lambda t: t),
@@ -364,6 +412,15 @@ PACKINGS: list[tuple[str, Callable[[bytes], bytes]]] = [
     ("text/plain", gz),
     ("application/octet-stream", lambda t: t + png(t[:64]) + t[:9] + wav(t[:100])),
     ("application/pdf", lambda t: stored_zip(b"a.wav", wav(t)) + gif(t[:300])),
+    ("image/jpeg", jpeg),
+    ("image/png", webp),
+    ("video/avi", avi),
+    ("application/x-bzip2", bz2.compress),
+    ("application/gzip", xz),
+    ("audio/ogg", ogg),
+    ("video/mp4", mp4),
+    ("application/zip", lambda t: stored_zip(b"a.mp4", mp4(t)) + jpeg(t[:200])),
+    ("application/octet-stream", lambda t: t + webp(t[:64]) + avi(t[:64]) + t[:9] + bz2.compress(t[:64]) + xz(t[:64]) + ogg(t[:300])),
 ]
 
 

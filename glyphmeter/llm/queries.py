@@ -28,8 +28,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """True types and embedded media of a media column: the tables have none, so it is made of the documents."""
-    return media.inspect(media.packed(table(spark, sf_dir, "documents")))
+    """True types and carved embedded media of a media column: the tables have none, so it is made of the documents."""
+    return media.inspect(media.packed(table(spark, sf_dir, "documents")), carved=True)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

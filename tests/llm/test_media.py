@@ -96,3 +96,23 @@ def test_packed_documents(spark):
     got = media.inspect(media.packed(docs)).collect()
     assert len(got) == 41 and {r["detected"] for r in got if r["detected"]} >= {"image/png", "audio/wav", "application/zip", "text/plain"}
     assert zlib.crc32(b"") == 0
+
+
+def test_packings_make_every_format():
+    text = TEXT * 200
+    for t in (b"x", text):
+        found = [media.sniff(pack(t)) for _, pack in media.PACKINGS]
+        formats = {f[0] for f in media.FORMATS}
+        assert {kind for kind, _, _ in found} >= formats and {e[0] for _, _, inside in found for e in inside} >= formats - {"application/zip", "application/pdf", "application/gzip", "image/bmp"}
+    for make in (media.jpeg, media.webp, media.avi, media.xz, media.ogg, media.mp4):
+        assert media.sniff(make(text))[1:] == (len(make(text)), [])
+
+
+def test_query_carves(spark, tmp_path):
+    from glyphmeter.llm import queries
+
+    docs = spark.createDataFrame([(i, f"words {i} " * i) for i in range(60)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["media_id"], e["type"], e["offset"], bytes(e["content"])) for r in queries.op4_media(spark, str(tmp_path)).collect() for e in r["embedded"])
+    want = sorted((r["media_id"], r["type"], r["offset"], bytes(r["content"])) for r in media.carve(media.packed(docs)).collect())
+    assert got == want and {kind for _, kind, _, _ in got} >= {"image/png", "image/jpeg", "video/mp4", "audio/ogg"}
