@@ -152,8 +152,10 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     members = [[x for x in names if family(x) == f] for f in families]
     x = frequencies(texts)
     mean = x.mean(axis=0)
-    # in more than one text and in more than one of FAMILIAR_IN: a stray mislabelled text makes nothing familiar
-    familiar = ((x > 0).sum(axis=0) > max(1, len(x) // FAMILIAR_IN)) & (np.arange(len(mean)) < 1 << FEATURE_BITS)
+    # in more than one text and in more than one of FAMILIAR_IN, of all texts or of one language's own, however few
+    # these are: a stray mislabelled text makes nothing familiar
+    parts = [x] + [x[lang == name] for name in names]
+    familiar = np.any([(part > 0).sum(axis=0) > max(1, len(part) // FAMILIAR_IN) for part in parts], axis=0) & (np.arange(len(mean)) < 1 << FEATURE_BITS)
     scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
     x = (x - mean) * scale
     norm = np.float32(np.sqrt(np.mean(np.sum(x * x, axis=1))) or 1)

@@ -80,3 +80,12 @@ def test_training(spark):
     one = language.fit(["the thing", "an other"], ["en", "en"])
     assert one.predict(pa.array(["the other"]))[1] == ["en"]
     assert language.identify(table(spark, []), one).count() == 0
+
+
+def test_pairs_of_a_rare_language_are_familiar():
+    rng = random.Random(6)
+    greek = lambda n: " ".join(rng.choice("και το της είναι στην από για που δεν".split()) for _ in range(n))
+    rows = [(make(rng, x, 20), x) for x in ("en", "fr") for _ in range(800)] + [(greek(60), "el") for _ in range(3)]
+    fitted = language.fit(*map(list, zip(*rows)))
+    _, langs, _, rejected = fitted.predict(pa.array([greek(30), make(rng, "en", 30), "漢字かな交じり文です漢字"]))
+    assert langs[:2] == ["el", "en"] and rejected.tolist() == [False, False, True]
