@@ -183,8 +183,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
     h = F.xxhash64("doc_id").alias("h")
     known = labelled.where("doc_id is not null and lang is not null and lang <> '' and text is not null")
-    # most rows are out by their hash alone, so no more than a few times `rows` of a language are ranked
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    # most rows are out by their hash alone, so no more than the rows of a few times `rows` ids of a language are ranked
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size"))  # rows of one id stay or go together
     share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("size"))
     likely = known.select("lang", h).join(small(sizes, sizes.count()), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))

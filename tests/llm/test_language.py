@@ -89,3 +89,11 @@ def test_pairs_of_a_rare_language_are_familiar():
     fitted = language.fit(*map(list, zip(*rows)))
     _, langs, _, rejected = fitted.predict(pa.array([greek(30), make(rng, "en", 30), "漢字かな交じり文です漢字"]))
     assert langs[:2] == ["el", "en"] and rejected.tolist() == [False, False, True]
+
+
+def test_training_with_few_ids(spark):
+    rows = [(k % 3, text, lang) for lang in ("en", "fr") for k, (_, text, _) in enumerate([(0, make(random.Random(k), lang, 20), lang) for k in range(2000)])]
+    trained = language.train(table(spark, rows), rows=10)
+    assert sorted(x for m in trained.members for x in m) == ["en", "fr"]
+    _, langs, _, rejected = trained.predict(pa.array([r[1] for r in rows]))
+    assert np.mean([a == r[2] for a, r in zip(langs, rows)]) > 0.9 and not rejected.all()
