@@ -7,6 +7,7 @@ item if it has fewer), found by Wu-Manber search.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,18 +20,24 @@ from glyphmeter.llm import text as tx
 from glyphmeter.llm.wu_manber import BLOCK, Searcher
 
 WINDOW = 13
-#: An item of fewer words is no passage: it would be found by chance.
+#: An item of fewer words is no passage: it would be found by chance.  Unless it has this many characters of scripts
+#: without spaces (where a clause is one word), or that many of any.
 LEAST_WORDS = 5
+LEAST_UNSPACED = 15
+LEAST_CHARACTERS = 64
+_UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Bytes of benchmark text that one searcher takes: a larger benchmark is searched group by group.
 GROUP_BYTES = 4 << 20
 
 
 def windows(text: str | None, window: int = WINDOW) -> list[bytes]:
-    """The test strings of one item, in order, each between two spaces; none if it has under LEAST_WORDS words."""
+    """The test strings of one item, in order, each between two spaces; none if it is too short for a passage."""
     _, raw = tx.flat(pa.array([text], pa.string()))
     words = raw.tobytes().split()
     if len(words) < LEAST_WORDS:
-        return []
+        letters = b"".join(words).decode("utf-8")
+        if len(letters) < LEAST_CHARACTERS and len(_UNSPACED.findall(letters)) < LEAST_UNSPACED:
+            return []
     return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))]
 
 

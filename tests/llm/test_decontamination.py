@@ -89,3 +89,11 @@ def test_edges(spark):
     assert dc.matches(empty(spark), bench).count() == dc.decontaminate(empty(spark), bench).count() == 0
     odd = clashing(spark, [(1, ITEM), (2, "clean")])
     assert dc.matches(odd, bench).count() == 2 and dc.decontaminate(odd, bench).columns == odd.columns
+
+
+def test_items_of_few_words_and_many_characters(spark):
+    question, long = "下列哪一个城市是中国的首都，人口最多？", "x" * 40 + " " + "y" * 40
+    bench = spark.createDataFrame([(1, question), (2, "中国的首都"), (3, long), (4, "Massachusetts Institute of Technology"), (5, "Московский государственный университет")], ITEMS)
+    rows = [(1, f"问题：{question}答案"), (2, "中国的首都"), (3, f"a {long} b"), (4, "at Massachusetts Institute of Technology"), (5, "Московский государственный университет")]
+    assert rows_of(dc.matches(docs(spark, rows), bench), "doc_id", "item_id", "windows_found", "windows_total") == [(1, 1, 1, 1), (3, 3, 1, 1)]
+    assert rows_of(dc.decontaminate(docs(spark, rows), bench), "doc_id") == [(2,), (4,), (5,)]
