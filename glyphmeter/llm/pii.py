@@ -4,12 +4,17 @@ Card numbers, IBANs, social security numbers, phone numbers, IPv4 addresses, dat
 found in whole texts, validated, and replaced by another value of the same format under a keyed permutation:
 punctuation, lengths, check digits and calendar validity are kept.  One key gives one pseudonym to a value
 wherever it occurs, and different values of a format never share one.
+
+A date has one pseudonym in all its notations.  It stays on the same side of the 10th, of the 13th and of October,
+so that no number gets wider and no month-first date can be read day-first; names of months may change length.  A
+North American phone number has one pseudonym with and without +1; other countries' national forms can't be told.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date, timedelta
 from functools import lru_cache
@@ -27,22 +32,23 @@ ROUNDS = 8
 _FIRST = date(1900, 1, 1).toordinal()
 _DAYS = date(2099, 12, 31).toordinal() - _FIRST + 1
 #: Texts without any of this hold nothing to replace.
-PREFILTER = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]|@|[0-9][0-9 ().+/:-]{4,}[0-9]|[A-Z]{2}[0-9]{2}[ A-Z0-9]{10}"
+_SP = " \u00a0\u2007\u2009\u202f"
+PREFILTER = rf"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[A-Za-z]*[{_SP}][0-9]|@|[0-9][0-9{_SP}().+/:-]{{4,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}[{_SP}A-Z0-9]{{10}}"
 
 _MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = {m[:k].lower(): i + 1 for i, m in enumerate(_MONTHS) for k in (3, len(m))}
 _KINDS = {
-    kind: re.compile(pattern.replace("MONTHS", "|".join(f"{m}|{m[:3]}" for m in _MONTHS)))
+    kind: re.compile(pattern.replace("MONTHS", "(?i:" + "|".join(f"{m}|{m[:3]}" for m in _MONTHS) + ")").replace("SP", _SP))
     for kind, pattern in {
         "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        "iso": r"(?<![\w.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![\w-]|\.[0-9])",
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[SP]?[A-Z0-9]{4}){2,7}(?:[SP]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "iso": r"(?<![\w.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?!(?!T[0-9]{2}:?[0-9]{2})[\w-]|\.[0-9])",
         "dmy": r"(?<![\w.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?![\w-]|\.[0-9])",
-        "named": r"(?<!\w)[0-9]{1,2}[ ](?:MONTHS)[ ][0-9]{4}(?!\w)|(?<!\w)(?:MONTHS)[ ][0-9]{1,2},[ ][0-9]{4}(?!\w)",
+        "named": r"(?<!\w)[0-9]{1,2}[SP](?:MONTHS)[SP][0-9]{4}(?!\w)|(?<!\w)(?:MONTHS)[SP][0-9]{1,2},[SP][0-9]{4}(?!\w)",
         "ip": r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])",
-        "phone": r"(?<![\w+])\+[0-9][0-9 ().-]{6,20}[0-9](?![0-9])|(?<![\w+(])\([0-9]{3}\)[ ]?[0-9]{3}[ -][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}(?P<s3>[-.])[0-9]{3}(?P=s3)[0-9]{4}(?![\w-]|\.[0-9])",
+        "phone": r"(?<![\w+])\+[0-9][0-9SP().-]{6,20}[0-9](?![0-9])|(?<![\w+(])\([0-9]{3}\)[SP]?[0-9]{3}[SP-][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}(?P<s3>[-.])[0-9]{3}(?P=s3)[0-9]{4}(?![\w-]|\.[0-9])",
         "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-        "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])",
+        "card": r"(?<![\w.-])[0-9](?:[SP-]?[0-9]){12,18}(?![\w-]|\.[0-9])",
     }.items()
 }
 _PATTERN = re.compile("|".join(f"(?:{pattern.pattern})" for pattern in _KINDS.values()))
@@ -123,10 +129,28 @@ class Pseudonyms:
     def ip(self, octets: list[int]) -> list[int]:
         return list(self.number(int.from_bytes(bytes(octets), "big"), 2, 32, "ip").to_bytes(4, "big"))
 
-    def _date(self, day: date, late: bool) -> date:
-        """late: a month-first date that can't be day-first, so that its pseudonym can't either."""
-        valid = lambda v: v < _DAYS and (not late or date.fromordinal(_FIRST + v).day > 12)
-        return date.fromordinal(_FIRST + self.within(day.toordinal() - _FIRST, 2, 17, "late" if late else "date", valid))
+    def _date(self, day: date) -> date:
+        """Another day with numbers as wide as this one's, and as sure to be no month."""
+        days, place = _days_of(_width(day)), day.toordinal() - _FIRST
+        at = bisect_left(days, place)
+        bits = len(days).bit_length()
+        return date.fromordinal(_FIRST + days[self.within(at, 2, bits, f"date{_width(day)}", lambda v: v < len(days))])
+
+
+def _width(day: date) -> int:
+    return (day.day > 9) + (day.day > 12) + 3 * (day.month > 9)
+
+
+@lru_cache(8)
+def _days_of(width: int) -> list[int]:
+    """All days of this width, counted from the first."""
+    return [k for k in range(_DAYS) if _width(date.fromordinal(_FIRST + k)) == width]
+
+
+@lru_cache(4)
+def _pseudonyms(key: bytes) -> Pseudonyms:
+    """One per worker: dates that were met are remembered."""
+    return Pseudonyms(key)
 
 
 def luhn(digits: str) -> int:
@@ -173,44 +197,48 @@ def pseudonym(kind: str, text: str, p: Pseudonyms) -> str | None:
         local, _, host = text.rpartition("@")
         return f"{p.alike(local, 'mail' + host.lower())}@{host}"
     if kind == "iban":
-        value = text.replace(" ", "")
+        value = re.sub(f"[{_SP}]", "", text)
         return _refill(text, p.iban(value)) if iban_valid(value) else None
     if kind == "iso":
         y, m, d = re.split(r"[-/.]", text)
         day = _day(y, m, d)
         if day is None:
             return None
-        new = p.date(day, False)
+        new = p.date(day)
         return text[4].join((f"{new.year}", _pad(m, new.month), _pad(d, new.day)))
     if kind == "dmy":
         a, b, y = re.split(r"[-/.]", text)
         sep = text[len(a)]
         if day := _day(y, b, a):
-            new = p.date(day, False)
+            new = p.date(day)
             return sep.join((_pad(a, new.day), _pad(b, new.month), f"{new.year}"))
         if day := _day(y, a, b):
-            new = p.date(day, True)
+            new = p.date(day)
             return sep.join((_pad(a, new.month), _pad(b, new.day), f"{new.year}"))
         return None
     if kind == "named":
-        words = text.replace(",", "").split(" ")
+        words, seps = re.split(f",?[{_SP}]", text), re.findall(f",?[{_SP}]", text)
         first = words[0].isdigit()
         d, m = (words[0], words[1]) if first else (words[1], words[0])
         day = _day(words[2], _MONTH[m.lower()], d)
         if day is None:
             return None
-        new = p.date(day, False)
-        name = _MONTHS[new.month - 1][: 3 if len(m) == 3 and m != "May" else None]
-        return f"{_pad(d, new.day)} {name} {new.year}" if first else f"{name} {_pad(d, new.day)}, {new.year}"
+        new = p.date(day)
+        name = _MONTHS[new.month - 1][: 3 if len(m) == 3 and m.lower() != "may" else None]
+        name = name.lower() if m.islower() else name.upper() if m.isupper() else name
+        return f"{_pad(d, new.day)}{seps[0]}{name}{seps[1]}{new.year}" if first else f"{name}{seps[0]}{_pad(d, new.day)}{seps[1]}{new.year}"
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         return ".".join(map(str, p.ip(octets))) if max(octets) < 256 else None
     if kind == "phone":
         if not 7 <= len(digits) <= 15:
             return None
-        code = 0
-        if text[0] == "+":
-            code = len(re.match(r"\+(\d{1,3})?", text)[1] or "") if re.match(r"\+\d{1,3}[ (.-]", text) else min(2, len(digits) - 6)
+        if text[0] != "+":
+            return _refill(text, p.digits(digits, "phone1"))  # as it is with +1
+        if digits[0] == "1" and len(digits) == 11:
+            code = 1
+        else:
+            code = len(re.match(r"\+(\d{1,3})?", text)[1] or "") if re.match(rf"\+\d{{1,3}}[{_SP}(.-]", text) else min(2, len(digits) - 6)
         return _refill(text, digits[:code] + p.digits(digits[code:], "phone" + digits[:code]))
     if kind == "ssn":
         return _refill(text, p.ssn(digits)) if ssn_valid(digits) else None
@@ -231,7 +259,7 @@ def _readings(kind: str, text: str, at: int, p: Pseudonyms) -> list[str]:
         ends = (e for e in range(first.end() - 1, at, -1) if _ENDS[kind].match(text, e))
         found += [m[0] for e in ends if (m := _KINDS[kind].fullmatch(text, at, e))]
     if kind == "iban":
-        found.sort(key=lambda t: len(t.replace(" ", "")) != _IBAN_LENGTH.get(t[:2]))
+        found.sort(key=lambda t: sum(map(str.isalnum, t)) != _IBAN_LENGTH.get(t[:2]))
     if kind == "phone" and len(found) > 1:
         found.sort(key=lambda t: _phone_faults(text, at, t, p))
     return found
@@ -239,7 +267,7 @@ def _readings(kind: str, text: str, at: int, p: Pseudonyms) -> list[str]:
 
 def _phone_faults(text: str, at: int, reading: str, p: Pseudonyms) -> tuple[bool, ...]:
     end = at + len(reading)
-    behind = re.compile(r"[ ,;(]*").match(text, end).end()
+    behind = re.compile(f"[{_SP},;(]*").match(text, end).end()
     behind -= text[behind - 1] == "(" and behind > end
     followed = behind > end and not text.startswith("+", behind) and value(text, behind, p) is not None
     american = reading[1] == "1" and sum(c.isdigit() for c in reading) == 11
@@ -275,7 +303,9 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, column: str = "text", count:
     """docs with the values in one text column replaced; `count`, if given, is added: how many were.
 
     Every other column stays as it is; one that is called like `count` is replaced by it.  A null text stays
-    null with count 0, an empty one empty; repeated rows change alike.  The rows never move: no shuffle.
+    null with count 0, an empty one empty; repeated rows change alike; texts are searched whole, however long; an
+    empty table gives no rows.  Where values overlap, the one that begins first counts.  The rows never move: no
+    shuffle.
     """
     schema = docs.schema
     if count:
@@ -284,7 +314,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, column: str = "text", count:
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(column)
         found = pc.fill_null(pc.match_substring_regex(texts, PREFILTER), False)
-        p, values, counts = Pseudonyms(key), texts.to_pylist() if pc.any(found).as_py() else None, [0] * batch.num_rows
+        p, values, counts = _pseudonyms(key), texts.to_pylist() if pc.any(found).as_py() else None, [0] * batch.num_rows
         if values is not None:
             for i in pc.indices_nonzero(found).to_pylist():
                 values[i], counts[i] = replace(values[i], p)
