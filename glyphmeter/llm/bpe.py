@@ -35,6 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of a leaf; bytes from which one piece is encoded by halves.
 LEAF = 1 << 14
 PIECE = 1 << 10
+_SURE = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
 _cache: dict[str, Codec] = {}
 
 
@@ -115,20 +116,34 @@ class Codec:
             return right if not left_text else left
         reach = 64
         while True:
-            start = self._boundary(left_text, reach)
-            pieces, cut = self._match(left_text[start:], right_text, self._ends(right_text, reach), reach)
+            start, ends = self._boundary(left_text, reach), self._ends(right_text, reach)
+            pieces, cut = self._match(left_text[start:], right_text, ends, reach)
             if pieces:
+                # what ends before the cut is final on the left; only the white space at its end waits for what follows
+                final = len(left_text.rstrip())
+                while pieces and start + len(pieces[0]) <= final:
+                    start, pieces = start + len(pieces[0]), pieces[1:]
                 keep_left = self._prefix(left, left_text[:start])
                 keep_right = self._prefix(right, right_text[:cut])
+                last = len(left_text) + cut - len("".join(pieces[-1:]))  # where the last piece starts
+                if pieces and ends and cut == ends[0] and start <= last < len(left_text) and self.pattern.match(left_text, last).end() == len(left_text):
+                    # the last piece of the left and the first of the right are one: only their seam is encoded anew
+                    at = self._prefix(left, left_text[:last])
+                    seam = self.join_piece(left[at:], right[:keep_right])
+                    return np.concatenate((left[:keep_left], self._pieces(pieces[:-1]), seam, right[keep_right:]))
                 return np.concatenate((left[:keep_left], self._pieces(pieces), right[keep_right:]))
             reach *= 4
 
     def _boundary(self, text: str, reach: int) -> int:
-        """A place near the end, not among the last few characters, where a piece surely starts; 0 in a short text."""
+        """A place near the end, not among the last few characters, where a piece surely starts; 0 if there is none.
+
+        Runs of letters, of digits and of other signs end where they end, whatever comes before; but an apostrophe
+        may take letters along, and a space may belong to either side.
+        """
         tail = max(0, len(text) - reach)
         if tail == 0:
             return 0
-        for m in regex.finditer(r"(?<=[\p{L}\p{N}])(?= \p{L})", text, pos=tail, endpos=len(text)):
+        for m in _SURE.finditer(text, tail):
             if m.start() < len(text) - 8:
                 return m.start()
         return 0 if len(text) <= reach else self._boundary(text, reach * 4)
@@ -144,10 +159,10 @@ class Codec:
     def _match(self, window: str, right: str, ends: list[int], reach: int) -> tuple[list[str], int]:
         """The pieces from window's start to the first boundary that both splits share, and its place; none if reach is too short."""
         part = right[: reach + 16]
-        own, n, pieces = set(ends), len(window), []
+        own, n, pieces = {0, *ends}, len(window), []
         for m in self.pattern.finditer(window + part):
             pieces.append(m[0])
-            if m.end() > n and m.end() - n in own:
+            if m.end() >= n and m.end() - n in own:
                 return pieces, m.end() - n
         return (pieces, len(right)) if len(part) == len(right) else ([], 0)
 
@@ -206,11 +221,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY, leaf: int = LEAF) -> DataFra
 
     Texts of up to `leaf` characters are encoded where they are read.  The leaves of longer ones are spread
     over all tasks and come back to one task a text, which joins them.  round_trip: decoding gives the text
-    again.  Null text: all null.  Repeated rows stay repeated; other columns are left out, whatever they
-    are called.
+    again.  Null text: all null; empty text: no tokens; empty table: no rows.  Repeated rows stay repeated, rows
+    with one id and different texts are independent; other columns are left out, whatever they are called.
     """
     schema = "doc_id bigint, tokens array<int>, n_tokens int, n_bytes bigint, round_trip boolean"
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def rows(ids: pa.Array, texts: list, tokens: list, c: Codec) -> pa.RecordBatch:
         data = [None if t is None else t.encode("utf-8") for t in texts]

@@ -3,12 +3,16 @@
 One Aho-Corasick pass over a value locates the magic bytes of all formats at once; a validator per format then
 walks the structure from there and says how long the object is, or that there is none.  What starts at offset 0
 is the value's true type, which corrects the declared one; what starts later is embedded media to be carved.
+
+Validators read a value where it lies and decompress streams into a bounded buffer that is thrown away: memory
+follows the value, not what it expands to.
 """
 
 from __future__ import annotations
 
 import bz2
 import lzma
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,6 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Length = int | None
+#: Bytes that a stream is decompressed to at a time.
+OUTPUT = 1 << 18
+#: Of the value at hand: where the local headers of an archive end, and where its directory does.
+_headers: dict[int, int] = {}
+_directories: dict[int, int] = {}
 
 
 def _png(b: memoryview, at: int) -> Length:
@@ -76,18 +85,15 @@ def _jpeg(b: memoryview, at: int) -> Length:
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         p += 2 + size
         if kind == 0xDA:  # entropy-coded data runs to the next marker that is no restart
-            raw = bytes(b[p:])
-            q = 0
             while True:
-                q = raw.find(b"\xff", q)
-                if q < 0 or q + 1 >= len(raw):
+                p = b.obj.find(b"\xff", p)
+                if p < 0 or p + 1 >= len(b):
                     return None
-                if raw[q + 1] == 0xD9:
-                    return p + q + 2 - at if frame else None
-                if raw[q + 1] and not 0xD0 <= raw[q + 1] <= 0xD7:
+                if b[p + 1] == 0xD9:
+                    return p + 2 - at if frame else None
+                if b[p + 1] and not 0xD0 <= b[p + 1] <= 0xD7:
                     break
-                q += 2
-            p += q
+                p += 2
     return None
 
 
@@ -114,52 +120,62 @@ def _riff(kind: bytes) -> Callable[[memoryview, int], Length]:
 
 
 def _pdf(b: memoryview, at: int) -> Length:
-    raw = bytes(b[at:])
-    end = raw.rfind(b"%%EOF")
-    if end < 0 or raw.rfind(b"startxref", 0, end) < 0 or not raw[5:6].isdigit():
+    if not b.obj[at + 5 : at + 6].isdigit():
         return None
-    # an object embedded in another one ends at its own mark, before the next header
-    other = raw.find(b"%PDF-", 5)
-    if other >= 0:
-        end = raw.rfind(b"%%EOF", 0, other)
-        if end < 0:
-            return None
-    return end + 5
+    # it ends at its own mark, before the next header
+    other = b.obj.find(b"%PDF-", at + 5)
+    end = b.obj.rfind(b"%%EOF", at, other if other >= 0 else len(b))
+    return end + 5 - at if end >= 0 and b.obj.rfind(b"startxref", at, end) >= 0 else None
 
 
 def _zip(b: memoryview, at: int) -> Length:
-    p, raw = at, b
-    while p + 30 <= len(b) and bytes(b[p : p + 4]) == b"PK\x03\x04":
-        flags = struct.unpack_from("<H", raw, p + 6)[0]
-        size, _, name, extra = struct.unpack_from("<IIHH", raw, p + 18)
-        if flags & 8:  # sizes come after the data: look for the directory
-            found = bytes(b[p:]).find(b"PK\x01\x02")
-            if found < 0:
-                return None
-            p += found
+    p, passed = at, []
+    while p not in _headers and p + 30 <= len(b) and b[p : p + 4] == b"PK\x03\x04":
+        flags = struct.unpack_from("<H", b, p + 6)[0]
+        size, _, name, extra = struct.unpack_from("<IIHH", b, p + 18)
+        passed.append(p)
+        if flags & 8:  # sizes come after the data: look for the directory, up to which every header leads to the same one
+            end = b.obj.find(b"PK\x01\x02", p)
+            if end >= 0:
+                q = p
+                while 0 <= (q := b.obj.find(b"PK\x03\x04", q + 4, end)):
+                    if b[q + 6] & 8:
+                        passed.append(q)
+            p = end
             break
         p += 30 + name + extra + size
-    start = p
-    while p + 46 <= len(b) and bytes(b[p : p + 4]) == b"PK\x01\x02":
-        p += 46 + sum(struct.unpack_from("<HHH", raw, p + 28))
-    if p + 22 > len(b) or bytes(b[p : p + 4]) != b"PK\x05\x06":
+    start = _headers.get(p, p)
+    _headers.update(dict.fromkeys(passed, start))
+    if start < 0:
         return None
-    directory, offset, comment = struct.unpack_from("<IIH", raw, p + 12)
+    if start not in _directories:
+        p = start
+        while p + 46 <= len(b) and b[p : p + 4] == b"PK\x01\x02":
+            p += 46 + sum(struct.unpack_from("<HHH", b, p + 28))
+        _directories[start] = p
+    p = _directories[start]
+    if p + 22 > len(b) or b[p : p + 4] != b"PK\x05\x06":
+        return None
+    directory, offset, comment = struct.unpack_from("<IIH", b, p + 12)
     return p + 22 + comment - at if directory == p - start and offset == start - at and p + 22 + comment <= len(b) else None
 
 
 def _stream(make: Callable[[], object]) -> Callable[[memoryview, int], Length]:
     def length(b: memoryview, at: int) -> Length:
-        coder = make()
+        coder, p, step = make(), at, b""
         try:
-            p = at
-            while p < len(b) and not coder.eof:
-                step = b[p : p + (1 << 16)]
-                coder.decompress(step)
-                p += len(step)
+            while not coder.eof:
+                waiting = step or not getattr(coder, "needs_input", True)
+                if not waiting and p < len(b):
+                    step = b[p : p + (1 << 16)]
+                    p += len(step)
+                out = coder.decompress(step, OUTPUT)
+                if not out and not waiting and not step and not coder.eof:
+                    return None  # it ends too soon
+                step = getattr(coder, "unconsumed_tail", b"")
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
             return None
-        return p - len(coder.unused_data) - at if coder.eof else None
+        return p - len(coder.unused_data) - at
 
     return length
 
@@ -228,6 +244,9 @@ def _automaton() -> ahocorasick.Automaton:
     return automaton
 
 
+_BLANK = re.compile("[\ufeff \t\r\n\f]*")
+
+
 def _plain(data: bytes) -> str:
     """The type of what has no signature."""
     try:
@@ -236,8 +255,14 @@ def _plain(data: bytes) -> str:
         return "application/octet-stream"
     if "\0" in text:
         return "application/octet-stream"
-    head = text[:512].lstrip("﻿ \t\r\n").lower()
-    return "text/html" if head.startswith(("<!doctype html", "<html")) else "text/plain"
+    at = 0
+    while True:  # behind white space, comments and an XML declaration, however long
+        at = _BLANK.match(text, at).end()
+        mark = next((m for m in (("<!--", "-->"), ("<?xml", "?>")) if text.startswith(m[0], at)), None)
+        end = text.find(mark[1], at) if mark else -1
+        if end < 0:
+            return "text/html" if text[at : at + 14].lower().startswith(("<!doctype html", "<html")) else "text/plain"
+        at = end + len(mark[1])
 
 
 def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
@@ -246,6 +271,8 @@ def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     Embedded objects are taken from left to right and don't overlap each other; they may lie inside the first
     object (a picture stored in an archive) or after it.
     """
+    _headers.clear()
+    _directories.clear()
     hits = []
     for end, (size, ks) in _automaton().iter(data.decode("latin-1")):
         for k in ks:
@@ -278,7 +305,8 @@ def inspect(media: DataFrame, id: str = "media_id", content: str = "content", de
 
     corrected: the declared type was wrong, or missing, and detected replaces it.  length < size: something
     follows the object.  A null content has a null detected type and nothing embedded and isn't corrected; an
-    empty one is text/plain of length 0.  Repeated rows stay repeated; other columns play no part.
+    empty one is text/plain of length 0; an empty table gives no rows.  Values are read whole, however long.  Repeated
+    rows stay repeated; other columns play no part.
     """
     narrow = media.select(F.col(id).cast("bigint").alias("media_id"), F.col(declared).alias("declared"), F.col(content).alias("content"))
     embedded = pa.list_(pa.struct(_EMBEDDED + [("content", pa.binary())] * carved))
@@ -305,7 +333,11 @@ def inspect(media: DataFrame, id: str = "media_id", content: str = "content", de
 
 
 def carve(media: DataFrame, id: str = "media_id", content: str = "content", declared: str = "declared") -> DataFrame:
-    """media_id, type, offset, content of every embedded object, as a row of its own."""
+    """media_id, type, offset, content of every embedded object, as a row of its own.
+
+    A null or empty content has none, an empty table gives no rows; repeated rows give their objects again; a null
+    id stays null; other columns play no part.
+    """
     narrow = media.select(F.col(id).cast("bigint").alias("media_id"), F.col(content).alias("content")).where("content is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -235,13 +235,17 @@ def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group; rows in no group all stay.  Columns and their order are those of docs."""
+    """docs with one row of each group; rows in no group all stay.  Columns and their order are those of docs.
+
+    Null, empty and wordless texts are in no group.  Of equal rows one stays.  An empty table stays empty; columns
+    other than doc_id and text play no part, whatever they are called.
+    """
     found, count = groups(docs, radius)
-    decided = found.where("not keep or copies > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
-    hashed = docs.withColumn("__hash_of_row", F.xxhash64("text"))
-    near = hashed.join(small(decided, count), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__hash_of_row") == F.col("__hash")), "left")
-    stays = near.where("__keep is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    decided = found.where("not keep or copies > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "keep")
+    # docs' own columns travel as one, so that no name can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("row_id"), F.xxhash64("text").alias("row_hash"))
+    near = rows.join(small(decided, count), F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")), "left")
+    stays = near.where("keep is null").select("row.*")
     if not found.where("keep and copies > 1").isEmpty():  # repeated rows of which one stays
-        one = near.where("__keep").dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-        stays = stays.unionByName(one)
+        stays = stays.union(near.where("keep").dropDuplicates(["id", "hash"]).select("row.*"))
     return stays

@@ -6,7 +6,7 @@ import random
 
 DOCS = "doc_id bigint, text string"
 #: Names that operators use inside, and the labels' and benchmark's columns.
-CLASHING = "doc_id bigint, text string, lang string, item_id string, toxic string, node string, fp string, key string, part string, h string, label_id string, text_hash string, pii_values string, tokens string, n_tokens string"
+CLASHING = "doc_id bigint, text string, lang string, item_id string, toxic string, node string, fp string, key string, part string, h string, label_id string, text_hash string, pii_values string, tokens string, n_tokens string, __id string, __keep string, __hash string, __hash_of_row string, row string, id string, hash string, keep string, row_id string, row_hash string, origin string, copies string"
 
 
 def words(rng: random.Random, n: int, vocabulary: int = 400) -> str:

@@ -55,6 +55,43 @@ def test_magic_without_structure_is_no_media():
     assert media.sniff(bytes(broken))[0] != "image/png"
 
 
+def test_html_behind_a_long_head():
+    for head in (" " * 6000, f"<!-- {'x' * 6000} -->", "\ufeff<?xml version='1.0'?>\n" + "<!-- a -->\n" * 500):
+        assert media.sniff((head + "<HTML><p>").encode())[0] == "text/html"
+        assert media.sniff((head + "words <html>").encode())[0] == "text/plain"
+    assert media.sniff(b"<!-- never closed <html>")[0] == "text/plain"
+
+
+def test_bombs_take_no_memory():
+    import bz2
+    import lzma
+    import resource
+
+    zeros = bytes(1 << 28)
+    bombs = {"application/x-bzip2": bz2.compress(zeros), "application/gzip": media.gz(zeros), "application/x-xz": lzma.compress(zeros)}
+    del zeros
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for kind, data in bombs.items():
+        assert media.sniff(data + b"more")[:2] == (kind, len(data))
+        assert media.sniff(data[:-9])[0] != kind
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # KB
+
+
+def test_many_headers_take_linear_time():
+    import time
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for k in range(20000):
+            z.writestr(str(k), "x" * 20)
+    began = time.perf_counter()
+    assert media.sniff(buffer.getvalue())[:2] == ("application/zip", len(buffer.getvalue()))
+    assert media.sniff(b"%PDF-1 startxref " * 40000)[0] == "text/plain"
+    streamed = b"".join(b"PK\x03\x04" + b"\x14\0\x08\0" + b"\0" * 22 + b"data" for _ in range(40000))
+    assert media.sniff(streamed + b"PK\x01\x02")[0] == "application/octet-stream"
+    assert time.perf_counter() - began < 20
+
+
 def brute(data):
     """Every format tried at every offset."""
     view, kind, length, found, free = memoryview(data), None, len(data), [], 0

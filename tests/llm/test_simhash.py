@@ -99,5 +99,5 @@ def test_edges(spark):
     assert simhash.duplicates(empty(spark)).count() == simhash.dedup(empty(spark)).count() == 0
     odd = clashing(spark, [(2, "same words here"), (1, "same words here"), (1, "same words here")])
     one = simhash.dedup(odd)
-    assert one.columns == odd.columns and [r["doc_id"] for r in one.collect()] == [1]
+    assert one.columns == odd.columns and [r["doc_id"] for r in one.collect()] == [1] and one.first()["__hash_of_row"] == "x"
     assert simhash.duplicates(odd).count() == 2

@@ -6,7 +6,7 @@ from glyphmeter.llm import bpe, token_counts
 from tests.llm.data import clashing, docs, empty, rows_of
 
 CODEC = bpe.codec()
-ALPHABET = ["a", "b", " ", "  ", "\n", "é", "語", "'s", "'", "1", "22", "!", "?!", "\t", "the", " of", "x" * 40, " " * 30, "ab" * 300, "　", "🙂", "́", "\xa0"]
+ALPHABET = ["a", "b", " ", "  ", "\n", "é", "語", "。", "漢字、", "don't", "'", "'re", "'s", "'", "1", "22", "!", "?!", "\t", "the", " of", "x" * 40, " " * 30, "ab" * 300, "　", "🙂", "́", "\xa0"]
 
 
 def direct(text):
@@ -27,6 +27,19 @@ def test_long_unsplit_pieces(text):
     assert CODEC.decode(CODEC.encode(text)) == text
 
 
+@pytest.mark.parametrize("text", ["漢" * 9000, "漢字。" * 4000, "1" * 9000, "12.5," * 3000, "語" * 5000 + " " + "é" * 5000])
+def test_joins_encode_a_window_only(monkeypatch, text):
+    """Without a letter, a space and a letter too: a join reads a window, not its whole left side."""
+    half = len(text) // 2
+    left, right = text[:half], text[half:]
+    parts = left, CODEC.leaf(left), right, CODEC.leaf(right)
+    read = []
+    piece = CODEC.piece
+    monkeypatch.setattr(CODEC, "piece", lambda data: read.append(len(data)) or piece(data))
+    assert CODEC.join(*parts).tolist() == direct(text)
+    assert sum(read) < len(text.encode()) // 4
+
+
 ROWS = [(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (None, "null id"), (4, "long text " * 500), (4, "long text " * 500), (5, "x" * 5000), (6, "long text " * 500 + "!")]
 
 
@@ -42,6 +55,8 @@ def test_encode_table(spark):
 def test_encode_edges(spark):
     assert bpe.encode(empty(spark)).count() == 0
     assert bpe.encode(clashing(spark, [(1, "a b")])).first()["tokens"] == direct("a b")
+    small = spark.createDataFrame([(1, "a b"), (2, "long " * 200)], "doc_id int, text string")
+    assert rows_of(bpe.encode(small, leaf=256), "doc_id", "n_tokens") == [(1, 2), (2, len(direct("long " * 200)))]
 
 
 def histogram(rows):
