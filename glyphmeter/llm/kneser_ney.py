@@ -7,10 +7,13 @@ neither class has seen cancels, and one that is rare is drawn towards the shared
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from glyphmeter.llm import text as tx
 
@@ -44,26 +47,55 @@ def tally(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[heads], *(np.add.reduceat(c[order], heads) for c in counts))
 
 
-def _sums(group: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For sorted group labels: each value summed over its group, at every member."""
-    if not len(group):
-        return values
-    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    sizes = np.diff(np.append(heads, len(group)))
-    return tuple(np.repeat(np.add.reduceat(v, heads), sizes) for v in values)
+def _sums(c: str) -> dict[str, Column]:
+    return {f"{c}_total": F.sum(c), f"{c}_kinds": F.sum((F.col(c) > 0).cast("bigint"))}
 
 
-def _shared(key: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
-    """P(w|h) of each sorted n-gram from its continuation counts n."""
-    context = key >> _BYTE
-    total, kinds = _sums(context, n.astype(np.float64), np.ones(len(n)))
+def _with_contexts(grams: DataFrame, counts: Sequence[str]) -> DataFrame:
+    """grams with the sums over all that have their context; a context has 256 grams at most."""
+    w = Window.partitionBy(F.shiftright("gram", 8))
+    return grams.select("*", *(x.over(w).alias(n) for c in counts for n, x in _sums(c).items()))
+
+
+def _shared(grams: DataFrame, models: Sequence[str], order: int) -> DataFrame:
+    """gram and P(w|h) of each model (named as it is), from grams of this order with each model's continuation counts."""
+    known = _with_contexts(grams, models)
     if order == 1:
-        lower = np.full(len(key), 1 / 256)
+        lower = {m: F.lit(1 / 256) for m in models}
     else:
-        suffix = key & np.uint64((1 << 8 * (order - 1)) - 1)
-        below, counts = tally(suffix, np.ones(len(suffix)))
-        lower = _shared(below, counts, order - 1)[np.searchsorted(below, suffix)]
-    return np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * kinds / total * lower
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+        below = grams.groupBy(suffix.alias("gram")).agg(*(F.sum((F.col(m) > 0).cast("bigint")).alias(m) for m in models))
+        low = _shared(below, models, order - 1).select(F.col("gram").alias("suffix"), *(F.col(m).alias(f"{m}_low") for m in models))
+        known = known.join(low, suffix == F.col("suffix"))
+        lower = {m: F.col(f"{m}_low") for m in models}
+    share = lambda m: (F.greatest(F.col(m) - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT) * F.col(f"{m}_kinds") * lower[m]) / F.col(f"{m}_total")
+    return known.select("gram", *(F.when(F.col(f"{m}_total") > 0, share(m)).alias(m) for m in models))
+
+
+def fit(counted: DataFrame, models: Sequence[str], order: int) -> tuple[DataFrame, DataFrame]:
+    """Log-ratios of all models: of each gram, and of any other after each context (gram). null: the model has none.
+
+    counted: gram and, of each model m, how often the toxic texts (m_t) and the ordinary ones (m_p) have it.  Sums by
+    context and by suffix are aggregates and small windows, so any number of tasks takes part.
+    """
+    suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+    kinds = lambda m: ((F.col(f"{m}_t") > 0).cast("bigint") + (F.col(f"{m}_p") > 0).cast("bigint")).alias(m)
+    below = counted.select(suffix.alias("gram"), *map(kinds, models)).groupBy("gram").agg(*(F.sum(m).alias(m) for m in models))
+    shared = _shared(below, models, order - 1).withColumnRenamed("gram", "suffix")
+    sides = [f"{m}_{side}" for m in models for side in "tp"]
+
+    def weight(c: str) -> Column:
+        return F.when(F.col(f"{c}_total") > 0, F.lit(DISCOUNT) * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(F.lit(1.0))
+
+    def log(c: str, m: str) -> Column:
+        seen = F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)) / F.col(f"{c}_total")).otherwise(F.lit(0.0))
+        return F.log(seen + weight(c) * F.col(m))
+
+    known = _with_contexts(counted, sides).join(shared, suffix == F.col("suffix"))
+    value = lambda m: F.when(F.col(f"{m}_t") + F.col(f"{m}_p") > 0, log(f"{m}_t", m) - log(f"{m}_p", m)).cast("float").alias(m)
+    context = counted.groupBy(F.shiftright("gram", 8).alias("gram")).agg(*(x.alias(n) for c in sides for n, x in _sums(c).items()))
+    back = lambda m: F.when(F.col(f"{m}_t_total") + F.col(f"{m}_p_total") > 0, F.log(weight(f"{m}_t")) - F.log(weight(f"{m}_p"))).cast("float").alias(m)
+    return known.select("gram", *map(value, models)), context.select("gram", *map(back, models))
 
 
 class Lookup:
@@ -71,7 +103,7 @@ class Lookup:
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
         """key: distinct, sorted."""
-        self.bits = max(4, int(len(key)).bit_length() + 2)
+        self.bits = max(4, int(len(key)).bit_length() + 1)
         slot = self._slot(key)
         owner = np.full(1 << self.bits, -1, np.int64)
         owner[slot[::-1]] = np.arange(len(key))[::-1]
@@ -82,16 +114,6 @@ class Lookup:
         rest = np.flatnonzero(owner[slot] != np.arange(len(key)))
         self.rest, self.rest_value = key[rest], value[rest].astype(np.float32)
 
-    @classmethod
-    def of(cls, arrays: dict[str, np.ndarray]) -> Lookup:
-        self = cls.__new__(cls)
-        self.key, self.value, self.rest, self.rest_value = (arrays[x] for x in ("key", "value", "rest", "rest_value"))
-        self.bits = len(self.key).bit_length() - 1
-        return self
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {x: getattr(self, x) for x in ("key", "value", "rest", "rest_value")}
-
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
@@ -117,12 +139,9 @@ class Model:
     context: Lookup
 
     @classmethod
-    def of(cls, order: int, arrays: dict[str, np.ndarray]) -> Model:
-        part = lambda p: Lookup.of({k[1:]: v for k, v in arrays.items() if k[0] == p})
-        return cls(order, part("g"), part("c"))
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {p + k: v for p, x in (("g", self.gram), ("c", self.context)) for k, v in x.arrays().items()}
+    def of(cls, order: int, name: str, grams: pa.Table, contexts: pa.Table) -> Model:
+        """One of the models of the tables that fit() gives."""
+        return cls(order, *(Lookup(*_known(t, name)) for t in (grams, contexts)))
 
     def ratios(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: the sum of the log-ratios over its bytes, and how many there are."""
@@ -138,19 +157,8 @@ class Model:
         return out, n
 
 
-def fit(key: np.ndarray, toxic: np.ndarray, plain: np.ndarray, order: int) -> Model:
-    """key: distinct, sorted; toxic, plain: how often each class has it."""
-    context = key >> _BYTE
-    suffix = key & np.uint64((1 << 8 * (order - 1)) - 1)
-    below, counts = tally(suffix, (toxic > 0).astype(np.float64) + (plain > 0))
-    shared = _shared(below, counts, order - 1)[np.searchsorted(below, suffix)] if len(key) else np.zeros(0)
-    log, back = [], []
-    for n in (toxic.astype(np.float64), plain.astype(np.float64)):
-        total, kinds = _sums(context, n, (n > 0).astype(np.float64))
-        seen = total > 0
-        total = np.where(seen, total, 1)
-        weight = np.where(seen, DISCOUNT * kinds / total, 1.0)
-        log.append(np.log(np.maximum(n - DISCOUNT, 0) / total + weight * shared))
-        back.append(np.log(weight))
-    heads = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return Model(order, Lookup(key, log[0] - log[1]), Lookup(context[heads], (back[0] - back[1])[heads]))
+def _known(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    value = table.column(name).to_numpy()  # nan for null
+    key = table.column("gram").to_numpy().view(np.uint64)[~np.isnan(value)]
+    order = np.argsort(key)
+    return key[order], value[~np.isnan(value)][order]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,13 @@ BROADCAST_BYTES = 32 << 20
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (as in tests) a folder of our own."""
+    """spark.checkpoint.dir; only where that is unset and Spark runs on this machine alone, a folder of our own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glyphmeter-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -48,27 +52,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """From a task: all or nothing, and the same bytes whoever of two attempts comes last."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    try:
-        fs.move(part, path)
-    except OSError:  # file systems that don't replace: another attempt was first
-        if fs.get_file_info(path).type == pafs.FileType.NotFound:
-            raise
-        fs.delete_file(part)
-
-
-def map_file(uri: str) -> pa.Buffer:
-    """A file of the shared folder: mapped where it is a local file, else read."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return pa.memory_map(path).read_buffer()
-    with fs.open_input_file(path) as f:
-        return f.read_buffer()
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Of a Hadoop URI, for Python workers: Hadoop's names for S3 are s3a and s3n, Arrow's is s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def read_table(uri: str, column: str | None = None, among: list | None = None, columns: list[str] | None = None) -> pa.Table:
+    """A Parquet folder of the shared folder, in a task; with `column`, its rows whose value is among these; of all columns or some."""
+    fs, path = file_system(uri)
+    table = pads.dataset(path, format="parquet", filesystem=fs)
+    return table.to_table(columns, filter=None if column is None else pads.field(column).isin(among))
 
 
 def small(df: DataFrame, rows: int, width: int = 32) -> DataFrame:

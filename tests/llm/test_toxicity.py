@@ -45,19 +45,18 @@ def brute(toxic, plain, text, order=ORDER):
     return sum(math.log(p(n[0], g) / p(n[1], g)) for g in gs) / max(1, len(gs))
 
 
-def model(toxic, plain, order=ORDER):
-    sides = [kn.tally(*(lambda k: (k, np.ones(len(k), np.int64)))(kn.keys(pa.array(side), order)[1])) for side in (toxic, plain)]
-    zero = lambda k: np.zeros(len(k), np.int64)
-    (a, n), (b, m) = sides
-    return kn.fit(*kn.tally(np.concatenate([a, b]), np.concatenate([n, zero(b)]), np.concatenate([zero(a), m])), order)
+def model(spark, toxic, plain, order=ORDER):
+    n = [Counter(kn.keys(pa.array(side), order)[1].tolist()) for side in (toxic, plain)]
+    counted = spark.createDataFrame([(g, n[0][g], n[1][g]) for g in n[0] | n[1]], "gram bigint, m_t bigint, m_p bigint")
+    return kn.Model.of(order, "m", *(x.toArrow() for x in kn.fit(counted, ["m"], order)))
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_against_the_definition(seed):
+def test_against_the_definition(spark, seed):
     rng = random.Random(seed)
     make = lambda: "".join(rng.choice("abc é") for _ in range(rng.randrange(1, 25)))
     toxic, plain, tests = [make() for _ in range(4)], [make() for _ in range(9)], [make() for _ in range(20)] + ["zz", "", "abc"]
-    total, n = model(toxic, plain).ratios(pa.array(tests))
+    total, n = model(spark, toxic, plain).ratios(pa.array(tests))
     for t, x, k in zip(tests, total, n):
         assert x / max(1, k) == pytest.approx(brute(toxic, plain, t), abs=1e-4)
 
@@ -107,6 +106,30 @@ def test_held_out_accuracy(spark):
     assert sum(r["toxic"] for r in got) >= 0.9 * len(planted)
 
 
+@pytest.mark.parametrize("local", [toxicity.LOCAL_RUNS, 0])
+def test_scores_and_threshold_by_brute_force(spark, local):
+    """Halves, cross-scoring, threshold and calls, with dictionaries; by models at hand and by joins."""
+    rng = random.Random(3)
+    make = lambda bad: " ".join(rng.choice(["ab", "ba c", "b", "cab"] + ["zx", "xz"] * bad) for _ in range(rng.randrange(1, 6)))
+    rows = [(i, make(i % 3 == 0)) for i in range(30)] + [(40, None), (41, ""), (5, "ab zx")]
+    marks = [(i, int(i % 3 == 0), 1) for i in range(24)]
+    docs_, labels = docs(spark, rows), spark.createDataFrame(marks, LABELS)
+    half = {r["doc_id"]: r["h"] for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) h").collect()}
+    bad = {i for i, toxic, _ in marks if toxic}
+    sides = [[[t for i, t in rows if i in half and t is not None and half[i] in halves and (i in bad) == toxic] for toxic in (True, False)] for halves in ((0,), (1,), (0, 1))]
+    assert all(s for pair in sides for s in pair)
+    crossed = [(brute(*sides[1 - half[i]], t), i in bad) for i, t in rows if i in half and t is not None]
+    models = toxicity.fitted(docs_, labels, ORDER)
+    cut = toxicity.threshold(docs_, labels, models, local)
+    f1 = lambda c: 2 * sum(b for s, b in crossed if s >= c) / (sum(s >= c for s, _ in crossed) + sum(b for _, b in crossed))
+    assert f1(cut) == pytest.approx(max(f1(s) for s, _ in crossed), abs=0.02)
+    scored = toxicity.scored(docs_.selectExpr("doc_id", "text", "'all' model"), models, ["doc_id"], local)
+    got = sorted((r["doc_id"], round(r["score"], 3)) for r in scored.collect())
+    assert [g[0] for g in got] == sorted(i for i, _ in rows)
+    for (_, a), (_, b) in zip(got, sorted((i, round(brute(*sides[2], t or ""), 3)) for i, t in rows)):
+        assert a == pytest.approx(b, abs=0.002)
+
+
 def test_edges(spark):
     rows, labels = corpus(80)
     odd = [(1, None), (2, ""), (None, rows[0][1]), (900, "..."), (901, "river " * 30000), (0, rows[0][1]), (0, rows[0][1])]
