@@ -60,12 +60,36 @@ def test_gaps(usual):
 def test_sketch_never_underestimates(spark, monkeypatch):
     """A sketch far too small for its windows lets more through, and loses none."""
     rows = corpus(5)
-    monkeypatch.setattr(substring, "MOST", 1 << 9)
-    monkeypatch.setattr(substring, "SLICE", 1 << 7)
-    assert substring.shape(10**6) == (4, 128)
+    monkeypatch.setattr(substring, "shape", lambda estimate: (4, 128, 3000))
     assert spans(substring.repeated_spans(docs(spark, rows), 20)) == brute(rows, 20)
 
 
+@pytest.mark.parametrize("layout", [(1, 1 << 20, 500), (7, 1 << 12, 2000), (300, 64, 1 << 20)])
+def test_slices_and_origins_change_nothing(spark, monkeypatch, layout):
+    rows = corpus(6) + [(i, BASE) for i in range(100, 140)] + [(5, BASE)] * 3
+    monkeypatch.setattr(substring, "shape", lambda estimate: layout)
+    monkeypatch.setattr(substring, "TASK_BYTES", 1 << 12)
+    assert spans(substring.repeated_spans(docs(spark, rows).repartition(5), 20)) == brute(rows, 20)
+
+
+def test_a_task_holds_as_much_at_any_size():
+    for estimate in (1, 10**6, 10**9, 10**11, 10**13, 10**14):
+        slices, span, origin = substring.shape(estimate)
+        assert span <= substring.SLICE and origin <= substring.MOST_ORIGIN_BYTES
+        assert slices * span >= substring.LOAD * estimate  # and the estimates stay as good
+
+
+def test_the_prefilter_filters():
+    """Of windows that occur once, few have all their counters raised twice."""
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    slices, span, _ = substring.shape(len(h))
+    keep = np.zeros(len(h), np.int64)
+    for _, _, cell, twice, which in substring.raised(h, slices, span):
+        keep += twice[which]
+    assert (keep == substring.ROWS).mean() < 0.06
+
+
 def test_windows_do_not_cross_texts():
     first, at, h = substring.windows(pa.array(["a b", None, "", "c d e"]), 2)
     assert first.tolist() == [0, 2, 2, 2, 5] and at.tolist() == [0, 2, 3] and len(set(h.tolist())) == 3
