@@ -16,6 +16,7 @@ under that mask the pair is equal: none is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,17 @@ from glyphmeter.llm.shared import checkpoint, small
 
 RADIUS = 5
 LANES = 4
-#: Unrelated texts differ in 32 +- 4 bits of the mark.
+#: Unrelated texts differ in 32 +- 4 bits of the mark.  A pair within the radius whose marks differ in more than `check`
+#: bits is no near pair; check=64 leaves it to the fingerprints alone.
 CHECK = 18
 PRINTS = [f"fp{k}" for k in range(LANES)]
-#: Bytes of fingerprints that one task compares, and fingerprints that one task spreads at once.
+#: Bytes of entries that one task compares; of one entry (fingerprint, mark and table); of a message without its entries.
 TASK_BYTES = 12 << 20
+ENTRY = 17
+MESSAGE = 64
+#: Fingerprints that a task spreads at once, at least over all tables and at most over one.
 SPREAD = 1 << 13
+MOST_BATCH = 1 << 20
 #: Up to this many fingerprints under one mask and value all pairs are edges; above, a spanning forest.
 ALL_PAIRS = 8
 SEED = 20250711
@@ -86,7 +92,7 @@ def masks(radius: int, seed: int = SEED) -> np.ndarray:
     return (odd << np.arange(64, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
 
 
-def edges_of(fp: np.ndarray, mark: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def edges_of(fp: np.ndarray, mark: np.ndarray, mask: np.uint64, radius: int, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs that agree under the mask and are near.
 
     In a group of more than ALL_PAIRS, only a spanning forest of its near pairs: it connects the same ones.
@@ -99,7 +105,7 @@ def edges_of(fp: np.ndarray, mark: np.ndarray, mask: np.uint64, radius: int) ->
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(mark[i] ^ mark[j]) <= CHECK)
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(mark[i] ^ mark[j]) <= check)
 
     for head, size in zip(heads[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS]):
         rest = np.arange(head, head + size)
@@ -123,56 +129,100 @@ def edges_of(fp: np.ndarray, mark: np.ndarray, mask: np.uint64, radius: int) ->
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def near_pairs(prints: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
+@dataclass(frozen=True)
+class Layout:
+    """How the entries of all tables are dealt to tasks, from the number of fingerprints alone.
+
+    A task takes about TASK_BYTES: several tables if they are small, one of `parts` parts of a table if it is large.
+    A batch of `batch` fingerprints is dealt `step` tables at a time: with more parts batches grow and steps shrink,
+    so that a message holds dozens of entries and a task's memory stays the same, however many fingerprints there are.
+    """
+
+    together: int
+    parts: int
+    batch: int
+    step: int
+
+    @classmethod
+    def of(cls, count: int, tables: int) -> Layout:
+        entries = TASK_BYTES // ENTRY
+        parts = max(1, -(-count // entries))
+        batch = min(MOST_BATCH, max(SPREAD, 64 * parts))
+        return cls(max(1, min(tables, entries // max(1, count))), parts, batch, max(1, SPREAD * tables // batch))
+
+    def message_bytes(self) -> float:
+        """Bytes that an entry costs on its way, with its share of its message."""
+        return ENTRY + MESSAGE / (self.batch * self.together / self.parts)
+
+
+def near_pairs(prints: DataFrame, count: int, radius: int = RADIUS, check: int = CHECK) -> DataFrame:
     """a, b: edges between marks that connect exactly what the near pairs of the distinct rows (PRINTS, mark) connect.
 
-    A fingerprint goes, with its mark, to the task of its value under each mask of its lane; only these 16
-    bytes travel, since the receiver masks again.  The tasks grow with count * tables, their size doesn't.
+    A fingerprint goes, with its mark, to the task of its table and of its value under that table's mask; only these
+    16 bytes and the table's number travel, since the receiver masks again.
     """
     tables = [(lane, mask) for lane in range(LANES) for mask in masks(radius)]
-    parts = max(1, -(-count * len(tables) * 16 // TASK_BYTES))
-    tasks = max(1, min(parts, count // SPREAD))
+    layout = Layout.of(count, len(tables))
+    tasks = max(1, min(-(-count * len(tables) * ENTRY // TASK_BYTES), count // layout.batch))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, marks = np.stack([batch.column(c).to_numpy() for c in PRINTS]).view(np.uint64), batch.column("mark").to_numpy().view(np.uint64)
-            for at in range(0, batch.num_rows, SPREAD):
-                fp, mark = prints[:, at : at + SPREAD], marks[at : at + SPREAD]
-                to = np.empty((len(tables), len(mark)), np.int32)
-                for t, (lane, mask) in enumerate(tables):
-                    to[t] = (tx.mix((fp[lane] & mask) + np.uint64(t)) % np.uint64(parts)).astype(np.int32)
+        for columns in _gathered(batches, layout.batch):
+            prints, mark = columns[:-1], columns[-1]
+            for low in range(0, len(tables), layout.step):
+                own = tables[low : low + layout.step]
+                to = np.empty((len(own), len(mark)), np.int32)
+                for k, (lane, mask) in enumerate(own):
+                    part = tx.mix((prints[lane] & mask) + np.uint64(low + k)) % np.uint64(layout.parts)
+                    to[k] = (low + k) // layout.together * layout.parts + part.astype(np.int32)
                 to = to.ravel()
                 order = np.argsort(to, kind="stable")  # by part, then by table
-                ends = np.searchsorted(to[order], np.arange(parts + 1))
-                t, k = order // len(mark), order % len(mark)
-                own, marked = fp[t // (len(tables) // LANES), k], mark[k]
-                used = np.flatnonzero(np.diff(ends))
-                spans = [slice(ends[p], ends[p + 1]) for p in used]
-                columns = [
-                    pa.array(used, pa.int32()),
-                    pa.array([np.bincount(t[x], minlength=len(tables)).astype(np.int32).tobytes() for x in spans], pa.binary()),
-                    pa.array([own[x].tobytes() for x in spans], pa.binary()),
-                    pa.array([marked[x].tobytes() for x in spans], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "sizes", "fp", "mark"])
+                ends = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
+                t, k = order // len(mark) if len(mark) else order, order % max(1, len(mark))
+                lanes = np.array([lane for lane, _ in own])[t]
+                fp, marked, number = prints[lanes, k], mark[k], (t + low).astype(np.uint8)
+                spans = [slice(a, b) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to[order][ends[:-1]], pa.int32()),
+                        pa.array([number[x].tobytes() for x in spans], pa.binary()),
+                        pa.array([fp[x].tobytes() for x in spans], pa.binary()),
+                        pa.array([marked[x].tobytes() for x in spans], pa.binary()),
+                    ],
+                    ["part", "tables", "fp", "mark"],
+                )
 
     def compare(group: pa.Table) -> pa.Table:
-        sizes = [np.frombuffer(b, np.int32) for b in group.column("sizes").to_pylist()]
-        prints, marks = ([np.frombuffer(b, np.uint64) for b in group.column(c).to_pylist()] for c in ("fp", "mark"))
-        at = [np.concatenate(([0], np.cumsum(s))) for s in sizes]
+        number, fp, mark = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("tables", np.uint8), ("fp", np.uint64), ("mark", np.uint64)))
+        order = np.argsort(number, kind="stable")
+        number, fp, mark = number[order], fp[order], mark[order]
         pairs = [np.zeros((0, 2), np.int64)]
-        for t, (_, mask) in enumerate(tables):
-            fp, mark = (np.concatenate([p[o[t] : o[t + 1]] for p, o in zip(x, at)]) for x in (prints, marks))
-            i, j = edges_of(fp, mark, mask, radius)
-            a, b = mark[i].view(np.int64), mark[j].view(np.int64)
+        for t in np.unique(number).tolist():
+            x = slice(*np.searchsorted(number, [t, t + 1]))
+            i, j = edges_of(fp[x], mark[x], tables[t][1], radius, check)
+            a, b = mark[x][i].view(np.int64), mark[x][j].view(np.int64)
             pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
         both = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    sent = prints.select(*PRINTS, "mark").repartition(tasks).mapInArrow(spread, "part int, sizes binary, fp binary, mark binary")
+    sent = prints.select(*PRINTS, "mark").repartition(tasks).mapInArrow(spread, "part int, tables binary, fp binary, mark binary")
     return sent.groupBy("part").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+    """The fingerprints (a row per lane) and, as the last row, the marks, of about `size` texts at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            held.append(np.stack([part.column(c).to_numpy() for c in (*PRINTS, "mark")]).view(np.uint64))
+            n += part.num_rows
+            if n >= size:
+                yield np.concatenate(held, axis=1)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held, axis=1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: of each node of the edges, the least node that it is connected with.
 
@@ -195,7 +245,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, int]:
+def groups(docs: DataFrame, radius: int = RADIUS, check: int = CHECK) -> tuple[DataFrame, int]:
     """doc_id, text_hash, copies, group_rows, kept_id, distance, keep of each distinct (doc_id, text) in a group of more than one row; and how many.
 
     copies: how many equal rows there are.  keep: it is the one of its group with the least doc_id (nulls
@@ -212,7 +262,7 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, int]:
     read_rows = hashed.mapInArrow(read, f"doc_id bigint, text_hash bigint, {', '.join(f'{c} bigint' for c in PRINTS)}, mark bigint").where("mark is not null")
     rows = checkpoint(read_rows.groupBy("doc_id", "text_hash", *PRINTS, "mark").agg(F.count("*").alias("copies")))
     prints = checkpoint(rows.select(*PRINTS, "mark").distinct())
-    roots = components(near_pairs(prints, prints.count(), radius))
+    roots = components(near_pairs(prints, prints.count(), radius, check))
     joined = rows.join(small(roots, roots.count(), 16), F.col("mark") == F.col("node"), "left").select("doc_id", "text_hash", *PRINTS, "copies", F.coalesce("root", "mark").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), *PRINTS)
     best = joined.groupBy("root").agg(F.min(order).alias("best"), F.sum("copies").alias("group_rows")).where("group_rows > 1")
@@ -222,25 +272,25 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, int]:
     return found, found.count()
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def duplicates(docs: DataFrame, radius: int = RADIUS, check: int = CHECK) -> DataFrame:
     """doc_id, duplicate_of, distance (the least of any lane), group_rows of each document that another one of its group stands for.
 
     Groups are the connected components of the near pairs; the member with the least doc_id stays.  Null,
     empty and wordless texts are in no group.  A row that repeats another one entirely is its duplicate.
     Empty tables give no rows; columns other than doc_id and text play no part.
     """
-    found, _ = groups(docs, radius)
+    found, _ = groups(docs, radius, check)
     repeats = F.explode(F.array_repeat(F.lit(1), (F.col("copies") - F.col("keep").cast("int")).cast("int")))
     return found.select("*", repeats).select("doc_id", F.col("kept_id").alias("duplicate_of"), "distance", "group_rows")
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = RADIUS, check: int = CHECK) -> DataFrame:
     """docs with one row of each group; rows in no group all stay.  Columns and their order are those of docs.
 
     Null, empty and wordless texts are in no group.  Of equal rows one stays.  An empty table stays empty; columns
     other than doc_id and text play no part, whatever they are called.
     """
-    found, count = groups(docs, radius)
+    found, count = groups(docs, radius, check)
     decided = found.where("not keep or copies > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "keep")
     # docs' own columns travel as one, so that no name can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("row_id"), F.xxhash64("text").alias("row_hash"))

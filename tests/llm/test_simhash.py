@@ -81,6 +81,23 @@ def test_big_group_of_different_copies(spark):
     assert simhash.dedup(docs(spark, rows)).count() == len(rows) - sum(len(g) - 1 for g in brute(rows)) == 1
 
 
+def test_an_entry_costs_the_same_at_any_size():
+    costs = [simhash.Layout.of(n, 252) for n in (10**5, 10**6, 10**7, 10**8, 10**9, 10**10)]
+    assert max(x.message_bytes() for x in costs) < 1.1 * simhash.ENTRY
+    assert all(x.batch * x.step <= 252 * simhash.SPREAD for x in costs)
+
+
+def test_many_parts_find_the_same(spark, monkeypatch):
+    rows = corpus(5)
+    want = rows_of(simhash.duplicates(docs(spark, rows)), "doc_id", "duplicate_of")
+    monkeypatch.setattr(simhash, "TASK_BYTES", 17 * 20)
+    monkeypatch.setattr(simhash, "SPREAD", 50)
+    monkeypatch.setattr(simhash, "MOST_BATCH", 70)
+    layout = simhash.Layout.of(len(rows), 252)
+    assert layout.parts > 3 and layout.step < 252
+    assert rows_of(simhash.duplicates(docs(spark, rows)), "doc_id", "duplicate_of") == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
