@@ -83,6 +83,14 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.where(_KEEP[raw], raw, np.uint8(0))
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each span of bytes."""
+    up, down = _BYTE_POWERS(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 @dataclass
 class Words:
     """first: index of each row's first word (rows + 1); start, end: byte span in data; hash: 64 bits."""
@@ -110,11 +118,7 @@ def words(column: pa.Array) -> Words:
         begins[edge] = inside[edge]
         ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _BYTE_POWERS(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
-    return Words(np.searchsorted(start, offsets), start, end, h, raw)
+    return Words(np.searchsorted(start, offsets), start, end, span_hashes(raw, start, end), raw)
 
 
 def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
