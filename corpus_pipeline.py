@@ -15,25 +15,32 @@ from glyphmeter.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows whose language can't be told.  The machines train on docs' own lang labels."""
+    """docs without the rows whose language can't be told; lang becomes the language that was found.
+
+    The machines train on docs' own lang labels.  Null, empty and wordless texts are rejected; of repeated rows all stay
+    or none; an empty table stays empty.
+    """
     ship(spark)
     return language.keep_identified(docs, language.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each group of near-duplicates."""
+    """docs with one row of each group of near-duplicates, the one with the least doc_id (nulls last).
+
+    Null, empty and wordless texts all stay; of repeated rows one does.
+    """
     ship(spark)
     return simhash.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that hold a passage of the benchmark."""
+    """docs without the rows that hold a passage of the benchmark.  Null and empty texts stay; without a benchmark all do."""
     ship(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with pseudonyms in their texts; n_chars, if there is one, counts the new text."""
+    """docs with pseudonyms in their texts; n_chars, if there is one, counts the new text (null for a null one)."""
     ship(spark)
     changed = pii.pseudonymise(docs, count=None)
     if "n_chars" in docs.columns:
@@ -42,7 +49,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, n_tokens, n_bytes, round_trip of each text."""
+    """doc_id, tokens, n_tokens, n_bytes, round_trip of each text: all null for a null text, no tokens for an empty one."""
     ship(spark)
     return bpe.encode(docs)
 

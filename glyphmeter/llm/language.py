@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmeter.llm import text as tx
-from glyphmeter.llm.shared import small
+from glyphmeter.llm.shared import folder, read_table, replaced, small
 
 #: Labelled rows per language from which the machines are trained: a bound on the fit, not on what is classified.
 TRAIN_ROWS = 400
@@ -56,6 +56,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for n in range(2, max(RUNS) + 1):
         after = np.zeros(len(long), np.uint32)
         after[: max(0, len(long) - n + 1)] = long[n - 1 :]
+        for k in range(1, n):  # behind a text there is nothing, whatever text comes next
+            tail = at[1:] - k
+            after[tail[tail >= at[:-1]]] = 0
         packed = (packed << np.uint32(8)) | after
         if n in RUNS:
             slot = (packed * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURE_BITS)
@@ -63,30 +66,66 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.stack(out, axis=1) if out else np.zeros((0, len(RUNS)), np.int32)
 
 
-def frequencies(texts: list[str]) -> np.ndarray:
-    """One row of relative feature frequencies per text."""
-    size = len(RUNS) << FEATURE_BITS
-    out = np.zeros((len(texts), size), np.float32)
-    for i, text in enumerate(texts):
-        at, f = features(pa.array([text], pa.string()))
-        out[i] = np.bincount(f.ravel(), minlength=size) / max(1, len(f))
-    return out
+def frequencies(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text: its features, ascending, and their relative frequencies."""
+    slots, values = [], []
+    for _, part in tx.slices(column):
+        at, f = features(part)
+        for i in range(len(part)):
+            own = f[at[i] : at[i + 1]].ravel()
+            slot, n = np.unique(own, return_counts=True)
+            slots.append(slot.astype(np.uint16))
+            values.append((n / max(1, len(own) // len(RUNS))).astype(np.float32))
+    return slots, values
+
+
+@dataclass
+class Scaling:
+    """Of all training texts: the features' mean frequencies, their scales, and the mean length of a scaled text."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    norm: float
+
+    @classmethod
+    def of(cls, n: int, total: np.ndarray, squares: np.ndarray) -> Scaling:
+        mean = total / max(1, n)
+        scale = 1 / np.sqrt(mean + 1e-5)
+        return cls(mean, scale, float(np.sqrt(max(0.0, (scale * scale * (squares / max(1, n) - mean * mean)).sum())) or 1))
 
 
-def svm(gram: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
-    """Dual coordinate descent for the hinge loss: the signed multipliers of the rows of a Gram matrix."""
-    rng, alpha, score = np.random.default_rng(1), np.zeros(len(y)), np.zeros(len(y))
+def svm(slots: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, scaling: Scaling, cost: float = COST, epochs: int = EPOCHS, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights over frequencies and the bias of a linear machine: dual coordinate descent for the hinge loss.
+
+    Texts stay sparse.  With m the scaled means, a scaled text is its scaled frequencies s less m, and the weights are
+    u - g * m, u being a sum of scaled frequencies: a step reads and writes one text's features, and a constant 1
+    stands for the bias.
+    """
+    if len(set(y.tolist())) < 2:
+        return np.zeros(len(scaling.mean)), float(y[0]) if len(y) else 0.0
+    by = scaling.scale / scaling.norm
+    m = scaling.mean * by
+    mm = float(m @ m)
+    sparse = [v * by[s] for s, v in zip(slots, values)]
+    ms = np.array([float(m[s] @ v) for s, v in zip(slots, sparse)])
+    size = np.array([float(v @ v) for v in sparse]) - 2 * ms + mm + 1
+    rng, alpha = np.random.default_rng(1), np.zeros(len(y))
+    u, um, g, bias = np.zeros(len(m)), 0.0, 0.0, 0.0
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] + (1 - y[i] * score[i]) / gram[i, i], 0.0), cost)
+        for i in rng.permutation(len(y)).tolist():
+            score = float(u[slots[i]] @ sparse[i]) - um - g * (ms[i] - mm) + bias
+            new = min(max(alpha[i] + (1 - y[i] * score) / size[i], 0.0), cost)
             if new != alpha[i]:
-                score += (new - alpha[i]) * y[i] * gram[i]
+                step = (new - alpha[i]) * y[i]
+                u[slots[i]] += step * sparse[i]
+                um, g, bias = um + step * ms[i], g + step, bias + step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
-        if moved < 1e-4 * cost:
+        if moved < tolerance * cost:
             break
-    return alpha * y
+    w = (u - g * m) * by
+    return w, bias - float(w @ scaling.mean)
 
 
 @dataclass
@@ -142,68 +181,123 @@ class Model:
         return families, language.tolist(), margin, rejected
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """Machines for the families and, within each, for every pair of its languages."""
-    names = sorted(set(langs))
-    if not names:
-        return Model()
-    lang, fam = np.array(langs), np.array([family(x) for x in langs])
-    families = sorted(set(fam))
+def machines(names: list[str]) -> tuple[list[str], list[list[str]], list[tuple[list[str], list[str]]]]:
+    """Families, their languages, and of each machine the languages on its positive and on its negative side."""
+    families = sorted({family(x) for x in names})
     members = [[x for x in names if family(x) == f] for f in families]
-    x = frequencies(texts)
-    mean = x.mean(axis=0)
-    # in more than one text and in more than one of FAMILIAR_IN, of all texts or of one language's own, however few
-    # these are: a stray mislabelled text makes nothing familiar
-    parts = [x] + [x[lang == name] for name in names]
-    familiar = np.any([(part > 0).sum(axis=0) > max(1, len(part) // FAMILIAR_IN) for part in parts], axis=0) & (np.arange(len(mean)) < 1 << FEATURE_BITS)
-    scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
-    x = (x - mean) * scale
-    norm = np.float32(np.sqrt(np.mean(np.sum(x * x, axis=1))) or 1)
-    x /= norm
-    gram = x @ x.T + 1.0  # the constant is the bias
-    tasks = [(np.arange(len(lang)), np.where(fam == f, 1.0, -1.0)) for f in families]
-    for group in members:
-        for a, b in combinations(group, 2):
-            rows = np.flatnonzero((lang == a) | (lang == b))
-            tasks.append((rows, np.where(lang[rows] == a, 1.0, -1.0)))
-    weights, bias = [], []
-    for rows, y in tasks:
-        alpha = svm(gram[np.ix_(rows, rows)].astype(np.float64), y) if len(set(y)) > 1 else np.zeros(len(y))
-        w = (alpha @ x[rows]) * scale / norm
-        weights.append(w)
-        bias.append((alpha.sum() if len(set(y)) > 1 else y[0]) - float(w @ mean))
-    return Model(families, members, np.stack([*weights, familiar], axis=1).astype(np.float32), np.array([*bias, 0.0]))
+    sides = [(own, [x for x in names if x not in own]) for own in members]
+    return families, members, sides + [([a], [b]) for group in members for a, b in combinations(group, 2)]
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` texts of each language, those with the least hash of doc_id.
+def familiar(seen: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which pairs of bytes are familiar, from the texts of each language that have each feature and all its texts.
 
-    Rows with a null doc_id, lang or text, or an empty lang, don't train.  Only ids and languages are ranked;
-    the texts of the chosen rows alone are read on the driver.
+    In more than one text and in more than one of FAMILIAR_IN, of all texts or of one language's own, however few
+    these are: a stray mislabelled text makes nothing familiar.
     """
+    seen, rows = np.vstack([seen.sum(axis=0, keepdims=True), seen]), np.append(rows.sum(), rows)
+    return np.any(seen > np.maximum(1, rows // FAMILIAR_IN)[:, None], axis=0) & (np.arange(seen.shape[1]) < 1 << FEATURE_BITS)
+
+
+def assemble(names: list[str], seen: np.ndarray, rows: np.ndarray, solved: list[tuple[np.ndarray, float]]) -> Model:
+    families, members, _ = machines(names)
+    weights = np.stack([*(w for w, _ in solved), familiar(seen, rows)], axis=1)
+    return Model(families, members, weights.astype(np.float32), np.array([*(b for _, b in solved), 0.0]))
+
+
+def _sums(slots: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts: each feature's total frequency, total square and number of texts that have it."""
+    size = len(RUNS) << FEATURE_BITS
+    slot = np.concatenate([np.zeros(0, np.uint16), *slots]).astype(np.int64)
+    value = np.concatenate([np.zeros(0, np.float32), *values]).astype(np.float64)
+    return np.bincount(slot, value, size), np.bincount(slot, value * value, size), np.bincount(slot, minlength=size)
+
+
+def fit(texts: list[str], langs: list[str]) -> Model:
+    """Machines for the families and, within each, for every pair of its languages, from texts at hand."""
+    names = sorted(set(langs))
+    if not names:
+        return Model()
+    lang = np.array(langs)
+    slots, values = frequencies(pa.array(texts, pa.string()))
+    parts = [_sums([slots[i] for i in own], [values[i] for i in own]) for own in (np.flatnonzero(lang == n).tolist() for n in names)]
+    scaling = Scaling.of(len(texts), sum(p[0] for p in parts), sum(p[1] for p in parts))
+    solved = []
+    for plus, minus in machines(names)[2]:
+        rows = [i for n in plus + minus for i in np.flatnonzero(lang == n).tolist()]
+        solved.append(svm([slots[i] for i in rows], [values[i] for i in rows], np.where(np.isin(lang[rows], plus), 1.0, -1.0), scaling))
+    return assemble(names, np.stack([p[2] for p in parts]), np.array([(lang == n).sum() for n in names]), solved)
+
+
+def sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """lang, h, text of at most `rows` texts of each language, those with the least hash of doc_id."""
     h = F.xxhash64("doc_id").alias("h")
     known = labelled.where("doc_id is not null and lang is not null and lang <> '' and text is not null")
     # most rows are out by their hash alone, so no more than the rows of a few times `rows` ids of a language are ranked
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size"))  # rows of one id stay or go together
     share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("size"))
-    likely = known.select("lang", h).join(small(sizes, sizes.count()), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = likely.withColumn("k", rank).where(F.col("k") <= rows)
-    least = {r["lang"]: r["top"] for r in chosen.groupBy("lang").agg(F.max("h").alias("top")).collect()}
-    if not least:
+    likely = known.select("lang", h, "text").join(small(sizes, sizes.count()), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    return likely.withColumn("k", rank).where(F.col("k") <= rows).select("lang", "h", "text")
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """A model from at most `rows` texts of each language (see sample).
+
+    Rows with a null doc_id, lang or text, or an empty lang, don't train; an empty table gives a model that rejects
+    every text.  Texts become features where they are read; the driver sees sums by language and finished machines,
+    each of which a task of its own fits from the features of its languages.
+    """
+    spark = labelled.sparkSession
+    at = f"{folder(spark, 'language')}/features"
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, values = frequencies(batch.column("text"))
+            data = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (slots, values)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), *data], ["lang", "h", "slots", "values"])
+
+    sample(labelled, rows).mapInArrow(featured, "lang string, h bigint, slots binary, values binary").write.parquet(at)
+    features_ = spark.read.schema("lang string, h bigint, slots binary, values binary").parquet(at)
+
+    def summed(group: pa.Table) -> pa.Table:
+        sums = _sums(*_unpacked(group))
+        data = [pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in sums]
+        return pa.table([group.column("lang").slice(0, 1), pa.array([group.num_rows], pa.int64()), *data], ["lang", "n", "total", "squares", "seen"])
+
+    found = sorted(features_.groupBy("lang").applyInArrow(summed, "lang string, n bigint, total binary, squares binary, seen binary").collect())
+    if not found:
         return Model()
-    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")]
-    picked = known.select("lang", h, "text").where(F.col("h") <= bound)
-    picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("k") <= rows)  # equal ids: still no more
-    found = sorted((r["lang"], r["h"], r["text"]) for r in picked.select("lang", "h", "text").collect())
-    return fit([f[2] for f in found], [f[0] for f in found])
+    names, counts = [r["lang"] for r in found], np.array([r["n"] for r in found])
+    total, squares, seen = (np.stack([np.frombuffer(r[c]) for r in found]) for c in ("total", "squares", "seen"))
+    scaling = Scaling.of(int(counts.sum()), total.sum(axis=0), squares.sum(axis=0))
+    sides = machines(names)[2]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("machine").to_pylist():
+                plus, minus = sides[k]
+                table = read_table(at, "lang", plus + minus).sort_by([("lang", "ascending"), ("h", "ascending"), ("slots", "ascending")])
+                slots, values = _unpacked(table)
+                w, bias = svm(slots, values, np.where(np.isin(table.column("lang").to_numpy(zero_copy_only=False), plus), 1.0, -1.0), scaling)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], ["machine", "weights", "bias"])
+
+    work = spark.range(0, len(sides), 1, len(sides)).withColumnRenamed("id", "machine")
+    solved = sorted(work.mapInArrow(solve, "machine bigint, weights binary, bias double").collect())
+    return assemble(names, seen, counts, [(np.frombuffer(r["weights"], np.float32), r["bias"]) for r in solved])
+
+
+def _unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return tuple([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("slots", np.uint16), ("values", np.float32)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, family, language, margin, rejected of each row.
 
     Rejected: no words (null, empty or wordless text; family and language are null), or no family's decision
-    value reaches REJECT_BELOW, or too few pairs of its bytes are familiar.  Without a trained model every row is rejected.  Repeated rows stay repeated;
+    value reaches REJECT_BELOW, or too few pairs of its bytes are familiar.  Without a trained model every row is
+    rejected.  Of languages with equally many votes the one with the greater sum of bounded decision values is taken,
+    of equal sums the first by code.  Texts are read whole.  Repeated rows stay repeated; an empty table gives no rows;
     columns other than doc_id and text play no part.
     """
 
@@ -224,10 +318,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rejected rows; nothing else changes."""
+    """docs without the rejected rows, each with the language that was found in its lang column, if there is one.
+
+    So a wrong or missing label is corrected.  Null, empty and wordless texts are rejected; without a trained model
+    every row is; repeated rows stay or go together; an empty table stays empty; other columns stay as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~model.predict(batch.column("text"))[3]))
+            _, languages, _, rejected = model.predict(batch.column("text"))
+            if "lang" in batch.schema.names:
+                batch = replaced(batch, "lang", pa.array(languages, pa.string()))
+            yield batch.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)

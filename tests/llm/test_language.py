@@ -26,6 +26,22 @@ def corpus(seed, n):
     return [(i, make(rng, x, rng.randrange(5, 80)), x) for i, x in enumerate(langs)]
 
 
+def dense(texts):
+    out = np.zeros((len(texts), len(language.RUNS) << language.FEATURE_BITS))
+    for row, slots, values in zip(out, *language.frequencies(pa.array(texts, pa.string()))):
+        row[slots] = values
+    return out
+
+
+def gram_machine(x, y, cost=language.COST, epochs=400):
+    """The hinge loss's dual by coordinate ascent over a dense Gram matrix with a constant 1 for the bias."""
+    gram, alpha = x @ x.T + 1, np.zeros(len(y))
+    for _ in range(epochs):
+        for i in range(len(y)):
+            alpha[i] = min(max(alpha[i] + (1 - y[i] * (gram[i] @ (alpha * y))) / gram[i, i], 0), cost)
+    return (alpha * y) @ x, float((alpha * y).sum()), alpha
+
+
 @pytest.fixture(scope="module")
 def model():
     rows = corpus(1, 200)
@@ -47,12 +63,70 @@ def test_machines_are_hierarchical(model):
 
 def test_decision_values_are_the_definition(model):
     text = "The sching eau ción"
-    x = language.frequencies([text])[0]
+    x = dense([text])[0]
     assert np.allclose(model.decide(pa.array([text]))[0], x @ model.weights + model.bias, atol=1e-4)
+    others = [text, "x", "", text + " more", None, text]
+    assert np.array_equal(model.decide(pa.array(others))[[0, 5]], np.repeat(model.decide(pa.array([text])), 2, axis=0))  # whatever is beside it
     long = " ".join([text] * 30000)  # many slices' worth in one row
     assert np.allclose(model.decide(pa.array([long, text]))[1], model.decide(pa.array([text]))[0])
 
 
+def test_machines_against_a_dense_solver():
+    rows = corpus(4, 60)
+    texts, langs = [r[1] for r in rows], np.array([r[2] for r in rows])
+    x = dense(texts)
+    mean = x.mean(axis=0)
+    scale = 1 / np.sqrt(mean + 1e-5)
+    z = (x - mean) * scale
+    norm = np.sqrt((z * z).sum(axis=1).mean())
+    z /= norm
+    scaling = language.Scaling.of(len(x), x.sum(axis=0), (x * x).sum(axis=0))
+    assert np.allclose(scaling.norm, norm) and np.allclose(scaling.scale, scale)
+    for plus, minus in language.machines(sorted(set(langs)))[2]:
+        own = np.flatnonzero(np.isin(langs, plus + minus))
+        y = np.where(np.isin(langs[own], plus), 1.0, -1.0)
+        slots, values = language.frequencies(pa.array([texts[i] for i in own], pa.string()))
+        w, bias = language.svm(slots, values, y, scaling, epochs=400, tolerance=1e-7)
+        v, b, alpha = gram_machine(z[own], y)
+        got, want = x @ w + bias, z @ v + b
+        assert np.allclose(got, want, atol=0.02) and (np.sign(got) == np.sign(want))[np.abs(want) > 0.02].all()
+        # the primal objective equals the dual one: no other machine is better
+        primal = (v @ v + b * b) / 2 + language.COST * np.maximum(0, 1 - y * want[own]).sum()
+        assert np.isclose(primal, alpha.sum() - (v @ v + b * b) / 2, rtol=0.02)
+        u = w / scale * norm
+        mine = (u @ u + (bias + w @ mean) ** 2) / 2 + language.COST * np.maximum(0, 1 - y * got[own]).sum()
+        assert np.isclose(mine, primal, rtol=0.02)
+
+
+def test_votes_and_ties():
+    names = ["fr", "es", "it"]
+    m = language.Model(["romance"], [names], np.zeros((len(language.RUNS) << language.FEATURE_BITS, 5), np.float32), np.zeros(5))
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=(200, 5)), [[0, 1, -1, 1, 1], [0, 0, 0, 0, 1], [0, 2, -3, 1, 1]]])
+    values[:, 4] = 1
+    m.decide = lambda column: values
+    got = m.predict(pa.array(["x"] * len(values)))[1]
+    for row, found in zip(values, got):
+        votes = dict.fromkeys(names, 0.0)
+        for (a, b), d in zip([(0, 1), (0, 2), (1, 2)], row[1:4]):
+            votes[names[a] if d > 0 else names[b]] += 1
+            votes[names[a]] += np.tanh(d) * 1e-3
+            votes[names[b]] -= np.tanh(d) * 1e-3
+        assert found == max(names, key=lambda n: (votes[n], -names.index(n)))
+
+
+def test_training_in_tasks_is_training_at_hand(spark):
+    rows = corpus(7, 120) + [(1000, "an id twice", "en"), (1000, "an id twice", "en"), (None, "x", "en"), (5000, None, "en"), (5001, "x", None), (5002, "", "en")]
+    known = table(spark, rows)
+    sample = sorted((r["lang"], r["h"], r["text"]) for r in language.sample(known, 20).collect())
+    assert {n: sum(s[0] == n for s in sample) for n in SYLLABLES} == dict.fromkeys(SYLLABLES, 20)
+    here, there = language.fit([s[2] for s in sample], [s[0] for s in sample]), language.train(known, 20)
+    texts = pa.array([r[1] for r in corpus(8, 60)] + [None, ""], pa.string())
+    assert (here.families, here.members) == (there.families, there.members)
+    assert np.allclose(here.decide(texts), there.decide(texts), atol=0.05, equal_nan=True)
+    assert language.train(table(spark, [])).families == []
+
+
 def test_rejections(model):
     *_, rejected = model.predict(pa.array([None, "", "...", "漢字かな交じり文です漢字", "Привет мир как дела", "the thing"]))
     assert rejected.tolist() == [True] * 5 + [False]
