@@ -41,7 +41,7 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
 
     n_tokens (L), documents (of this length), longer_documents and longer_tokens (of texts over L),
     total_tokens, truncated_tokens (the sum of min(length, L)), quantile (the share of texts of at most L).
-    Sums run inside buckets of BUCKET lengths and over the buckets, so no task sees more than one bucket or
+    A histogram without rows gives none.  Sums run inside buckets of BUCKET lengths and over the buckets, so no task sees more than one bucket or
     the list of buckets.
     """
     bucket = F.floor(F.col("n_tokens") / BUCKET).alias("bucket")
@@ -71,16 +71,27 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     )
 
 
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """share, n_tokens, documents: for each share the least length that at least so many of the texts don't exceed.
+
+    shares lie in 0 to 1; 0 gives the least length of all.  Without texts both are null.
+    """
+    asked = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when(F.col("quantile") >= F.lit(float(q)), F.struct("n_tokens", "documents"))).alias("at")) for q in shares]
+    return sums.agg(F.array(*asked).alias("x")).select(F.explode("x").alias("x")).select("x.share", "x.at.n_tokens", "x.at.documents")
+
+
 def answers(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, longer_documents, longer_tokens, truncated_tokens for any limits, not only lengths that occur."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit bigint")
-    total = sums.agg(F.sum("documents").alias("d_all"), F.max("total_tokens").alias("t_all"))
-    low = sums.join(F.broadcast(asked), F.col("n_tokens") <= F.col("context_limit")).groupBy("context_limit").agg(F.max(F.struct("n_tokens", "longer_documents", "longer_tokens")).alias("at"))
-    longer_d, longer_t = F.coalesce("at.longer_documents", "d_all", F.lit(0)), F.coalesce("at.longer_tokens", "t_all", F.lit(0))
-    return asked.join(low, "context_limit", "left").crossJoin(total).select(
-        "context_limit",
+    """context_limit, longer_documents, longer_tokens, truncated_tokens for any limits, not only lengths that occur.
+
+    What is over a limit is over the greatest length that doesn't exceed it.  One pass over the sums, without a join; a
+    limit that is asked twice is answered twice; without texts all are 0.
+    """
+    asked = [F.struct(F.lit(int(x)).cast("bigint").alias("context_limit"), F.max(F.when(F.col("n_tokens") <= int(x), F.struct("n_tokens", "longer_documents", "longer_tokens"))).alias("at")) for x in limits]
+    every = sums.agg(F.array(*asked).alias("x"), F.coalesce(F.sum("documents"), F.lit(0)).alias("d_all"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("t_all"))
+    longer_d, longer_t = F.coalesce("x.at.longer_documents", "d_all"), F.coalesce("x.at.longer_tokens", "t_all")
+    return every.select(F.explode("x").alias("x"), "d_all", "t_all").select(
+        "x.context_limit",
         longer_d.alias("longer_documents"),
         longer_t.alias("longer_tokens"),
-        (F.coalesce("t_all", F.lit(0)) - longer_t + F.col("context_limit") * longer_d).alias("truncated_tokens"),
+        (F.col("t_all") - longer_t + F.col("x.context_limit") * longer_d).alias("truncated_tokens"),
     )

@@ -84,6 +84,19 @@ def test_histogram_and_sums(spark):
         assert r["truncated_tokens"] == sum(min(x, r["context_limit"]) * k for x, k in want.items())
 
 
+def test_quantiles_and_long_texts(spark):
+    rows = ROWS + [(7, "many words and more " * 1500), (8, "word " * 4000)]  # over one leaf
+    sums = token_counts.suffix_sums(token_counts.histogram(docs(spark, rows)))
+    lengths = sorted(len(direct(t)) for _, t in rows if t is not None)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for r in token_counts.quantiles(sums, shares).collect():
+        want = next(x for x in lengths if sum(y <= x for y in lengths) >= r["share"] * len(lengths))
+        assert r["n_tokens"] == want and r["documents"] == lengths.count(want)
+    none = token_counts.suffix_sums(token_counts.histogram(empty(spark)))
+    assert [tuple(r) for r in token_counts.answers(none, [5, 5]).collect()] == [(5, 0, 0, 0)] * 2
+    assert [tuple(r) for r in token_counts.quantiles(none, [0.5]).collect()] == [(0.5, None, None)]
+
+
 def test_buckets_of_lengths(spark):
     hist = spark.createDataFrame([(i * 1500, i % 3 + 1) for i in range(20)], "n_tokens bigint, documents bigint")
     want = {i * 1500: i % 3 + 1 for i in range(20)}
