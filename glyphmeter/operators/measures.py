@@ -17,18 +17,53 @@ TOKENIZER, LANGUAGE = ("tokenizer",), ("tokenizer", "lang")
 ORDERS = (1.0, 2.0, 2.5, 3.0)
 
 
-def basic_stats(value: Column) -> list[Column]:
-    """mean, median, population std, standard error (null for one value), min, max, count and sum."""
-    return [
-        F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
-        F.stddev_pop(value).alias("std"),
-        (F.stddev_samp(value) / F.sqrt(F.count(value).cast("double"))).alias("std_err"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.count(value).alias("count"),
-        F.sum(value).alias("sum"),
-    ]
+#: Buckets of values per power of two, from which a median is found.
+BUCKETS = 4096
+
+
+def summarise(rows: DataFrame, value: Column, by: Sequence[str], *extra: str) -> DataFrame:
+    """mean, median, population std, standard error (null for one value), min, max, count and sum; and the sums of `extra`.
+
+    Rows with a null value don't count.  The median is exact, though no task sees all values of a group: values are
+    counted, equal ones as one before anything moves; the counts go into buckets of nearly equal values; running sums
+    over the buckets tell which ones hold the middle, and only the values of those are sorted.  All figures come from
+    the counts, so the rows are read once.
+    """
+    v = F.col("value")
+    counts = rows.select(*by, value.cast("double").alias("value"), *extra).where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in extra))
+    bucket = F.when(v > 0, F.floor(F.log2(v) * BUCKETS)).when(v < 0, -F.floor(F.log2(-v) * BUCKETS) - F.lit(1 << 40)).otherwise(F.lit(-(1 << 20) * BUCKETS)).alias("bucket")
+    placed = counts.select(*by, bucket, "value", "n", *extra)
+    sums = [F.sum("n").alias("n"), F.sum(v * F.col("n")).alias("s"), F.min("value").alias("low"), F.max("value").alias("high")]
+    buckets = placed.groupBy(*by, "bucket").agg(*sums, (F.sum(v * v * F.col("n")) - F.sum(v * F.col("n")) * F.sum(v * F.col("n")) / F.sum("n")).alias("m2"), *(F.sum(c).alias(c) for c in extra))
+    every, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("bucket")
+    ranked = buckets.select("*", F.sum("n").over(every).alias("all"), (F.sum("n").over(order) - F.col("n")).alias("before"), (F.sum("s").over(every) / F.sum("n").over(every)).alias("mean_of_all"))
+    # the middle are the values number (all - 1) div 2 and all div 2, counted from 0
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    first, second = F.expr("(all - 1) div 2"), F.expr("all div 2")
+    middle = ranked.where(holds(first) | holds(second)).select(*by, "bucket", "before", "all")
+    own = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "bucket")]
+    condition = own[0]
+    for x in own[1:]:
+        condition = condition & x
+    inside = placed.alias("a").join(middle.alias("b"), condition).select(*(F.col(f"a.{c}").alias(c) for c in by), "a.value", "a.n", "b.before", "b.all", "b.bucket")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "bucket").orderBy("value"))
+    sought = inside.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    at = lambda k: F.max(F.when((F.col("from") <= k) & (k < F.col("upto")), F.col("value")))
+    medians = sought.groupBy(*by).agg(((at(first) + at(second)) / 2).alias("median"))
+    n, total = F.sum("n"), F.sum("s")
+    spread = F.greatest(F.lit(0.0), F.sum("m2") + F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("mean_of_all"), 2)))
+    moments = ranked.groupBy(*by).agg(
+        (total / n).alias("mean"),
+        F.sqrt(spread / n).alias("std"),
+        F.when(n > 1, F.sqrt(spread / (n - 1)) / F.sqrt(n.cast("double"))).alias("std_err"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
+        n.alias("count"),
+        total.alias("sum"),
+        *(F.sum(c).alias(c) for c in extra),
+    )
+    both = moments.alias("a").join(medians.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+    return both.select(*(F.col(f"a.{c}").alias(c) for c in by), "mean", "median", "std", "std_err", "min", "max", "count", "sum", *extra)
 
 
 UNITS = {"words": "n_words", "characters": "n_chars", "bytes": "n_bytes", "lines": "n_lines"}
@@ -37,34 +72,41 @@ UNITS = {"words": "n_words", "characters": "n_chars", "bytes": "n_bytes", "lines
 def fertility(stats: DataFrame, unit: str = "words", by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Tokens per unit of each text (texts without units are left out), summarised."""
     n = F.col(UNITS[unit])
-    return stats.where(n > 0).groupBy(*by).agg(*basic_stats(F.col("n_tokens") / n))
+    return summarise(stats.where(n > 0), F.col("n_tokens") / n, by)
 
 
 def token_length(stats: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Characters per token of each text, summarised."""
-    return stats.where("n_tokens > 0").groupBy(*by).agg(*basic_stats(F.col("n_chars") / F.col("n_tokens")))
+    return summarise(stats.where("n_tokens > 0"), F.col("n_chars") / F.col("n_tokens"), by)
 
 
 def tokens_per_line(stats: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Tokens per line of each text, summarised, and all lines."""
-    return stats.where("n_lines > 0").groupBy(*by).agg(*basic_stats(F.col("n_tokens") / F.col("n_lines")), F.sum("n_lines").alias("total_lines"))
+    return summarise(stats.where("n_lines > 0"), F.col("n_tokens") / F.col("n_lines"), by, "n_lines").withColumnRenamed("n_lines", "total_lines")
 
 
 def compression(stats: DataFrame, unit: str | None = None, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Units per token of each text that isn't blank, summarised; without a unit a text counts as one."""
     n = F.lit(1) if unit is None else F.col(UNITS[unit])
-    return stats.where("not_blank and n_tokens > 0").groupBy(*by).agg(*basic_stats(n / F.col("n_tokens")))
+    return summarise(stats.where("not_blank and n_tokens > 0"), n / F.col("n_tokens"), by)
+
+
+def with_absent(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """values with a row of zeros for each of keys (some columns of values) that has none."""
+    zero = {c: 0.0 if kind == "double" else 0 for c, kind in values.dtypes if c not in keys.columns and kind in ("double", "float", "int", "bigint")}
+    absent = keys.distinct().join(values, list(keys.columns), "left_anti")
+    return values.unionByName(absent.select("*", *(F.lit(z).cast(values.schema[c].dataType).alias(c) for c, z in zero.items())), allowMissingColumns=True)
 
 
 def vocabulary_use(counts: DataFrame, sizes: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
-    """Distinct tokens against the size of the vocabulary."""
-    used = counts.groupBy(*by).agg(F.countDistinct("token").alias("used_tokens")).join(F.broadcast(sizes), "tokenizer")
+    """Distinct tokens against the size of the vocabulary.  counts has one row per token and `by`."""
+    used = counts.groupBy(*by).agg(F.count("*").alias("used_tokens")).join(sizes, "tokenizer")
     return used.select(*by, "used_tokens", "vocab_size", (F.col("vocab_size") - F.col("used_tokens")).alias("unused_tokens"), safe_divide(F.col("used_tokens"), F.col("vocab_size")).alias("utilization"))
 
 
 def type_token_ratio(counts: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
-    """Distinct tokens, all tokens, and their ratio."""
-    n = counts.groupBy(*by).agg(F.countDistinct("token").alias("types"), F.sum("n").alias("tokens"))
+    """Distinct tokens, all tokens, and their ratio.  counts has one row per token and `by`."""
+    n = counts.groupBy(*by).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
     return n.select("*", safe_divide(F.col("types"), F.col("tokens")).alias("ttr"))
 
 
@@ -108,7 +150,7 @@ def pairwise(values: DataFrame, value: str = "mean") -> DataFrame:
     v = values.select("tokenizer", F.col(value).alias("v"))
     a, b = v.select(F.col("tokenizer").alias("first"), F.col("v").alias("value_1")), v.select(F.col("tokenizer").alias("second"), F.col("v").alias("value_2"))
     mean = (F.col("value_1") + F.col("value_2")) / 2
-    return a.join(F.broadcast(b), F.col("first") < F.col("second")).select(
+    return a.join(b, F.col("first") < F.col("second")).select(
         F.concat("first", F.lit("_vs_"), "second").alias("pair"),
         "value_1",
         "value_2",

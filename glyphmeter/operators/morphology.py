@@ -6,22 +6,26 @@ aligned by an Arrow function.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from glyphmeter.functions.text import clean_tokens, split_words, strip_punctuation
 
 WORD_STARTS = ("Ġ", " ")
+NO_PUNCTUATION = r'[^.,!?;:"()\[\]{}]'
 LEAST_WORD = 2
 
 
 def ends(parts: Column) -> Column:
     """The end position of each part in their concatenation."""
-    sizes = F.transform(parts, F.length)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x))
+    add = lambda found, x: F.concat(found, F.array(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0)) + F.length(x)))
+    return F.aggregate(parts, F.array().cast("array<int>"), add)
 
 
 def spans(parts: Column) -> Column:
@@ -116,8 +120,6 @@ def full_scores(words: DataFrame) -> DataFrame:
                 true.append(sorted({b for _, b in morpheme_spans(word, morphemes)} - {size}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ints), pa.array(true, ints)], [*batch.schema.names, "found", "true"])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
     schema = StructType([*cleaned.schema.fields, StructField("found", ArrayType(IntegerType())), StructField("true", ArrayType(IntegerType()))])
     scored = cleaned.mapInArrow(run, schema).withColumn("scores", boundary_scores(F.col("found"), F.col("true"), F.col("tokens"), F.col("morphemes")))
     return scored.select("*", "scores.*").drop("scores", "found", "true")
@@ -129,39 +131,75 @@ def align_words(tokenized: DataFrame) -> DataFrame:
 
     A token that starts with a word-start mark begins a group; a group that is only punctuation joins its
     predecessor; groups and words go together by index, and tokens left over belong to the last word.
+
+    A text's words and tokens are folded where they are, batch by batch: nothing is shuffled.  Texts without words, and
+    words without tokens, give no rows.
     """
     key = ["tokenizer", "lang", "doc_id"]
-    source = tokenized.select(*key, F.transform(split_words(F.lower("text")), strip_punctuation).alias("words"), "tokens")
-    each = source.select(*key, F.size("words").alias("n_words"), F.posexplode("tokens").alias("pos", "token"))
-    order = Window.partitionBy(*key).orderBy("pos")
-    starts = (F.col("token").startswith(WORD_STARTS[0]) | F.col("token").startswith(WORD_STARTS[1])) & (F.col("pos") > 0)
-    grouped = each.withColumn("g", F.sum(starts.cast("int")).over(order))
-    whole = grouped.groupBy(*key, "n_words", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
-    text = strip_punctuation(F.array_join(clean_tokens(F.col("x.token")), ""))
-    by_group = Window.partitionBy(*key).orderBy("g")
-    joined = whole.withColumn("k", F.sum(((F.row_number().over(by_group) == 1) | (text != "")).cast("int")).over(by_group) - 1)
-    index = F.least("k", F.col("n_words") - 1)
-    words = joined.where("n_words > 0").groupBy(*key, index.alias("word_index")).agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
-    named = source.select(*key, F.posexplode("words").alias("word_index", "word"))
-    return named.join(words, [*key, "word_index"]).select(*key, "word_index", "word", F.col("x.token").alias("tokens"))
+    source = tokenized.select(*key, F.transform(split_words(F.lower("text")), strip_punctuation).alias("words"), "tokens").where("size(words) > 0 and size(tokens) > 0")
+    kinds = [source.schema[c] for c in key]
+    schema = StructType([*kinds, StructField("word_index", IntegerType()), StructField("word", StringType()), StructField("tokens", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _fold(batch, key)
+
+    return source.mapInArrow(run, schema)
+
+
+def _bounds(lists: pa.Array) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+
+
+def _fold(batch: pa.RecordBatch, key: list[str]) -> pa.RecordBatch:
+    """The rows of align_words of a batch of texts that have words and tokens."""
+    words, tokens = batch.column("words").flatten(), batch.column("tokens").flatten()
+    word_at, token_at = _bounds(batch.column("words")), _bounds(batch.column("tokens"))
+    starts = np.zeros(len(tokens), np.bool_)
+    for mark in WORD_STARTS:
+        starts |= pc.fill_null(pc.starts_with(tokens, mark), False).to_numpy(zero_copy_only=False)
+    starts[token_at[:-1]] = True
+    group = np.flatnonzero(starts)  # the first token of each group
+    row = np.searchsorted(token_at, group, "right") - 1
+    says = np.logical_or.reduceat(pc.fill_null(pc.match_substring_regex(_cleaned(tokens), NO_PUNCTUATION), False).to_numpy(zero_copy_only=False), group)
+    counts = says | (group == token_at[row])  # groups that begin a word
+    order = np.cumsum(counts)
+    index = np.minimum(order - order[np.searchsorted(group, token_at[:-1])][row], np.diff(word_at)[row] - 1)
+    heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (index[1:] != index[:-1]))))
+    of = pa.array(row[heads])
+    found = pa.ListArray.from_arrays(pa.array(np.append(group[heads], len(tokens)), pa.int32()), tokens)
+    columns = [batch.column(c).take(of) for c in key]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(index[heads], pa.int32()), words.take(pa.array(word_at[row[heads]] + index[heads])), found], [*key, "word_index", "word", "tokens"])
+
+
+def _cleaned(tokens: pa.Array) -> pa.Array:
+    """clean_marker of each token."""
+    start = pc.match_substring_regex(tokens, "^[Ġ▁ ]")
+    more, end, split = pc.starts_with(tokens, "##"), pc.ends_with(tokens, "</w>"), pc.ends_with(tokens, "@@")
+    special = pc.match_substring_regex(tokens, r"(?s)^(<\||\[).*(\|>|\])$")
+    cut = lambda a, b: pc.utf8_slice_codeunits(tokens, a, b)
+    return pc.case_when(pc.make_struct(start, more, end, split, special), cut(1, None), cut(2, None), cut(0, -4), cut(0, -2), pa.array([""] * len(tokens)), tokens)
 
 
 def lookup_morphemes(words: DataFrame, lexicon: DataFrame, codes: DataFrame) -> DataFrame:
-    """words with morphemes: those of the dataset of the first priority that has the lower-cased word.
+    """words with morphemes (and their dataset, if the lexicon names it): those of the first priority that has the lower-cased word.
 
     A language that the lexicon lacks is looked up under its other code (codes: lang, other).
     """
     have = lexicon.select("lang").distinct()
-    best = lexicon.groupBy("lang", F.lower("word").alias("low")).agg(F.min_by("morphemes", "priority").alias("morphemes"))
+    best = lexicon.groupBy("lang", F.lower("word").alias("low")).agg(*(F.min_by(c, "priority").alias(c) for c in ("morphemes", "dataset") if c in lexicon.columns))
     known = codes.join(have, codes.other == have.lang, "left_semi").groupBy(codes.lang).agg(F.min("other").alias("other"))
     names = words.select("lang").distinct().join(have.withColumn("own", F.lit(True)), "lang", "left").join(known, "lang", "left")
     names = names.select("lang", F.when(F.col("own"), F.col("lang")).otherwise(F.col("other")).alias("in_lexicon"))
-    renamed = best.select(F.col("lang").alias("in_lexicon"), "low", "morphemes")
-    return words.join(F.broadcast(names), "lang").withColumn("low", F.lower("word")).join(renamed, ["in_lexicon", "low"]).drop("in_lexicon", "low")
+    renamed = best.withColumnRenamed("lang", "in_lexicon")
+    return words.join(names, "lang").withColumn("low", F.lower("word")).join(renamed, ["in_lexicon", "low"]).drop("in_lexicon", "low")
 
 
 def infer_morphemes(base: Column, derived: Column, process: Column) -> Column:
-    """[base, suffix], [prefix, base], [stem, rest] or [derived], from a derivation base -> derived."""
+    """[base, suffix], [prefix, base], [stem, rest] or [derived], from a derivation base -> derived.
+
+    Where both begin alike and the longer derived ends as base goes on, what lies between is taken for the prefix.
+    """
     b, d = F.lower(base), F.lower(derived)
     common = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(b), F.length(d)), F.lit(1))), lambda i: F.substring(b, F.lit(1), i) == F.substring(d, F.lit(1), i)))
     common = F.when((F.length(b) == 0) | (F.length(d) == 0), F.lit(0)).otherwise(common)
@@ -170,6 +208,7 @@ def infer_morphemes(base: Column, derived: Column, process: Column) -> Column:
         F.when(d.startswith(b) & (F.length(d) > F.length(b)), F.array(b, after(d, F.length(b))))
         .when(b.startswith(d), F.array(d))
         .when(d.endswith(b), F.array(F.substring(d, F.lit(1), F.length(d) - F.length(b)), b))
+        .when((common > 0) & (F.length(d) > F.length(b)) & after(d, common).endswith(after(b, common)), F.array(F.substring(d, common + 1, F.length(d) - F.length(b)), b))
         .when((common > 0) & (common < F.length(d)), F.array(F.substring(d, F.lit(1), common), after(d, common)))
         .otherwise(F.array(d))
     )
@@ -182,11 +221,51 @@ def summarise(scored: DataFrame) -> DataFrame:
     return long.groupBy("tokenizer", "lang", "metric").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def morph_score(scored: DataFrame, weighted: bool = True, exclude_single: bool = False) -> DataFrame:
-    """tokenizer, lang: recall, precision, micro and macro F1 of boundaries over word types, by frequency if weighted."""
+MORPH_SCORES = ("morphscore_recall", "morphscore_precision", "micro_f1", "macro_f1")
+
+
+def morph_score(scored: DataFrame, weighted: bool = True, exclude_single: bool = False, times: str | None = None, split: str | None = None, languages: Sequence[str] | None = None) -> DataFrame:
+    """tokenizer, lang: recall, precision, micro and macro F1 of boundaries over word types, by frequency if weighted.
+
+    times: the column that says how often a row counts (once without it).  split: the column by whose values the scores
+    are given apart.  languages: only these, by either of their codes (see to_long_codes).
+    """
     rows = scored.where("size(tokens) > 1") if exclude_single else scored
-    types = rows.groupBy("tokenizer", "lang", "word", "tokens", "morphemes", "precision", "recall", "f1").agg(F.count("*").alias("n"))
+    if languages is not None:
+        rows = rows.where(F.col("lang").isin([x for lang in languages for x in {lang, LONG_CODES.get(lang, lang)}]))
+    by = ["tokenizer", "lang", *([split] if split else [])]
+    n = F.sum(times) if times else F.count("*")
+    types = rows.groupBy(*by, "word", "tokens", "morphemes", "precision", "recall", "f1").agg(n.alias("n"))
     w = F.col("n").cast("double") if weighted else F.lit(1.0)
     mean = lambda c: F.sum(w * F.col(c)) / F.sum(w)
     p, r = mean("precision"), mean("recall")
-    return types.groupBy("tokenizer", "lang").agg(r.alias("morphscore_recall"), p.alias("morphscore_precision"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("micro_f1"), mean("f1").alias("macro_f1"), F.count("*").alias("num_samples"))
+    return types.groupBy(*by).agg(r.alias("morphscore_recall"), p.alias("morphscore_precision"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("micro_f1"), mean("f1").alias("macro_f1"), F.count("*").alias("num_samples"))
+
+
+#: Two-letter codes and the codes of language and script that collections of parallel texts use.
+LONG_CODES = dict(
+    pair.split(":")
+    for pair in (
+        "af:afr_Latn ar:arb_Arab bg:bul_Cyrl bn:ben_Beng ca:cat_Latn cs:ces_Latn da:dan_Latn de:deu_Latn el:ell_Grek en:eng_Latn es:spa_Latn et:est_Latn eu:eus_Latn fa:pes_Arab fi:fin_Latn "
+        "fr:fra_Latn ga:gle_Latn gu:guj_Gujr he:heb_Hebr hi:hin_Deva hr:hrv_Latn hu:hun_Latn hy:hye_Armn id:ind_Latn is:isl_Latn it:ita_Latn ja:jpn_Jpan ka:kat_Geor kk:kaz_Cyrl ko:kor_Hang "
+        "lt:lit_Latn lv:lvs_Latn mk:mkd_Cyrl ml:mal_Mlym mr:mar_Deva nl:nld_Latn no:nob_Latn pl:pol_Latn pt:por_Latn ro:ron_Latn ru:rus_Cyrl sk:slk_Latn sl:slv_Latn sq:als_Latn sr:srp_Cyrl "
+        "sv:swe_Latn sw:swh_Latn ta:tam_Taml te:tel_Telu th:tha_Thai tr:tur_Latn uk:ukr_Cyrl ur:urd_Arab uz:uzn_Latn vi:vie_Latn xh:xho_Latn yo:yor_Latn zh:zho_Hans zu:zul_Latn"
+    ).split()
+)
+
+
+def to_long_codes(lang: Column) -> Column:
+    """The long code of a language; one that isn't listed stays as it is."""
+    codes = F.create_map(*(F.lit(x) for pair in LONG_CODES.items() for x in pair))
+    return F.coalesce(codes[lang], lang)
+
+
+def morph_score_summary(scores: DataFrame) -> DataFrame:
+    """tokenizer: unweighted means over languages, their population std and standard error, languages and samples.
+
+    One more row, with a null tokenizer, has the unweighted means over tokenizers.
+    """
+    stats = [x for c in MORPH_SCORES for x in (F.avg(c).alias(f"avg_{c}"), F.stddev_pop(c).alias(f"std_{c}"), (F.stddev_pop(c) / F.sqrt(F.count(c).cast("double"))).alias(f"std_err_{c}"))]
+    own = scores.groupBy("tokenizer").agg(F.count("*").alias("languages_evaluated"), F.sum("num_samples").alias("total_samples"), *stats)
+    every = own.agg(F.max("languages_evaluated").alias("languages_evaluated"), F.sum("total_samples").alias("total_samples"), *(F.avg(f"avg_{c}").alias(f"avg_{c}") for c in MORPH_SCORES))
+    return own.unionByName(every.where("languages_evaluated is not null"), allowMissingColumns=True)

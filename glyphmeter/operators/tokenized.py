@@ -9,11 +9,14 @@ Texts are scanned once for all tokenizers: each row becomes an array of (tokeniz
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from glyphmeter.functions import text as t
 
@@ -31,9 +34,12 @@ COUNTERS: dict[str, Callable[[Column], Column]] = {
     "characters": F.length,
     "trigrams": lambda text: F.ceil(F.length(text) / 3),
 }
-VOCABULARY = {"bytes": 256, "characters": 1114112, "pieces": 100000, "trigrams": 250000, "whitespace": 200000}
+#: Those whose vocabulary is the same for every corpus; the others' is what they find (see vocabulary_sizes).
+CLOSED = {"bytes": 256, "characters": 1114112}
 #: Those that the standard reports compare.
 STANDARD = ("bytes", "pieces", "whitespace")
+#: A vocabulary up to this size is held by every worker.
+HELD_BYTES = 32 << 20
 STATS = ("n_tokens", "n_chars", "n_bytes", "n_words", "n_lines", "not_blank")
 
 
@@ -74,6 +80,12 @@ def token_counts(tokenized: DataFrame, by: tuple[str, ...] = ("tokenizer", "lang
     return tokenized.select(*by, F.explode("tokens").alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
 
 
+def vocabulary_sizes(counts: DataFrame, given: Mapping[str, int] = CLOSED) -> DataFrame:
+    """tokenizer, vocab_size: as given, or the number of tokens that the counts (one row each) have."""
+    known = F.coalesce(*(F.when(F.col("tokenizer") == n, F.lit(size)) for n, size in given.items()), F.lit(None)).cast("bigint")
+    return counts.groupBy("tokenizer").agg(F.count("*").alias("found")).select("tokenizer", F.coalesce(known, "found").alias("vocab_size"))
+
+
 def roll_up(counts: DataFrame) -> DataFrame:
     """Counts of each token over all languages."""
     return counts.groupBy("tokenizer", "token").agg(F.sum("n").alias("n"))
@@ -93,20 +105,71 @@ def vocabulary(tokenized: DataFrame) -> DataFrame:
     return bucket.withColumn("rank", rank).join(shift, ["tokenizer", "bucket"]).select("tokenizer", "token", (F.col("rank") + F.col("shift") - 1).alias("token_id"))
 
 
-def encode_ids(tokenized: DataFrame, vocab: DataFrame) -> DataFrame:
-    """tokenizer, doc_id, token_ids: tokens replaced by their ids, in order; unknown ones by -1."""
-    each = tokenized.select("tokenizer", "doc_id", F.posexplode("tokens").alias("pos", "token"))
-    known = each.join(vocab, ["tokenizer", "token"], "left").select("tokenizer", "doc_id", F.struct("pos", F.coalesce("token_id", F.lit(-1)).alias("id")).alias("x"))
-    return known.groupBy("tokenizer", "doc_id").agg(F.array_sort(F.collect_list("x")).alias("x")).select("tokenizer", "doc_id", F.col("x.id").alias("token_ids"))
+def _held(vocab: DataFrame, most_bytes: int) -> dict[str, tuple[pa.Array, pa.Array]] | None:
+    """The tokens and ids of each tokenizer, if they are few enough to be held by every worker."""
+    kept = vocab.select("tokenizer", "token", F.col("token_id").cast("bigint").alias("token_id")).persist()
+    size = kept.agg(F.sum(F.octet_length("token") + 24)).first()[0] or 0
+    table = kept.toArrow() if size <= most_bytes else None
+    kept.unpersist()
+    if table is None:
+        return None
+    names = table.column("tokenizer").unique().to_pylist()
+    own = lambda n: table.filter(pc.equal(table.column("tokenizer"), pa.scalar(n)))
+    return {n: tuple(own(n).column(c).combine_chunks() for c in ("token", "token_id")) for n in names}
+
+
+def _mapped(rows: DataFrame, column: str, change: Callable[[str, pa.Array], pa.Array], out: str, kind: str, keep: Sequence[str] = ()) -> DataFrame:
+    """tokenizer, doc_id, the columns `keep` and the changed lists of a column: nothing is shuffled."""
+    own = ("tokenizer", "doc_id", *keep)
+    schema = StructType([*(rows.schema[c] for c in own), StructField(out, ArrayType(StringType() if kind == "string" else LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("tokenizer").unique().to_pylist():
+                part = batch.filter(pc.equal(batch.column("tokenizer"), pa.scalar(name)))
+                lists = part.column(column)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.ListArray.from_arrays(at, change(name, lists.flatten()))], [*own, out])
+
+    return rows.select(*own, column).where(F.size(column) > 0).mapInArrow(run, schema)
+
 
+def encode_ids(tokenized: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+    """tokenizer, doc_id, the columns `keep`, token_ids: tokens replaced by their ids, in order; unknown ones by -1.
 
-def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """tokenizer, doc_id, tokens: ids replaced by their tokens, unknown ones by <UNK_id>."""
-    each = encoded.select("tokenizer", "doc_id", F.posexplode("token_ids").alias("pos", "token_id"))
+    A vocabulary of up to most_bytes is held by every worker and nothing is shuffled; a larger one is joined.
+    """
+    held = _held(vocab, most_bytes)
+    if held is not None:
+
+        def change(name: str, tokens: pa.Array) -> pa.Array:
+            known, ids = held.get(name, (pa.array([], pa.string()), pa.array([], pa.int64())))
+            return pc.fill_null(ids.take(pc.index_in(tokens, known)), -1)
+
+        return _mapped(tokenized, "tokens", change, "token_ids", "bigint", keep)
+    each = tokenized.select("tokenizer", "doc_id", *keep, F.posexplode("tokens").alias("pos", "token"))
+    known = each.join(vocab, ["tokenizer", "token"], "left").select("tokenizer", "doc_id", *keep, F.struct("pos", F.coalesce("token_id", F.lit(-1)).alias("id")).alias("x"))
+    return known.groupBy("tokenizer", "doc_id", *keep).agg(F.array_sort(F.collect_list("x")).alias("x")).select("tokenizer", "doc_id", *keep, F.col("x.id").alias("token_ids"))
+
+
+def decode_ids(encoded: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+    """tokenizer, doc_id, the columns `keep`, tokens: ids replaced by their tokens, unknown ones by <UNK_id>; see encode_ids."""
+    held = _held(vocab, most_bytes)
+    if held is not None:
+
+        def change(name: str, ids: pa.Array) -> pa.Array:
+            tokens, known = held.get(name, (pa.array([], pa.string()), pa.array([], pa.int64())))
+            ids = ids.cast(pa.int64())
+            unknown = pc.binary_join_element_wise("<UNK_", ids.cast(pa.string()), ">", "")
+            return pc.coalesce(tokens.take(pc.index_in(ids, known)), unknown)
+
+        return _mapped(encoded, "token_ids", change, "tokens", "string", keep)
+    each = encoded.select("tokenizer", "doc_id", *keep, F.posexplode("token_ids").alias("pos", "token_id"))
     known = each.join(vocab, ["tokenizer", "token_id"], "left")
     token = F.coalesce("token", F.concat(F.lit("<UNK_"), F.col("token_id").cast("string"), F.lit(">")))
-    grouped = known.groupBy("tokenizer", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token")))).alias("x"))
-    return grouped.select("tokenizer", "doc_id", F.col("x.token").alias("tokens"))
+    grouped = known.groupBy("tokenizer", "doc_id", *keep).agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token")))).alias("x"))
+    return grouped.select("tokenizer", "doc_id", *keep, F.col("x.token").alias("tokens"))
 
 
 def truncate(tokens: Column, most: int) -> Column:
@@ -122,14 +185,18 @@ def attention_mask(tokens: Column, length: int) -> Column:
     return F.concat(F.array_repeat(F.lit(1), F.size(tokens)), F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size(tokens), F.lit(0))))
 
 
-def encode_with_file(texts: DataFrame, path: str, name: str, add_special: bool = False, max_length: int | None = None) -> DataFrame:
+def encode_with_file(texts: DataFrame, path: str, name: str, add_special: bool = False, max_length: int | None = None, pad_to: int | None = None, pad_id: int = 0, details: bool = False) -> DataFrame:
     """tokenizer, lang, doc_id, text, tokens (ids) from a tokenizer file of the `tokenizers` library, batch by batch.
 
-    Blank texts are skipped.  The file is read once, on the driver; tasks get its content.
+    Blank texts are skipped.  The file is read once, on the driver; tasks get its content.  pad_to: lists are filled up to
+    this length with pad_id.  details: also attention_mask (0 for fillers) and offsets (start and end of each token in
+    the text's characters; 0, 0 for fillers).
     """
     from tokenizers import Tokenizer
 
-    spec = Tokenizer.from_file(path).to_str()
+    from glyphmeter.sources.tokenizers import load
+
+    spec = load(name, path).spec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -138,12 +205,19 @@ def encode_with_file(texts: DataFrame, path: str, name: str, add_special: bool =
         tok = Tokenizer.from_str(spec)
         if max_length is not None:
             tok.enable_truncation(max_length)
+        if pad_to is not None:
+            tok.enable_padding(length=pad_to, pad_id=pad_id)
+        encode = tok.encode_batch if details else tok.encode_batch_fast
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = tok.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=add_special)
+                found = encode(part.column("text").to_pylist(), add_special_tokens=add_special)
                 ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), *(part.column(c) for c in ("lang", "doc_id", "text")), ids], ["tokenizer", "lang", "doc_id", "text", "tokens"])
+                more = {} if not details else {
+                    "attention_mask": pa.array([e.attention_mask for e in found], pa.list_(pa.int32())),
+                    "offsets": pa.array([[{"start": a, "end": b} for a, b in e.offsets] for e in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), *(part.column(c) for c in ("lang", "doc_id", "text")), ids, *more.values()], ["tokenizer", "lang", "doc_id", "text", "tokens", *more])
 
     rows = texts.where(t.not_blank(F.col("text"))).select("lang", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "tokenizer string, lang string, doc_id bigint, text string, tokens array<int>")
+    return rows.mapInArrow(run, "tokenizer string, lang string, doc_id bigint, text string, tokens array<int>" + ", attention_mask array<int>, offsets array<struct<start: int, end: int>>" * details)

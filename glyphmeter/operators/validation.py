@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COVERAGE_WARNING = 0.5
@@ -28,7 +30,7 @@ def _message(test: Column, severity: str, text: Column) -> Column:
 
 def entries(encoded: DataFrame, vocab_sizes: DataFrame) -> DataFrame:
     """tokenizer, doc_id, severity, message for each thing that is wrong with an entry; offenders are shown five at most."""
-    ids, rows = F.col("token_ids"), encoded.join(F.broadcast(vocab_sizes), "tokenizer", "left")
+    ids, rows = F.col("token_ids"), encoded.join(vocab_sizes, "tokenizer", "left")
     show = lambda x: F.array_join(F.slice(x, 1, 5), ",")
     negative, over = F.filter(ids, lambda x: x < 0), F.filter(ids, lambda x: x >= F.col("vocab_size"))
     tests = [
@@ -43,6 +45,40 @@ def entries(encoded: DataFrame, vocab_sizes: DataFrame) -> DataFrame:
     return found.select("tokenizer", "doc_id", "x.severity", "x.message")
 
 
+def batch(encoded: DataFrame, vocab_sizes: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """severity, message of a whole batch: what entries() says of each, and what only all of them show.
+
+    An empty batch, several tokenizers in it (warnings), languages that nobody expected (an error).
+    """
+    own = entries(encoded, vocab_sizes).select("severity", F.concat_ws(": ", F.concat_ws("/", "tokenizer", F.col("doc_id").cast("string")), "message").alias("message"))
+    names, langs = F.array_sort(F.collect_set("tokenizer")), F.array_sort(F.collect_set("lang"))
+    every = encoded.agg(F.count("*").alias("n"), names.alias("names"), langs.alias("langs"))
+    odd = F.array_except("langs", F.array(*map(F.lit, languages)).cast("array<string>")) if languages is not None else F.array().cast("array<string>")
+    tests = [
+        _message(F.col("n") == 0, "warning", F.lit("an empty batch")),
+        _message(F.size("names") > 1, "warning", F.concat(F.lit("several tokenizers: "), F.array_join("names", ","))),
+        _message(F.size(odd) > 0, "error", F.concat(F.lit("unexpected languages: "), F.array_join(odd, ","))),
+    ]
+    return own.unionByName(every.select(F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x")).select("x.severity", "x.message"))
+
+
+def merge(*found: DataFrame) -> DataFrame:
+    """severity, message of several validations as one."""
+    out = found[0].select("severity", "message")
+    for x in found[1:]:
+        out = out.unionByName(x.select("severity", "message"))
+    return out
+
+
+def report(found: DataFrame) -> DataFrame:
+    """One row: valid (no error), how many errors and warnings, and the first five of each by their text."""
+    by = found.groupBy("severity", "message").agg(F.count("*").alias("n"))
+    first = by.withColumn("k", F.row_number().over(Window.partitionBy("severity").orderBy("message")))
+    of = lambda s, x: F.coalesce(F.sum(F.when(F.col("severity") == s, x)), F.lit(0))
+    shown = lambda s: F.array_sort(F.collect_list(F.when((F.col("severity") == s) & (F.col("k") <= 5), F.col("message"))))
+    return first.agg((of("error", F.col("n")) == 0).alias("valid"), of("error", F.col("n")).alias("errors"), of("warning", F.col("n")).alias("warnings"), shown("error").alias("first_errors"), shown("warning").alias("first_warnings"))
+
+
 def require_valid(encoded: DataFrame, vocab_sizes: DataFrame) -> DataFrame:
     """encoded as it is, or ValueError with the first errors."""
     errors = entries(encoded, vocab_sizes).where("severity = 'error'").orderBy("tokenizer", "doc_id", "message").limit(5).collect()
@@ -61,9 +97,9 @@ def set_differences(have: DataFrame, want: DataFrame, column: str) -> DataFrame:
 def coverage(rows: DataFrame, languages: DataFrame) -> DataFrame:
     """tokenizer, covered, expected, ratio, warning: how many of the declared languages it has texts in."""
     expected = languages.agg(F.countDistinct("lang").alias("expected"))
-    have = rows.join(F.broadcast(languages.select("lang").distinct()), "lang", "left_semi").groupBy("tokenizer").agg(F.countDistinct("lang").alias("covered"))
+    have = rows.join(languages.select("lang").distinct(), "lang", "left_semi").groupBy("tokenizer").agg(F.countDistinct("lang").alias("covered"))
     ratio = F.col("covered") / F.col("expected")
-    return have.crossJoin(F.broadcast(expected)).select("tokenizer", "covered", "expected", ratio.alias("ratio"), (ratio < COVERAGE_WARNING).alias("warning"))
+    return have.crossJoin(expected).select("tokenizer", "covered", "expected", ratio.alias("ratio"), (ratio < COVERAGE_WARNING).alias("warning"))
 
 
 def consistent(rows: DataFrame, name: str, languages: list[str]) -> DataFrame:

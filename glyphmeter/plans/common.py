@@ -26,7 +26,7 @@ def tokens(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tk.STANDAR
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tk.text_stats_of(documents(spark, sf_dir))
+    return tk.text_stats_of(spread(documents(spark, sf_dir)))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,6 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.token_counts(tokens(spark, sf_dir), ("tokenizer",))
 
 
-def sizes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(tk.VOCABULARY.items()), "tokenizer string, vocab_size bigint")
-
-
 def digest(tokens: Column) -> Column:
     """One string for a list, in the same form in SQL."""
     return F.md5(F.array_join(tokens, "␟"))

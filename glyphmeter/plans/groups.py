@@ -10,8 +10,8 @@ from glyphmeter.operators import measures as ms
 from glyphmeter.operators import reports as rp
 from glyphmeter.operators import tokenized as tk
 from glyphmeter.plans import sql
-from glyphmeter.plans.common import GROUPS, counts, rounded, sizes, stats, stats_rounded
-from glyphmeter.plans.registry import documents, query
+from glyphmeter.plans.common import GROUPS, counts, rounded, stats, stats_rounded
+from glyphmeter.plans.registry import documents, query, spread
 
 GROUP = ("group_type", "group_name", "tokenizer")
 
@@ -51,7 +51,8 @@ def grouped_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.COUNTS}, gc AS (SELECT group_type, group_name, tokenizer, token, sum(n) AS n FROM counts JOIN {sql.GROUPS} ON g.lang = counts.lang GROUP BY ALL) SELECT group_type, group_name, tokenizer, count(DISTINCT token)::BIGINT AS types, sum(n)::BIGINT AS tokens, round(count(DISTINCT token)::DOUBLE / sum(n), 6) AS ttr FROM gc GROUP BY ALL")
 def grouped_type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.type_token_ratio(_grouped(counts(spark, sf_dir)), GROUP))
+    merged = _grouped(counts(spark, sf_dir)).groupBy(*GROUP, "token").agg(F.sum("n").alias("n"))
+    return rounded(ms.type_token_ratio(merged, GROUP))
 
 
 @query(f"WITH {sql.STATS} SELECT tokenizer, count(*) AS texts, sum(n_tokens)::BIGINT AS tokens FROM stats WHERE lang IN (SELECT lang FROM {sql.GROUPS} WHERE group_name = 'romance') GROUP BY tokenizer")
@@ -88,7 +89,7 @@ _CATALOG = "(VALUES " + ", ".join(f"('{m.name}', {m.lower_is_better})" for m in
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.all_values(stats(spark, sf_dir), counts(spark, sf_dir), sizes(spark))
+    return rp.all_values(stats(spark, sf_dir), counts(spark, sf_dir))
 
 
 @query(f"{_VALUES} SELECT tokenizer, metric, round(value, 6) AS value FROM vals")
@@ -150,8 +151,8 @@ _CONV = "UNION ALL ".join(f"SELECT '{n}' AS tokenizer, role AS lang, text, {sql.
 @query(f"WITH {sql.TOK}, a AS (SELECT tokenizer, lang, len(tokens) AS k FROM tok UNION ALL SELECT 'conversation_' || tokenizer, lang, len(tokens) FROM ({_CONV})) SELECT tokenizer, lang, count(*) AS texts, sum(k)::BIGINT AS tokens FROM a GROUP BY ALL")
 def union_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenized tables of several providers in one; names must not clash."""
-    first = tk.tokenize(documents(spark, sf_dir))
+    first = tk.tokenize(spread(documents(spark, sf_dir)))
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("role").alias("lang"), F.col("conv_id").alias("doc_id"), "text")
     second = tk.tokenize(talk, ("whitespace",)).withColumn("tokenizer", F.concat(F.lit("conversation_"), "tokenizer"))
-    both = rp.union_of(first, second)
+    both = rp.union_of(first, second, names=[tk.STANDARD, ["conversation_whitespace"]])
     return both.groupBy("tokenizer", "lang").agg(F.count("*").alias("texts"), F.sum(F.size("tokens")).alias("tokens"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from glyphmeter.operators import measures as ms
 from glyphmeter.operators import tokenized as tk
 from glyphmeter.plans import sql
-from glyphmeter.plans.common import counts, rounded, sizes, stats, stats_rounded, totals
-from glyphmeter.plans.registry import ORACLES, QUERIES, documents, query
+from glyphmeter.plans.common import counts, rounded, stats, stats_rounded, totals
+from glyphmeter.plans.registry import ORACLES, QUERIES, documents, query, spread
 
 
 def _fertility(unit: str, column: str) -> None:
@@ -69,12 +69,14 @@ def _use_sql(by: str) -> str:
 
 @query(_use_sql("tokenizer"))
 def vocab_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.vocabulary_use(totals(spark, sf_dir), sizes(spark)))
+    total = totals(spark, sf_dir)
+    return rounded(ms.vocabulary_use(total, tk.vocabulary_sizes(total)))
 
 
 @query(_use_sql("tokenizer, lang"))
 def vocab_utilization_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ms.vocabulary_use(counts(spark, sf_dir), sizes(spark), ms.LANGUAGE))
+    own = counts(spark, sf_dir)
+    return rounded(ms.vocabulary_use(own, tk.vocabulary_sizes(tk.roll_up(own)), ms.LANGUAGE))
 
 
 def _ttr_sql(by: str) -> str:
@@ -160,5 +162,5 @@ def totals_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fertility of a public BPE tokenizer file."""
-    encoded = tk.encode_with_file(documents(spark, sf_dir), "/opt/tokenizers/byte_bpe_50k.json", "byte_bpe_50k")
+    encoded = tk.encode_with_file(spread(documents(spark, sf_dir)), "/opt/tokenizers/byte_bpe_50k.json", "byte_bpe_50k")
     return stats_rounded(ms.fertility(tk.text_stats(encoded), by=ms.LANGUAGE))

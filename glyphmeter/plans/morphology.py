@@ -9,7 +9,7 @@ from glyphmeter.functions import text as t
 from glyphmeter.operators import morphology as mo
 from glyphmeter.plans import sql
 from glyphmeter.plans.common import digest, rounded
-from glyphmeter.plans.registry import documents, query
+from glyphmeter.plans.registry import documents, query, spread
 
 _STRIP = r"regexp_replace(regexp_replace({}, '^[.,!?;:\"()\[\]{{}}]+', ''), '[.,!?;:\"()\[\]{{}}]+$', '')"
 
@@ -23,7 +23,7 @@ _WORDS = f"words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, {_strip
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, word, n: the lower-cased words of at least two characters, without punctuation at their ends."""
-    each = documents(spark, sf_dir).select("lang", F.explode(t.split_words(F.lower("text"))).alias("w"))
+    each = spread(documents(spark, sf_dir)).select("lang", F.explode(t.split_words(F.lower("text"))).alias("w"))
     return each.select("lang", t.strip_punctuation(F.col("w")).alias("word")).where(F.length("word") >= mo.LEAST_WORD).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
@@ -53,7 +53,7 @@ _SCORED = f"""WITH {_WORDS}, b AS (SELECT lang, word, n, {_THIRDS} AS tokens, li
 
 @query(f"{_SCORED} SELECT lang, word, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(preservation, 6) AS preservation, round(over_segmentation, 6) AS over_segmentation FROM s")
 def morph_boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = mo.direct_scores(_tokenized_words(spark, sf_dir))
+    scored = mo.full_scores(_tokenized_words(spark, sf_dir))
     return rounded(scored.select("lang", "word", "precision", "recall", "f1", "preservation", "over_segmentation"))
 
 
@@ -72,9 +72,7 @@ def morph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def morph_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary scores weighted by word frequency, single-token words left out."""
-    scored = mo.direct_scores(_tokenized_words(spark, sf_dir))
-    by_frequency = scored.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rounded(mo.morph_score(by_frequency, exclude_single=True))
+    return rounded(mo.morph_score(mo.full_scores(_tokenized_words(spark, sf_dir)), exclude_single=True, times="n"))
 
 
 @query(f"WITH {_WORDS}, x AS (SELECT lang, word, {_THIRDS} AS tokens FROM words) SELECT lang, word, array_to_string(list_transform(range(1, len(tokens) + 1), lambda i: least(3 * i, length(word))), ',') AS ends FROM x")
@@ -112,17 +110,16 @@ def morpheme_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_WORDS}, x AS (SELECT DISTINCT word, substr(word, 1, length(word) // 2) AS base FROM words WHERE length(word) >= 4),
- y AS (SELECT word || 'ung' AS derived, word AS base FROM x UNION ALL SELECT base, word FROM x UNION ALL SELECT 'un' || word, word FROM x UNION ALL SELECT base || '0x', base || '9yz' FROM x)
- SELECT base, derived, array_to_string(CASE WHEN starts_with(derived, base) AND length(derived) > length(base) THEN [base, substr(derived, length(base) + 1)] WHEN starts_with(base, derived) THEN [derived]
-  WHEN ends_with(derived, base) THEN [substr(derived, 1, length(derived) - length(base)), base]
-  ELSE (CASE WHEN len(list_filter(range(1, least(length(base), length(derived)) + 1), lambda i: substr(base, 1, i) = substr(derived, 1, i))) > 0
-   THEN [substr(derived, 1, len(list_filter(range(1, least(length(base), length(derived)) + 1), lambda i: substr(base, 1, i) = substr(derived, 1, i)))), substr(derived, 1 + len(list_filter(range(1, least(length(base), length(derived)) + 1), lambda i: substr(base, 1, i) = substr(derived, 1, i))))] ELSE [derived] END) END, '|') AS morphemes FROM (SELECT DISTINCT base, derived FROM y)"""
+ y AS (SELECT word || 'ung' AS derived, word AS base FROM x UNION ALL SELECT base, word FROM x UNION ALL SELECT 'un' || word, word FROM x UNION ALL SELECT substr(word, 1, 2) || '0' || substr(word, 3), word FROM x UNION ALL SELECT base || '0x', base || '9yz' FROM x),
+ z AS (SELECT base, derived, length(base) AS b, length(derived) AS d, len(list_filter(range(1, least(length(base), length(derived)) + 1), lambda i: substr(base, 1, i) = substr(derived, 1, i))) AS n FROM (SELECT DISTINCT base, derived FROM y))
+ SELECT base, derived, array_to_string(CASE WHEN n = b AND d > b THEN [base, substr(derived, b + 1)] WHEN n = d THEN [derived] WHEN ends_with(derived, base) THEN [substr(derived, 1, d - b), base]
+  WHEN n > 0 AND d > b AND ends_with(substr(derived, n + 1), substr(base, n + 1)) THEN [substr(derived, n + 1, d - b), base] WHEN n > 0 THEN [substr(derived, 1, n), substr(derived, n + 1)] ELSE [derived] END, '|') AS morphemes FROM z"""
 )
 def infer_morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derivations by suffix, truncation, prefix and change of ending."""
+    """Derivations by suffix, truncation, prefix, insertion and change of ending."""
     x = words(spark, sf_dir).where(F.length("word") >= 4).select("word", F.expr("substr(word, 1, length(word) div 2)").alias("base")).distinct()
     made = F.array(
-        *(F.struct(b.alias("base"), d.alias("derived")) for b, d in ((F.col("word"), F.concat("word", F.lit("ung"))), (F.col("word"), F.col("base")), (F.col("word"), F.concat(F.lit("un"), "word")), (F.concat("base", F.lit("9yz")), F.concat("base", F.lit("0x")))))
+        *(F.struct(b.alias("base"), d.alias("derived")) for b, d in ((F.col("word"), F.concat("word", F.lit("ung"))), (F.col("word"), F.col("base")), (F.col("word"), F.concat(F.lit("un"), "word")), (F.col("word"), F.concat(F.substring("word", 1, 2), F.lit("0"), F.substring("word", 3, 1 << 30))), (F.concat("base", F.lit("9yz")), F.concat("base", F.lit("0x")))))
     )
     y = x.select(F.explode(made).alias("y")).select("y.*").distinct()
     return y.select("base", "derived", F.array_join(mo.infer_morphemes(F.col("base"), F.col("derived"), F.lit(None)), "|").alias("morphemes"))
@@ -145,5 +142,5 @@ _SPACED = r"regexp_extract_all(text, ' ?[\p{L}\p{N}_]+| ?[^\p{L}\p{N}_\s]+')"
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of each word of each text; tokens carry the space before them."""
     tokens = F.regexp_extract_all("text", F.lit(r"(?U) ?\w+| ?[^\w\s]+"), F.lit(0))
-    tok = documents(spark, sf_dir).where(t.not_blank(F.col("text"))).select(F.lit("spaced").alias("tokenizer"), "lang", "doc_id", "text", tokens.alias("tokens"))
+    tok = spread(documents(spark, sf_dir)).where(t.not_blank(F.col("text"))).select(F.lit("spaced").alias("tokenizer"), "lang", "doc_id", "text", tokens.alias("tokens"))
     return mo.align_words(tok).select("doc_id", F.col("word_index").cast("bigint").alias("word_index"), "word", digest(F.col("tokens")).alias("digest"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from glyphmeter.functions.text import WS
-from glyphmeter.operators.tokenized import STANDARD, VOCABULARY
 
+STANDARD = ("bytes", "pieces", "whitespace")
 WS_RUN = f"[{WS}]+"
 #: Word characters and punctuation, as RE2 sees them.
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
@@ -40,7 +40,8 @@ def tokens(names: tuple[str, ...] = STANDARD, source: str = "documents", keep: s
     return " UNION ALL ".join(f"SELECT '{n}' AS tokenizer, {keep}, {TOKENS[n]} AS tokens FROM {source} WHERE text IS NOT NULL AND {strip('text')} <> ''" for n in names)
 
 
-SIZES = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {VOCABULARY[n]}::BIGINT)" for n in STANDARD) + ") AS v(tokenizer, vocab_size)"
+#: There are 256 bytes; other vocabularies are the tokens that the texts have.
+SIZES = "SELECT tokenizer, CASE WHEN tokenizer = 'bytes' THEN 256 ELSE count(DISTINCT token) END::BIGINT AS vocab_size FROM counts GROUP BY tokenizer"
 TOK = f"tok AS ({tokens()})"
 STATS = f"""{TOK}, stats AS (SELECT tokenizer, lang, doc_id, len(tokens)::BIGINT AS n_tokens, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes,
  len({words("text")})::BIGINT AS n_words, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM tok)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -29,13 +30,14 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings that the tests and the bench use."""
+    """A session on this machine alone, with the settings that the tests and the bench use; its shared folder is a temporary one."""
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": "file://" + os.path.join(tempfile.gettempdir(), f"glyphmeter-{os.getpid()}"),
     } | conf
     spark = SparkSession.builder.master(f"local[{cores}]").appName("glyphmeter").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Mapping
-from glob import glob
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from glyphmeter.functions import text as t
+from glyphmeter.sources import files as fl
 
 TEXT_COLUMNS = ("text", "content", "sentence", "document", "passage")
+HEAD = 1 << 20
 _SCHEMA = "text string, rank int, file string, pos bigint"
 
 
@@ -39,22 +40,30 @@ def read_parquet(spark: SparkSession, path: str | list[str], rank: int = 1) -> D
     return _clean(df.select(F.col(text_column(df)).alias("text"), "_metadata"), rank).where("text <> 'nan'")
 
 
+def _one_value(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file is one array or object, not lines of objects, as its first megabyte tells."""
+    text, complete = fl.head(spark, path, HEAD)
+    text = text.lstrip("\ufeff \t\r\n")
+    if text[:1] != "{":
+        return text[:1] == "["
+
+    def is_object(x: str) -> bool:
+        try:
+            return isinstance(json.loads(x), dict)
+        except ValueError:
+            return False
+
+    return complete and is_object(text) or not any(is_object(x) for x in text.split("\n"))
+
+
 def read_json(spark: SparkSession, path: str | list[str], rank: int = 0) -> DataFrame:
-    """The text field of a JSON array or object, or of JSON lines; lines that are no JSON are skipped."""
+    """The text field of a JSON array or object, however it is laid out, or of JSON lines; lines that are no JSON are skipped."""
     paths = [path] if isinstance(path, str) else path
-    out = []
+    rows = None
     for p in paths:
-        with open(p, encoding="utf-8", errors="replace") as f:
-            first = next((line for line in f if line.strip()), "")
-        try:
-            whole = not isinstance(json.loads(first), dict)
-        except ValueError:
-            whole = first.lstrip()[:1] in ("[", "{") and len(first.strip()) <= 2 or first.lstrip().startswith("[")
-        df = spark.read.schema("text string").json(p, multiLine=whole)
-        out.append(_clean(df.select("text", "_metadata"), rank))
-    rows = out[0]
-    for x in out[1:]:
-        rows = rows.unionByName(x)
+        df = spark.read.schema("text string").json(p, multiLine=_one_value(spark, p))
+        own = _clean(df.select("text", "_metadata"), rank)
+        rows = own if rows is None else rows.unionByName(own)
     return rows
 
 
@@ -79,13 +88,13 @@ def read_file(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
 
 def read_path(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
     """text, text_id of a file, or of a directory's JSON, then Parquet, then text files: the first `most`."""
-    if os.path.isfile(path) or path.endswith(".parquet"):
-        rows = read_file(spark, path, most) if os.path.exists(path) else None
+    if path.endswith(".parquet") or fl.is_file(spark, path):
+        rows = read_file(spark, path, most) if fl.exists(spark, path) else None
     else:
         kinds = [(read_json, "*.json"), (read_parquet, "*.parquet"), (lambda s, p: read_text(s, p, most), "*.txt")]
         rows = None
         for read, pattern in kinds:
-            files = sorted(glob(os.path.join(path, pattern)))
+            files = fl.matching(spark, f"{path}/{pattern}")
             if files:
                 found = read(spark, files)
                 rows = found if rows is None else rows.unionByName(found)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmeter.sources import files
+
 SCHEMA = "tokenizer_name string, language string, tokens array<int>, text string, metadata map<string,string>"
 
 
@@ -17,7 +18,7 @@ def _table(rows: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """tokenizer, lang, tokens, text, metadata from a JSON list of records, or from JSON lines of them."""
-    return _table(spark.read.schema(SCHEMA).json(path, multiLine=path.endswith(".json") and os.path.isfile(path)))
+    return _table(spark.read.schema(SCHEMA).json(path, multiLine=path.endswith(".json") and files.is_file(spark, path)))
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +47,13 @@ def write_store(tokenized: DataFrame, vocab: DataFrame | None, path: str) -> Non
         vocab = top.select("tokenizer", F.explode(F.sequence(F.lit(0), "top")).alias("token_id")).withColumn("token", F.concat(F.lit("<token_"), F.col("token_id").cast("string"), F.lit(">")))
     vocab.select("tokenizer", "token_id", "token").repartitionByRange("tokenizer", "token_id").sortWithinPartitions("token_id").write.mode("overwrite").partitionBy("tokenizer").parquet(f"{path}/vocabulary")
     names = sorted(r[0] for r in vocab.select("tokenizer").distinct().collect())
-    with open(f"{path}/manifest.json", "w", encoding="utf-8") as f:
-        json.dump({"tokens": "tokens", "vocabulary": "vocabulary", "tokenizers": names}, f, ensure_ascii=False, indent=1)
+    manifest = {"tokens": "tokens", "vocabulary": "vocabulary", "tokenizers": names}
+    files.write_text(tokenized.sparkSession, f"{path}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=1))
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The tokenized table and the vocabulary of a store; places are relative to the manifest."""
-    with open(f"{path}/manifest.json", encoding="utf-8") as f:
-        manifest = json.load(f)
+    manifest = json.loads(files.read_text(spark, f"{path}/manifest.json"))
     return spark.read.parquet(f"{path}/{manifest['tokens']}"), spark.read.parquet(f"{path}/{manifest['vocabulary']}")
 
 
@@ -65,5 +65,3 @@ def read_vocabulary(spark: SparkSession, path: str, tokenizer: str) -> DataFrame
 
 def vocabulary_sizes(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("tokenizer").agg(F.count("*").alias("vocab_size"))
-
-

@@ -19,6 +19,12 @@ class TokenizerSpec:
     spec: str
     vocab_size: int
 
+    def vocabulary(self) -> dict[str, int]:
+        """The ids of all tokens, those that were added too."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec).get_vocab()
+
 
 def load(name: str, path: str) -> TokenizerSpec:
     from tokenizers import Tokenizer

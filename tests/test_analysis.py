@@ -30,14 +30,26 @@ def test_whole_analysis(spark, tmp_path):
     lexicon = spark.createDataFrame([("en", "l", 0, "cats", ["cat", "s"]), ("en", "l", 0, "unhappy", ["un", "happy"])], "lang string, dataset string, priority int, word string, morphemes array<string>")
     groups = gr.group_table(spark, {"family": {"a": ["en"], "b": ["fr"]}, "all": {"every": ["en", "fr"]}})
     a = an.Analysis(inputs(spark), groups, lexicon)
-    assert {r["tokenizer"]: r["vocab_size"] for r in a.sizes.collect()} == {"ws": 200000, "bpe": 50257, "done": 6}
+    assert {r["tokenizer"]: r["vocab_size"] for r in a.sizes.collect()} == {"ws": 10, "bpe": 50257, "done": 6}
     results = a.run()
     assert all(df.count() > 0 for name, df in results.items()), results.keys()
-    assert len(results) == 24
+    assert len(results) == 26
+    bpe = {r["metric"]: r["mean"] for r in results["morphology"].where("tokenizer = 'bpe' and lang = 'en'").collect()}
+    assert bpe["f1"] > 0  # ids are spelled before they are compared: "unhappy" begins with "un"
+    with pytest.raises(ValueError, match="beyond the vocabulary"):
+        an.Analysis([an.Input("bad", rows=inputs(spark)[2].rows, vocab_size=3)])
+    assert an.Analysis([an.Input("bad", rows=inputs(spark)[2].rows, vocab_size=3)], validate=False).summary().first()["vocab_size"] == 3
     grouped = a.grouped(["family"])
     assert {r["group_name"] for r in grouped["fertility"].collect()} == {"a", "b"}
     assert grouped["morph_score"].count() > 0 and a.grouped(["nothing"])["gini"].count() == 0
-    a.save(str(tmp_path / "out"), {"gini": results["gini"]})
+    a.save(str(tmp_path / "out"), {n: results[n] for n in ("gini", "lorenz", "fertility", "fertility_per_language", "fertility_pairs")} | {"grouped_fertility": grouped["fertility"]})
+    full = json.loads((tmp_path / "out" / "full_results.json").read_text())
+    assert set(full["fertility_per_language"]["ws"]) == {"en", "fr"} and "bpe_vs_ws" in full["fertility_pairs"] and full["grouped_fertility"]["ws"]
+    drawn = {p.name for p in (tmp_path / "out" / "views").iterdir()}
+    assert drawn >= {"fertility_bars", "fertility_by_language", "fertility_facets", "fertility_by_group", "gini_bars", "lorenz"}
+    assert {"morph_f1", "morphscore_recall"} <= {r["metric"] for r in a.values().collect()}
+    assert any("MorphScore Recall" in line or "MorphScore" in line for line in rp.latex(a.values(), "comprehensive"))
+    a.close()
     assert "fertility" in json.loads((tmp_path / "out" / "analysis_results.json").read_text())["ws"]
     assert "ws" in rp.text_report(a.values())
     assert rp.select_tokenizers(a.values(), ["ws"]).count() > 0
@@ -53,11 +65,19 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "t.json").write_text(json.dumps({"ws": "whitespace", "bpe": {"path": "/opt/tokenizers/byte_bpe_50k.json"}}))
     (tmp_path / "l.json").write_text(json.dumps({"languages": {x: {"name": x, "data_path": str(tmp_path / f"{x}.json")} for x in ("en", "fr")}, "analysis_groups": {"k": {"g": ["en"]}}}))
     out = tmp_path / "results"
-    main(["--tokenizers", str(tmp_path / "t.json"), "--languages", str(tmp_path / "l.json"), "--output", str(out), "--grouped", "--latex", "fertility", "gini", "--only", "bpe", "--save-tokenized"])
+    main(["--tokenizers", str(tmp_path / "t.json"), "--languages", str(tmp_path / "l.json"), "--output", str(out), "--grouped", "--latex", "fertility", "gini", "--save-tokenized"])
     assert "Fertility" in capsys.readouterr().out and (out / "table.tex").exists() and (out / "grouped_gini").exists()
     main(["--tokenized", str(out / "tokenized"), "--output", str(tmp_path / "again")])
-    first, again = (json.loads((x / "analysis_results.json").read_text())["bpe"] for x in (out, tmp_path / "again"))
-    assert first["fertility"] == again["fertility"] and first["gini"] == again["gini"]
+    for name in ("bpe", "ws"):
+        first, again = (json.loads((x / "analysis_results.json").read_text())[name] for x in (out, tmp_path / "again"))
+        assert first["fertility"] == again["fertility"] and first["gini"] == again["gini"]
+    names = {r["token"] for r in spark.read.parquet(str(out / "tokenized" / "vocabulary")).where("tokenizer = 'ws'").collect()}
+    assert names == {"hello", "there", "world", "one", "two", "bonjour", "le", "monde"}  # real tokens
+    main(["--samples", str(tmp_path / "samples")])
+    (tmp_path / "lex.tsv").write_text("hello\thel-lo\nworld\tworld\n")
+    (tmp_path / "x.json").write_text(json.dumps([["l", "hyphenated", str(tmp_path / "lex.tsv")]]))
+    main(["--tokenizers", str(tmp_path / "t.json"), "--languages", str(tmp_path / "l.json"), "--output", str(tmp_path / "third"), "--only", "ws", "--lexicons", str(tmp_path / "x.json"), *(a for o, f in (("--normalization", "normalization"), ("--morph-score", "morph_score"), ("--latex-config", "tables")) for a in (o, str(tmp_path / "samples" / f"{f}.json")))])
+    assert "MorphScore" in capsys.readouterr().out and "Cost and fairness" in (tmp_path / "third" / "short.tex").read_text()
     with pytest.raises(SystemExit):
         main(["--tokenizers", "x"])
 

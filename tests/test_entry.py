@@ -1,3 +1,6 @@
+import importlib.util
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -43,8 +46,24 @@ def test_rows_only_queries(spark):
 
 
 def test_works_without_the_llm_folders(tmp_path):
-    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(n.startswith('op1') for n in e.queries()) and 'fertility_words' in e.queries()"
-    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+    """In a copy without the folders (or with nothing but compiled files in them) all other queries are there."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') or n == 'pipeline' for n in q) and len(q) > 80; import glyphmeter; assert glyphmeter.__file__.startswith({!r})".format(str(copy))
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    assert run(code).returncode == 0
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    assert found.returncode == 0, found.stdout
+    (copy / "glyphmeter" / "llm" / "__pycache__").mkdir(parents=True)
+    shutil.copy(ROOT / "corpus_pipeline.py", copy) if (ROOT / "corpus_pipeline.py").exists() else None
+    assert run(code).returncode == 0
+
+
+def test_a_missing_library_is_an_error(tmp_path):
+    if importlib.util.find_spec("glyphmeter.llm") is None:
+        pytest.skip("nothing optional here")
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__"
+    assert b"zstandard" in subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).stderr
 
 
 def test_nothing_else_imports_llm():

@@ -39,6 +39,35 @@ def test_fertility(texts):
     assert ms.fertility(tk.text_stats_of(texts).where("doc_id = 1")).first()["std_err"] is None
 
 
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [0.0, 0.0, 5.0, -2.5], [-1.0, -1.5, -0.25, 0.0], [0.1 * k for k in range(101)], [7.0] * 9, [1.0, 1e9, 1e-9, 2.0]])
+def test_summaries_against_statistics(spark, values):
+    import statistics as st
+
+    rows = spark.createDataFrame([("a", v) for v in values] + [("a", None), ("b", 4.0), (None, 2.0)], "k string, v double")
+    got = {r["k"]: r for r in ms.summarise(rows, F.col("v"), ["k"]).collect()}
+    r = got["a"]
+    assert r["median"] == st.median(values) and r["mean"] == pytest.approx(st.fmean(values), abs=1e-9) and r["count"] == len(values)
+    assert r["std"] == pytest.approx(st.pstdev(values), abs=1e-7) and (r["min"], r["max"]) == (min(values), max(values))
+    assert r["std_err"] is None if len(values) == 1 else r["std_err"] == pytest.approx(st.stdev(values) / len(values) ** 0.5, abs=1e-7)
+    assert got["b"]["median"] == 4.0 and got[None]["median"] == 2.0 and set(got) == {"a", "b", None}
+
+
+def test_absent_groups_are_zeros(spark):
+    values = spark.createDataFrame([("t", "en", 1.5, 2)], "tokenizer string, lang string, mean double, count bigint")
+    keys = spark.createDataFrame([("t", "en"), ("t", "fr")], "tokenizer string, lang string")
+    assert {r["lang"]: (r["mean"], r["count"]) for r in ms.with_absent(values, keys).collect()} == {"en": (1.5, 2), "fr": (0.0, 0)}
+
+
+@pytest.mark.parametrize("most", [tk.HELD_BYTES, 0])
+def test_ids_by_lookup_and_by_join(spark, most):
+    tok = spark.createDataFrame([("a", 1, ["x", "y", "x"], "l"), ("b", 1, ["y"], "m"), ("c", 2, ["x"], "n"), ("a", 3, [], "o")], "tokenizer string, doc_id bigint, tokens array<string>, lang string")
+    vocab = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("b", "x", 0)], "tokenizer string, token string, token_id bigint")
+    got = {(r["tokenizer"], r["doc_id"]): (r["lang"], r["token_ids"]) for r in tk.encode_ids(tok, vocab, most, keep=("lang",)).collect()}
+    assert got == {("a", 1): ("l", [0, 1, 0]), ("b", 1): ("m", [-1]), ("c", 2): ("n", [-1])}
+    back = tk.decode_ids(tk.encode_ids(tok, vocab, most), vocab, most)
+    assert {(r["tokenizer"], r["doc_id"]): r["tokens"] for r in back.collect()} == {("a", 1): ["x", "y", "x"], ("b", 1): ["<UNK_-1>"], ("c", 2): ["<UNK_-1>"]}
+
+
 def test_entropy_of_uniform_and_single(spark):
     counts = spark.createDataFrame([("u", str(i), 5) for i in range(4)] + [("s", "x", 9)], "tokenizer string, token string, n bigint")
     for r in ms.renyi(counts).collect():
@@ -125,7 +154,7 @@ def test_validation(spark):
 
 
 def test_reports(spark, texts):
-    values = rp.all_values(tk.text_stats_of(texts), tk.token_counts(tk.tokenize(texts)), spark.createDataFrame(list(tk.VOCABULARY.items()), "tokenizer string, vocab_size bigint"))
+    values = rp.all_values(tk.text_stats_of(texts), tk.token_counts(tk.tokenize(texts)))
     lines = rp.latex(values, ["fertility", "nothing", "gini"], caption="C", label="l", errors=True)
     assert lines[0].startswith(r"\begin{table}") and any(r"\textbf" in x for x in lines) and not any("nothing" in x for x in lines)
     assert rp.wrap_title("Vocabulary Utilization (%)") == r"\makecell{Vocabulary \\ Utilization (%)}"

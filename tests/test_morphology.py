@@ -36,9 +36,27 @@ def test_alignment(spark):
     assert aligned(spark, "the cat sat", ["the", "Ġcat", "Ġs", "at"]) == [("the", ["the"]), ("cat", ["Ġcat"]), ("sat", ["Ġs", "at"])]
     assert aligned(spark, "Hello, world!", ["Hello", ",", "Ġworld", "Ġ!"]) == [("hello", ["Hello", ","]), ("world", ["Ġworld", "Ġ!"])]
     assert aligned(spark, "one", ["one", "Ġextra"]) == [("one", ["one", "Ġextra"])]
+    assert aligned(spark, "one two", ["one"]) == [("one", ["one"])] and aligned(spark, "", ["x"]) == aligned(spark, "x", []) == []
+    assert aligned(spark, "a b", ["<|s|>", "a", "Ġ", ".", "Ġb", "[", "##!", "x@@", "</w>"]) == [("a", ["<|s|>", "a", "Ġ", "."]), ("b", ["Ġb", "[", "##!", "x@@", "</w>"])]
 
 
-@pytest.mark.parametrize("base,derived,expect", [("teach", "teacher", ["teach", "er"]), ("happy", "unhappy", ["un", "happy"]), ("teacher", "teach", ["teach"]), ("happy", "happiness", ["happ", "iness"]), ("go", "went", ["went"])])
+def test_options_of_morpheme_scores(spark):
+    rows = [("t", "en", "cats", ["cat", "s"], ["cat", "s"], 3, "x"), ("t", "en", "dog", ["dog"], ["dog"], 1, "y"), ("t", "fra_Latn", "ab", ["a", "b"], ["ab"], 1, "x"), ("u", "en", "cats", ["c", "ats"], ["cat", "s"], 1, "x")]
+    scored = mo.full_scores(spark.createDataFrame(rows, "tokenizer string, lang string, word string, tokens array<string>, morphemes array<string>, n int, part string"))
+    by = lambda df, *k: {tuple(r[c] for c in k): r for r in df.collect()}
+    got = by(mo.morph_score(scored, times="n"), "tokenizer", "lang")
+    assert got["t", "en"]["morphscore_recall"] == pytest.approx(3 / 4) and got["t", "en"]["num_samples"] == 2
+    assert by(mo.morph_score(scored, weighted=False), "tokenizer", "lang")["t", "en"]["morphscore_recall"] == pytest.approx(1 / 2)
+    assert set(by(mo.morph_score(scored, split="part"), "tokenizer", "lang", "part")) == {("t", "en", "x"), ("t", "en", "y"), ("t", "fra_Latn", "x"), ("u", "en", "x")}
+    assert set(by(mo.morph_score(scored, languages=["fr"]), "lang")) == {("fra_Latn",)}
+    summary = by(mo.morph_score_summary(mo.morph_score(scored, times="n")), "tokenizer")
+    assert summary["t",]["languages_evaluated"] == 2 and summary["t",]["avg_morphscore_recall"] == pytest.approx(3 / 8)
+    assert summary[None,]["avg_morphscore_recall"] == pytest.approx(3 / 16) and summary[None,]["total_samples"] == 4
+    codes = spark.createDataFrame([("en",), ("xx",)], "lang string").select(mo.to_long_codes(F.col("lang")).alias("c")).collect()
+    assert [r["c"] for r in codes] == ["eng_Latn", "xx"]
+
+
+@pytest.mark.parametrize("base,derived,expect", [("teach", "teacher", ["teach", "er"]), ("happy", "unhappy", ["un", "happy"]), ("teacher", "teach", ["teach"]), ("happy", "happiness", ["happ", "iness"]), ("go", "went", ["went"]), ("walk", "wabclk", ["bc", "walk"])])
 def test_inferred_morphemes(spark, base, derived, expect):
     df = spark.createDataFrame([(base, derived)], "b string, d string")
     assert df.select(mo.infer_morphemes(F.col("b"), F.col("d"), F.lit(None)).alias("m")).first()["m"] == expect

@@ -26,6 +26,10 @@ def test_texts(spark, tmp_path):
     assert texts.read_path(spark, str(tmp_path / "missing")).count() == 0
     both = texts.read_languages(spark, {"en": str(tmp_path / "a.json"), "fr": str(tmp_path / "missing")})
     assert [(r["lang"], r["text"]) for r in both.collect()] == [("en", "one")]
+    odd = {'{"text": "hello world one",\n "id": 1}': ["hello world one"], '{\n "meta":\n {"a": 1},\n "text": "x"\n}': ["x"], '\n\n[\n{"text": "p"},\n{"text": "q"}\n]': ["p", "q"], '{"id": 1\n{"text": "after a bad line"}': ["after a bad line"], "": [], "nothing": []}
+    for k, (content, want) in enumerate(odd.items()):
+        (tmp_path / f"odd{k}.data").write_text(content)
+        assert values(texts.read_json(spark, str(tmp_path / f"odd{k}.data"))) == want
     with pytest.raises(ValueError):
         texts.text_column(spark.createDataFrame([(1,)], "n int"))
 
@@ -69,6 +73,9 @@ def test_tokenizer_files(spark):
     texts_ = spark.createDataFrame([("en", 1, "hello world"), ("en", 2, " "), ("en", 3, None)], "lang string, doc_id bigint, text string")
     assert tk.encode_with_file(texts_, path, "b").first()["tokens"] == [31373, 995]
     assert tk.encode_with_file(texts_, path, "b", max_length=1).first()["tokens"] == [31373]
+    padded = tk.encode_with_file(texts_, path, "b", pad_to=4, pad_id=7, details=True).first()
+    assert padded["tokens"] == [31373, 995, 7, 7] and padded["attention_mask"] == [1, 1, 0, 0]
+    assert [tuple(x) for x in padded["offsets"]] == [(0, 5), (5, 11), (0, 0), (0, 0)]
     with pytest.raises(ValueError):
         tkz.load("x", "/nowhere")
 
