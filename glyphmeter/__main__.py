@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--normalization", help="JSON file: what a unit of text is, instead of --unit")
     p.add_argument("--morph-score", help="JSON file of options of the morpheme scores")
     p.add_argument("--samples", metavar="FOLDER", help="write sample files and stop")
+    p.add_argument("--no-views", action="store_true", help="without the tables that plots draw")
     p.add_argument("--no-validation", action="store_true")
     p.add_argument("--save-tokenized", action="store_true")
     p.add_argument("--output", default="results")
@@ -75,7 +76,7 @@ def main(argv: list[str] | None = None) -> None:
         inputs = [i for i in inputs if i.name in a.only]
     lexicon = lexicons.read_all(spark, [tuple(x) for x in config(a.lexicons)]) if a.lexicons else None
     analysis = Analysis(inputs, groups, lexicon, unit=unit, validate=not a.no_validation, morph_score=config(a.morph_score))
-    analysis.save(a.output)
+    analysis.save(a.output, views=not a.no_views)
     if a.grouped:
         for name, df in analysis.grouped().items():
             df.write.mode("overwrite").parquet(f"{a.output}/grouped_{name}")

@@ -234,7 +234,7 @@ def latex(values: DataFrame, metrics: Sequence[str], caption: str | None = None,
 
 def to_json(values: DataFrame) -> DataFrame:
     """tokenizer, json: its measures as one object."""
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round("value", 6).alias("value")))))
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.col("value").cast("decimal(38,6)").alias("value")))))
     return values.groupBy("tokenizer").agg(F.to_json(pairs).alias("json"))
 
 

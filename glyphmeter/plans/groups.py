@@ -132,14 +132,24 @@ def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(spark, sf_dir).agg(F.countDistinct("tokenizer").alias("tokenizers"), F.countDistinct("lang").alias("languages"), F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"))
 
 
-@query(None)
+#: Of each measure of the basic table: its title, factor, digits, and the sign that makes less better.
+_SHOWN = [("fertility", "Fertility", 1, 3, 1), ("vocabulary_utilization", r"\makecell{Vocabulary \\ Utilization (%)}", 100, 1, -1), ("type_token_ratio", r"\makecell{Type-Token \\ Ratio}", 1, 4, -1), ("gini", "Fairness Gini", 1, 3, 1)]
+_CELLS = " || ' & ' || ".join(f"(SELECT CASE WHEN value = (SELECT {'min' if sign > 0 else 'max'}(value) FROM vals WHERE metric = '{m}') THEN '\\textbf{{' || printf('%.{digits}f', value * {factor}) || '}}' ELSE printf('%.{digits}f', value * {factor}) END FROM vals WHERE metric = '{m}' AND vals.tokenizer = t.tokenizer)" for m, _, factor, digits, sign in _SHOWN)
+_HEAD = [r"\begin{table}[htbp]", r"\centering", r"\begin{tabular}{lcccc}", r"\toprule", " & ".join(["Tokenizer", *(x[1] for x in _SHOWN)]) + r" \\", r"\midrule"]
+_TAIL = [r"\bottomrule", r"\end{tabular}", r"\caption{Basic measures}", r"\label{tab:basic}", r"\end{table}"]
+
+
+@query(
+    f"""{_VALUES} SELECT line::INT AS line, text FROM (SELECT unnest(range(0, {len(_HEAD)})) AS line, unnest([{", ".join(f"'{x}'" for x in _HEAD)}]) AS text
+ UNION ALL SELECT {len(_HEAD)} + row_number() OVER (ORDER BY tokenizer) - 1, tokenizer || ' & ' || {_CELLS} || ' \\\\' FROM (SELECT DISTINCT tokenizer FROM vals) t
+ UNION ALL SELECT {len(_HEAD)} + (SELECT count(DISTINCT tokenizer) FROM vals) + unnest(range(0, {len(_TAIL)})), unnest([{", ".join(f"'{x}'" for x in _TAIL)}]))"""
+)
 def latex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the LaTeX table of basic measures."""
-    lines = rp.latex(_values(spark, sf_dir), ["fertility", "vocabulary_utilization", "type_token_ratio", "gini"], caption="Basic measures", label="tab:basic")
-    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+    return rp.latex_rows(_values(spark, sf_dir), "basic", caption="Basic measures", label="tab:basic")
 
 
-@query(None)
+@query(f"""{_VALUES} SELECT tokenizer, '{{' || string_agg('"' || metric || '":' || CAST(round(value, 6) AS DECIMAL(38, 6))::VARCHAR, ',' ORDER BY metric) || '}}' AS json FROM vals GROUP BY tokenizer""")
 def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON object of all measures per tokenizer."""
     return rp.to_json(_values(spark, sf_dir))

@@ -37,4 +37,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from glyphmeter.plans import fairness, groups, measures, morphology, sources, texts, validation  # noqa: E402, F401
+from glyphmeter.plans import fairness, groups, measures, morphology, sources, texts, validation, views  # noqa: E402, F401

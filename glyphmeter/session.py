@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -30,7 +32,10 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
-    """A session on this machine alone, with the settings that the tests and the bench use; its shared folder is a temporary one."""
+    """A session on this machine alone, with the settings that the tests and the bench use; its shared folder is a temporary one.
+
+    A shared folder that the caller names is left alone when Python ends; the temporary one goes.
+    """
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
@@ -39,6 +44,8 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.checkpoint.dir": "file://" + os.path.join(tempfile.gettempdir(), f"glyphmeter-{os.getpid()}"),
     } | conf
+    if "spark.checkpoint.dir" not in conf:
+        atexit.register(shutil.rmtree, settings["spark.checkpoint.dir"].removeprefix("file://"), True)
     spark = SparkSession.builder.master(f"local[{cores}]").appName("glyphmeter").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)

@@ -32,7 +32,7 @@ def test_whole_analysis(spark, tmp_path):
     a = an.Analysis(inputs(spark), groups, lexicon)
     assert {r["tokenizer"]: r["vocab_size"] for r in a.sizes.collect()} == {"ws": 10, "bpe": 50257, "done": 6}
     results = a.run()
-    assert all(df.count() > 0 for name, df in results.items()), results.keys()
+    assert not [name for name, df in results.items() if df.isEmpty()]
     assert len(results) == 26
     bpe = {r["metric"]: r["mean"] for r in results["morphology"].where("tokenizer = 'bpe' and lang = 'en'").collect()}
     assert bpe["f1"] > 0  # ids are spelled before they are compared: "unhappy" begins with "un"
@@ -65,19 +65,18 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "t.json").write_text(json.dumps({"ws": "whitespace", "bpe": {"path": "/opt/tokenizers/byte_bpe_50k.json"}}))
     (tmp_path / "l.json").write_text(json.dumps({"languages": {x: {"name": x, "data_path": str(tmp_path / f"{x}.json")} for x in ("en", "fr")}, "analysis_groups": {"k": {"g": ["en"]}}}))
     out = tmp_path / "results"
-    main(["--tokenizers", str(tmp_path / "t.json"), "--languages", str(tmp_path / "l.json"), "--output", str(out), "--grouped", "--latex", "fertility", "gini", "--save-tokenized"])
-    assert "Fertility" in capsys.readouterr().out and (out / "table.tex").exists() and (out / "grouped_gini").exists()
-    main(["--tokenized", str(out / "tokenized"), "--output", str(tmp_path / "again")])
-    for name in ("bpe", "ws"):
-        first, again = (json.loads((x / "analysis_results.json").read_text())[name] for x in (out, tmp_path / "again"))
-        assert first["fertility"] == again["fertility"] and first["gini"] == again["gini"]
-    names = {r["token"] for r in spark.read.parquet(str(out / "tokenized" / "vocabulary")).where("tokenizer = 'ws'").collect()}
-    assert names == {"hello", "there", "world", "one", "two", "bonjour", "le", "monde"}  # real tokens
     main(["--samples", str(tmp_path / "samples")])
     (tmp_path / "lex.tsv").write_text("hello\thel-lo\nworld\tworld\n")
     (tmp_path / "x.json").write_text(json.dumps([["l", "hyphenated", str(tmp_path / "lex.tsv")]]))
-    main(["--tokenizers", str(tmp_path / "t.json"), "--languages", str(tmp_path / "l.json"), "--output", str(tmp_path / "third"), "--only", "ws", "--lexicons", str(tmp_path / "x.json"), *(a for o, f in (("--normalization", "normalization"), ("--morph-score", "morph_score"), ("--latex-config", "tables")) for a in (o, str(tmp_path / "samples" / f"{f}.json")))])
-    assert "MorphScore" in capsys.readouterr().out and "Cost and fairness" in (tmp_path / "third" / "short.tex").read_text()
+    configs = [a for o, f in (("--normalization", "normalization"), ("--morph-score", "morph_score"), ("--latex-config", "tables")) for a in (o, str(tmp_path / "samples" / f"{f}.json"))]
+    main(["--tokenizers", str(tmp_path / "t.json"), "--languages", str(tmp_path / "l.json"), "--output", str(out), "--grouped", "--latex", "fertility", "gini", "--save-tokenized", "--no-views", "--lexicons", str(tmp_path / "x.json"), *configs])
+    said = capsys.readouterr().out
+    assert "Fertility" in said and "MorphScore" in said and (out / "table.tex").exists() and (out / "grouped_gini").exists() and "Cost and fairness" in (out / "short.tex").read_text()
+    names = {r["token"] for r in spark.read.parquet(str(out / "tokenized" / "vocabulary")).where("tokenizer = 'ws'").collect()}
+    assert names == {"hello", "there", "world", "one", "two", "bonjour", "le", "monde"}  # real tokens
+    main(["--tokenized", str(out / "tokenized"), "--output", str(tmp_path / "again"), "--no-views", "--only", "ws", "--unit", "words"])
+    first, again = (json.loads((x / "analysis_results.json").read_text())["ws"] for x in (out, tmp_path / "again"))
+    assert first["fertility"] == again["fertility"] and first["gini"] == again["gini"]
     with pytest.raises(SystemExit):
         main(["--tokenizers", "x"])
 
@@ -92,3 +91,22 @@ def test_byte_level_directory(tmp_path):
     assert tok.encode("ab a", add_special_tokens=False).tokens == ["Ġ", "ab", "Ġ", "a"]
     assert tok.encode("ab").tokens == ["<s>", "Ġ", "ab", "</s>"]
     assert [s.name for s in tkz.load_all({"x": str(tmp_path)})] == ["x"]
+
+
+def test_ids_spelled_by_a_file(spark, tmp_path):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from glyphmeter.plans.registry import QUERIES
+
+    rows = [(1, "Hello wörld"), (2, "x" * 3000 + "é漢"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    want = {}
+    for i, text in rows[:2]:
+        ids = [(ord(c) * 31 + k + 1) % 50300 for k, c in enumerate(text)]
+        tokens = [tok.id_to_token(x) or f"<UNK_{x}>" for x in ids]
+        want[i] = (hashlib.md5("␟".join(tokens).encode()).hexdigest(), sum(tok.id_to_token(x) is None for x in ids))
+    assert {r["doc_id"]: (r["digest"], r["unknown"]) for r in QUERIES["file_vocabulary"](spark, str(tmp_path)).collect()} == want
+    assert any(n for _, n in want.values())
