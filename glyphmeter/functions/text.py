@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: The body of a character class, understood alike by Java and RE2 regular expressions.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WS_RUN = f"[{WS}]+"
-WORD = f"[^{WS}]+"
+#: The same for Java alone, which matches it four times as fast: Unicode's white space and four separators.
+SPACE = r"\s\x1c-\x1f"
+WS_RUN = f"(?U)[{SPACE}]+"
+WORD = f"(?U)[^{SPACE}]+"
 #: Runs of word characters, or of what is neither word nor white space.
 PIECE = r"(?U)\w+|[^\w\s]+"
 PUNCTUATION = '.,!?;:"()[]{}'
@@ -23,12 +25,12 @@ MIN_UNIT = 5
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def not_blank(text: Column) -> Column:
     """Whether there is any character but white space; the search ends at the first."""
-    return text.isNotNull() & text.rlike(f"[^{WS}]")
+    return text.isNotNull() & text.rlike(f"(?U)[^{SPACE}]")
 
 
 def split_words(text: Column) -> Column:
@@ -177,7 +179,7 @@ def lines(text: Column, least: int = MIN_UNIT) -> Column:
 
 
 def sentences(text: Column, least: int = MIN_UNIT) -> Column:
-    return _long_enough(F.split(text, rf"[.!?]+[{WS}]+", -1), least)
+    return _long_enough(F.split(text, rf"(?U)[.!?]+[{SPACE}]+", -1), least)
 
 
 def chunks(text: Column, size: Column | int = 500, most: int = 100) -> Column:

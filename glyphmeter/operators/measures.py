@@ -21,16 +21,17 @@ ORDERS = (1.0, 2.0, 2.5, 3.0)
 BUCKETS = 4096
 
 
-def summarise(rows: DataFrame, value: Column, by: Sequence[str], *extra: str) -> DataFrame:
+def summarise(rows: DataFrame, value: Column, by: Sequence[str], *extra: str, known: bool = False) -> DataFrame:
     """mean, median, population std, standard error (null for one value), min, max, count and sum; and the sums of `extra`.
 
-    Rows with a null value don't count.  The median is exact, though no task sees all values of a group: values are
+    Rows with a null value don't count; known: there are none, and nothing is tested, so that an expensive value isn't
+    computed once more for the test.  The median is exact, though no task sees all values of a group: values are
     counted, equal ones as one before anything moves; the counts go into buckets of nearly equal values; running sums
     over the buckets tell which ones hold the middle, and only the values of those are sorted.  All figures come from
     the counts, so the rows are read once.
     """
     v = F.col("value")
-    counts = rows.select(*by, value.cast("double").alias("value"), *extra).where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in extra))
+    counts = rows.select(*by, value.cast("double").alias("value"), *extra).where("true" if known else "value is not null").groupBy(*by, "value").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in extra))
     bucket = F.when(v > 0, F.floor(F.log2(v) * BUCKETS)).when(v < 0, -F.floor(F.log2(-v) * BUCKETS) - F.lit(1 << 40)).otherwise(F.lit(-(1 << 20) * BUCKETS)).alias("bucket")
     placed = counts.select(*by, bucket, "value", "n", *extra)
     sums = [F.sum("n").alias("n"), F.sum(v * F.col("n")).alias("s"), F.min("value").alias("low"), F.max("value").alias("high")]
@@ -72,23 +73,24 @@ UNITS = {"words": "n_words", "characters": "n_chars", "bytes": "n_bytes", "lines
 def fertility(stats: DataFrame, unit: str = "words", by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Tokens per unit of each text (texts without units are left out), summarised."""
     n = F.col(UNITS[unit])
-    return summarise(stats.where(n > 0), F.col("n_tokens") / n, by)
+    has_units = F.col("not_blank") if unit == "words" else n > 0  # the same, but the words are split once
+    return summarise(stats.where(has_units), F.col("n_tokens") / n, by, known=True)
 
 
 def token_length(stats: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Characters per token of each text, summarised."""
-    return summarise(stats.where("n_tokens > 0"), F.col("n_chars") / F.col("n_tokens"), by)
+    return summarise(stats.where("n_tokens > 0"), F.col("n_chars") / F.col("n_tokens"), by, known=True)
 
 
 def tokens_per_line(stats: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Tokens per line of each text, summarised, and all lines."""
-    return summarise(stats.where("n_lines > 0"), F.col("n_tokens") / F.col("n_lines"), by, "n_lines").withColumnRenamed("n_lines", "total_lines")
+    return summarise(stats.where("n_lines > 0"), F.col("n_tokens") / F.col("n_lines"), by, "n_lines", known=True).withColumnRenamed("n_lines", "total_lines")
 
 
 def compression(stats: DataFrame, unit: str | None = None, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Units per token of each text that isn't blank, summarised; without a unit a text counts as one."""
     n = F.lit(1) if unit is None else F.col(UNITS[unit])
-    return summarise(stats.where("not_blank and n_tokens > 0"), n / F.col("n_tokens"), by)
+    return summarise(stats.where("not_blank and n_tokens > 0"), n / F.col("n_tokens"), by, known=True)
 
 
 def with_absent(values: DataFrame, keys: DataFrame) -> DataFrame:
@@ -110,18 +112,24 @@ def type_token_ratio(counts: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFr
     return n.select("*", safe_divide(F.col("types"), F.col("tokens")).alias("ttr"))
 
 
-def renyi(counts: DataFrame, by: Sequence[str] = TOKENIZER, orders: Sequence[float] = ORDERS) -> DataFrame:
-    """Entropy in bits of each order of the token distribution; order 1 is Shannon's.
+def entropies(orders: Sequence[float]) -> list[Column]:
+    """Aggregates of the counts n: the entropy in bits of each order; order 1 is Shannon's.
 
-    One aggregate: with N the sum of the counts n, H_1 = log2 N - sum(n log2 n) / N and, of any other order a,
-    H_a = (log2 sum(n**a) - a log2 N) / (1 - a).  counts has one row per token and `by`.
+    With N the sum of the counts n, H_1 = log2 N - sum(n log2 n) / N and, of any other order a,
+    H_a = (log2 sum(n**a) - a log2 N) / (1 - a).
     """
     n = F.col("n").cast("double")
     total = F.sum(n)
     values = []
     for a in orders:
         value = F.log2(total) - F.sum(n * F.log2(n)) / total if a == 1.0 else (F.log2(F.sum(F.pow(n, F.lit(float(a))))) - F.lit(float(a)) * F.log2(total)) / F.lit(1.0 - a)
-        values.append(F.struct(F.lit(float(a)).alias("alpha"), value.alias("entropy")))
+        values.append(value)
+    return values
+
+
+def renyi(counts: DataFrame, by: Sequence[str] = TOKENIZER, orders: Sequence[float] = ORDERS) -> DataFrame:
+    """Entropy of each order of the token distribution, in one aggregate.  counts has one row per token and `by`."""
+    values = [F.struct(F.lit(float(a)).alias("alpha"), x.alias("entropy")) for a, x in zip(orders, entropies(orders))]
     return counts.groupBy(*by).agg(F.array(*values).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.alpha", "x.entropy")
 
 

@@ -136,13 +136,16 @@ def align_words(tokenized: DataFrame) -> DataFrame:
     words without tokens, give no rows.
     """
     key = ["tokenizer", "lang", "doc_id"]
-    source = tokenized.select(*key, F.transform(split_words(F.lower("text")), strip_punctuation).alias("words"), "tokens").where("size(words) > 0 and size(tokens) > 0")
+    source = tokenized.select(*key, F.transform(split_words(F.lower("text")), strip_punctuation).alias("words"), "tokens")
     kinds = [source.schema[c] for c in key]
     schema = StructType([*kinds, StructField("word_index", IntegerType()), StructField("word", StringType()), StructField("tokens", ArrayType(StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _fold(batch, key)
+            for column in ("words", "tokens"):
+                batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column(column)), 0), 0))
+            if batch.num_rows:
+                yield _fold(batch, key)
 
     return source.mapInArrow(run, schema)
 

@@ -46,7 +46,8 @@ STATS = ("n_tokens", "n_chars", "n_bytes", "n_words", "n_lines", "not_blank")
 def tokenize(texts: DataFrame, names: tuple[str, ...] = STANDARD, keep: tuple[str, ...] = ("lang", "doc_id", "text")) -> DataFrame:
     """Every tokenizer applied to every text that isn't blank."""
     text = F.col("text")
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("tokenizer"), TOKENIZERS[n](text).alias("tokens")) for n in names))).alias("x")
+    # (outer: else Spark tests that the array isn't empty, and tokenizes everything once more for that)
+    each = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("tokenizer"), TOKENIZERS[n](text).alias("tokens")) for n in names))).alias("x")
     return texts.where(t.not_blank(text)).select(*keep, each).select("x.tokenizer", *keep, "x.tokens")
 
 
@@ -72,7 +73,7 @@ def text_stats_of(texts: DataFrame, names: tuple[str, ...] = STANDARD, extra: tu
     count = {n: COUNTERS[n](text) if n in COUNTERS else F.size(TOKENIZERS[n](text)) for n in names}
     sizes = F.array(*(F.struct(F.lit(n).alias("tokenizer"), count[n].cast("bigint").alias("n_tokens")) for n in names))
     measured = texts.where(t.not_blank(text)).select("lang", "doc_id", *extra, *stats_columns(text, F.array())[1:], sizes.alias("sizes"))
-    return measured.select("*", F.explode("sizes").alias("x")).select("x.tokenizer", "lang", "doc_id", *extra, "x.n_tokens", *STATS[1:])
+    return measured.select("*", F.explode_outer("sizes").alias("x")).select("x.tokenizer", "lang", "doc_id", *extra, "x.n_tokens", *STATS[1:])
 
 
 def token_counts(tokenized: DataFrame, by: tuple[str, ...] = ("tokenizer", "lang")) -> DataFrame:
@@ -125,6 +126,7 @@ def _mapped(rows: DataFrame, column: str, change: Callable[[str, pa.Array], pa.A
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column(column)), 0), 0))
             for name in batch.column("tokenizer").unique().to_pylist():
                 part = batch.filter(pc.equal(batch.column("tokenizer"), pa.scalar(name)))
                 lists = part.column(column)
@@ -132,7 +134,7 @@ def _mapped(rows: DataFrame, column: str, change: Callable[[str, pa.Array], pa.A
                 at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.ListArray.from_arrays(at, change(name, lists.flatten()))], [*own, out])
 
-    return rows.select(*own, column).where(F.size(column) > 0).mapInArrow(run, schema)
+    return rows.select(*own, column).mapInArrow(run, schema)
 
 
 def encode_ids(tokenized: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = ()) -> DataFrame:

@@ -33,9 +33,8 @@ def grouped_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grouped_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shannon and order-2 entropy of each group's token distribution."""
     merged = _grouped(counts(spark, sf_dir)).groupBy(*GROUP, "token").agg(F.sum("n").alias("n"))
-    found = ms.renyi(merged, GROUP, (1.0, 2.0)).groupBy(*GROUP).pivot("alpha", [1.0, 2.0]).agg(F.first("entropy"))
-    types = merged.groupBy(*GROUP).agg(F.count("*").alias("types"))
-    return rounded(found.join(types, list(GROUP)).select(*GROUP, F.col("`1.0`").alias("entropy"), F.col("`2.0`").alias("collision_entropy"), "types"))
+    first, second = ms.entropies((1.0, 2.0))
+    return rounded(merged.groupBy(*GROUP).agg(first.alias("entropy"), second.alias("collision_entropy"), F.count("*").alias("types")))
 
 
 @query(
