@@ -97,7 +97,7 @@ def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_values(spark, sf_dir).select("tokenizer", "metric", "value"))
 
 
-@query(f"{_VALUES} SELECT vals.metric AS metric, CASE WHEN any_value(lower_is_better) THEN arg_min(tokenizer, value) ELSE arg_max(tokenizer, value) END AS best FROM vals JOIN {_CATALOG} ON k.metric = vals.metric GROUP BY vals.metric")
+@query(f"{_VALUES} SELECT vals.metric AS metric, tokenizer AS best FROM vals JOIN {_CATALOG} ON k.metric = vals.metric QUALIFY row_number() OVER (PARTITION BY vals.metric ORDER BY CASE WHEN lower_is_better THEN value ELSE -value END, tokenizer) = 1")
 def best_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.best(_values(spark, sf_dir))
 
