@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COVERAGE_WARNING = 0.5
+#: Parts by hash in which the first messages are sought.
+PARTS = 1024
 
 
 def summary(encoded: DataFrame) -> DataFrame:
@@ -29,8 +31,11 @@ def _message(test: Column, severity: str, text: Column) -> Column:
 
 
 def entries(encoded: DataFrame, vocab_sizes: DataFrame) -> DataFrame:
-    """tokenizer, doc_id, severity, message for each thing that is wrong with an entry; offenders are shown five at most."""
-    ids, rows = F.col("token_ids"), encoded.join(vocab_sizes, "tokenizer", "left")
+    """tokenizer, doc_id, severity, message for each thing that is wrong with an entry; offenders are shown five at most.
+
+    vocab_sizes has a row per tokenizer and goes to every worker: a join by so few names would bring all texts of one to one task.
+    """
+    ids, rows = F.col("token_ids"), encoded.join(F.broadcast(vocab_sizes), "tokenizer", "left")
     show = lambda x: F.array_join(F.slice(x, 1, 5), ",")
     negative, over = F.filter(ids, lambda x: x < 0), F.filter(ids, lambda x: x >= F.col("vocab_size"))
     tests = [
@@ -41,7 +46,8 @@ def entries(encoded: DataFrame, vocab_sizes: DataFrame) -> DataFrame:
         _message(F.size(over) > 0, "error", F.concat(F.lit("ids beyond the vocabulary: "), show(over))),
         _message(F.size(ids) > F.length("text"), "warning", F.lit("more tokens than characters")),
     ]
-    found = rows.select("tokenizer", "doc_id", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x"))
+    # (outer: else Spark tests that the array isn't empty, and looks through the ids once more for that)
+    found = rows.select("tokenizer", "doc_id", F.explode_outer(F.array(*tests)).alias("x")).where("x is not null")
     return found.select("tokenizer", "doc_id", "x.severity", "x.message")
 
 
@@ -71,12 +77,16 @@ def merge(*found: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """One row: valid (no error), how many errors and warnings, and the first five of each by their text."""
-    by = found.groupBy("severity", "message").agg(F.count("*").alias("n"))
-    first = by.withColumn("k", F.row_number().over(Window.partitionBy("severity").orderBy("message")))
+    """One row: valid (no error), how many errors and warnings, and the first five of each by their text.
+
+    The first five are taken in PARTS parts by hash, then of all parts: no task sorts all messages of a severity.
+    """
+    by = found.groupBy("severity", "message").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.hash("message"), F.lit(PARTS)))
+    ranked = by.withColumn("k", F.row_number().over(Window.partitionBy("severity", "part").orderBy("message")))
+    parts = ranked.groupBy("severity", "part").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("k") <= 5, F.col("message"))).alias("first"))
     of = lambda s, x: F.coalesce(F.sum(F.when(F.col("severity") == s, x)), F.lit(0))
-    shown = lambda s: F.array_sort(F.collect_list(F.when((F.col("severity") == s) & (F.col("k") <= 5), F.col("message"))))
-    return first.agg((of("error", F.col("n")) == 0).alias("valid"), of("error", F.col("n")).alias("errors"), of("warning", F.col("n")).alias("warnings"), shown("error").alias("first_errors"), shown("warning").alias("first_warnings"))
+    shown = lambda s: F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("severity") == s, F.col("first"))))), 1, 5)
+    return parts.agg((of("error", F.col("n")) == 0).alias("valid"), of("error", F.col("n")).alias("errors"), of("warning", F.col("n")).alias("warnings"), shown("error").alias("first_errors"), shown("warning").alias("first_warnings"))
 
 
 def require_valid(encoded: DataFrame, vocab_sizes: DataFrame) -> DataFrame:
@@ -97,7 +107,7 @@ def set_differences(have: DataFrame, want: DataFrame, column: str) -> DataFrame:
 def coverage(rows: DataFrame, languages: DataFrame) -> DataFrame:
     """tokenizer, covered, expected, ratio, warning: how many of the declared languages it has texts in."""
     expected = languages.agg(F.countDistinct("lang").alias("expected"))
-    have = rows.join(languages.select("lang").distinct(), "lang", "left_semi").groupBy("tokenizer").agg(F.countDistinct("lang").alias("covered"))
+    have = rows.join(F.broadcast(languages.select("lang").distinct()), "lang", "left_semi").groupBy("tokenizer").agg(F.countDistinct("lang").alias("covered"))
     ratio = F.col("covered") / F.col("expected")
     return have.crossJoin(expected).select("tokenizer", "covered", "expected", ratio.alias("ratio"), (ratio < COVERAGE_WARNING).alias("warning"))
 

@@ -153,6 +153,27 @@ def test_validation(spark):
     assert va.require_valid(encoded.where("doc_id > 4"), size).count() == 0
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validation_moves_no_texts(spark):
+    """A join by the tokenizer's name would bring all entries to one task."""
+    encoded = spark.createDataFrame([("t", "en", 1, "ab", [0, -1])], "tokenizer string, lang string, doc_id bigint, text string, token_ids array<int>")
+    size = spark.createDataFrame([("t", 9)], "tokenizer string, vocab_size bigint")
+    for found in (va.entries(encoded, size), va.coverage(encoded, spark.createDataFrame([("en",)], "lang string"))):
+        assert "SortMergeJoin" not in plan(found)
+    assert "Exchange hashpartitioning" not in plan(va.entries(encoded, size))
+
+
+def test_report_shows_the_first_of_many(spark):
+    found = spark.createDataFrame([("error", f"m{k:03}") for k in range(300)] * 2 + [("warning", "w")], "severity string, message string")
+    r = va.report(found).first()
+    assert (r["valid"], r["errors"], r["warnings"], r["first_errors"], r["first_warnings"]) == (False, 600, 1, [f"m{k:03}" for k in range(5)], ["w"])
+    r = va.report(found.where("false")).first()
+    assert (r["valid"], r["errors"], r["first_errors"]) == (True, 0, [])
+
+
 def test_reports(spark, texts):
     values = rp.all_values(tk.text_stats_of(texts), tk.token_counts(tk.tokenize(texts)))
     lines = rp.latex(values, ["fertility", "nothing", "gini"], caption="C", label="l", errors=True)
