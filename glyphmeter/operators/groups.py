@@ -34,13 +34,13 @@ class Languages:
 
     def named(self, rows: DataFrame) -> DataFrame:
         """rows with the languages' names, 'Unknown' for undeclared ones."""
-        return rows.join(self.languages.select("lang", "name"), "lang", "left").withColumn("name", F.coalesce("name", F.lit("Unknown")))
+        return rows.join(F.broadcast(self.languages.select("lang", "name")), "lang", "left").withColumn("name", F.coalesce("name", F.lit("Unknown")))
 
     def in_group(self, rows: DataFrame, group_type: str, column: str | None = None) -> DataFrame:
         """rows with the first group of this type that has their language (a script family, a resource level), else 'Unknown'."""
         own = self.groups.where(F.col("group_type") == group_type).groupBy("lang").agg(F.min("group_name").alias("group"))
         name = column or group_type
-        return rows.join(own, "lang", "left").withColumn(name, F.coalesce("group", F.lit("Unknown"))).drop(*({"group"} - {name}))
+        return rows.join(F.broadcast(own), "lang", "left").withColumn(name, F.coalesce("group", F.lit("Unknown"))).drop(*({"group"} - {name}))
 
     def select(self, group_type: str, group_name: str) -> DataFrame:
         return self.groups.where((F.col("group_type") == group_type) & (F.col("group_name") == group_name)).select("lang").distinct()
@@ -52,12 +52,15 @@ def group_table(spark: SparkSession, groups: Mapping[str, Mapping[str, list[str]
 
 
 def by_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows once for each group of their language: every group is then measured in one job."""
-    return rows.join(groups, "lang")
+    """rows once for each group of their language: every group is then measured in one job.
+
+    The groups go to every worker: a join by so few languages would bring all rows of one to one task.
+    """
+    return rows.join(F.broadcast(groups), "lang")
 
 
 def in_languages(rows: DataFrame, languages: DataFrame) -> DataFrame:
-    return rows.join(languages, "lang", "left_semi")
+    return rows.join(F.broadcast(languages), "lang", "left_semi")
 
 
 def group_statistics(groups: DataFrame) -> DataFrame:

@@ -81,6 +81,46 @@ def token_counts(tokenized: DataFrame, by: tuple[str, ...] = ("tokenizer", "lang
     return tokenized.select(*by, F.explode("tokens").alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
 
 
+def token_counts_of(texts: DataFrame, names: tuple[str, ...] = STANDARD, by: tuple[str, ...] = ("tokenizer", "lang")) -> DataFrame:
+    """token_counts(tokenize(texts)), with bytes counted where they are: no string is made of each.
+
+    by: tokenizer, and lang or not.
+    """
+    others = tuple(n for n in names if n != "bytes")
+    counts = token_counts(tokenize(texts, others), by) if others else None
+    if "bytes" not in names:
+        return counts
+    own = byte_counts(texts, tuple(c for c in by if c != "tokenizer")).select(*(F.lit("bytes").alias(c) if c == "tokenizer" else F.col(c) for c in by), "token", "n")
+    return own if counts is None else counts.unionByName(own)
+
+
+def byte_counts(texts: DataFrame, by: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """by, token, n: how often each byte, as two hexadecimal digits, occurs in the texts that aren't blank."""
+    text, key = F.col("text"), F.struct(*by) if by else F.lit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict = {}
+        found: list[np.ndarray] = []
+        for batch in batches:
+            keys = batch.column("k").to_pylist() if by else [None] * batch.num_rows
+            row = np.array([at.setdefault(tuple(k.values()) if k else (), len(at)) for k in keys], np.int64)
+            found += [np.zeros(256, np.int64) for _ in range(len(at) - len(found))]
+            order = np.argsort(row, kind="stable")
+            texts = batch.column("b").take(pa.array(order))
+            start = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            cuts = np.flatnonzero(np.diff(row[order], prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                found[row[order[a]]] += np.bincount(data[start[a] : start[b]], minlength=256)
+        for k, own in zip(at, found):
+            has = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(has), pa.string()) for x in k), pa.array([f"{x:02X}" for x in has], pa.string()), pa.array(own[has])], [*by, "token", "n"])
+
+    schema = StructType([*(StructField(c, StringType()) for c in by), StructField("token", StringType()), StructField("n", LongType())])
+    parts = texts.where(t.not_blank(text)).select(key.alias("k"), F.encode(text, "UTF-8").alias("b")).mapInArrow(run, schema)
+    return parts.groupBy(*by, "token").agg(F.sum("n").alias("n"))
+
+
 def vocabulary_sizes(counts: DataFrame, given: Mapping[str, int] = CLOSED) -> DataFrame:
     """tokenizer, vocab_size: as given, or the number of tokens that the counts (one row each) have."""
     known = F.coalesce(*(F.when(F.col("tokenizer") == n, F.lit(size)) for n, size in given.items()), F.lit(None)).cast("bigint")
@@ -92,13 +132,23 @@ def roll_up(counts: DataFrame) -> DataFrame:
     return counts.groupBy("tokenizer", "token").agg(F.sum("n").alias("n"))
 
 
+def least_sizes(tokens: DataFrame) -> DataFrame:
+    """tokenizer, vocab_size: one more than the greatest id of vocabulary_of(tokens); ids begin at 0 without gaps, so none is made."""
+    return tokens.groupBy("tokenizer").agg(F.count("*").alias("vocab_size"))
+
+
 def vocabulary(tokenized: DataFrame) -> DataFrame:
     """tokenizer, token, token_id: ids from 0 in the order of the tokens' bytes.
 
     Ranks are taken inside buckets of the first two bytes, then shifted by the tokens of the buckets before:
     no task sorts a whole vocabulary.
     """
-    tokens = tokenized.select("tokenizer", F.explode("tokens").alias("token")).distinct()
+    return vocabulary_of(tokenized.select("tokenizer", F.explode("tokens").alias("token")).distinct())
+
+
+def vocabulary_of(tokens: DataFrame) -> DataFrame:
+    """vocabulary() of distinct tokens (tokenizer, token), as token_counts by tokenizer has them."""
+    tokens = tokens.select("tokenizer", "token")
     bucket = tokens.withColumn("bucket", F.substring(F.hex(F.encode("token", "UTF-8")), 1, 4))
     before = Window.partitionBy("tokenizer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = bucket.groupBy("tokenizer", "bucket").agg(F.count("*").alias("size")).withColumn("shift", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")

@@ -30,12 +30,12 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tk.token_counts(tokens(spark, sf_dir))
+    return tk.token_counts_of(spread(documents(spark, sf_dir)))
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each token over all languages, in one aggregate of the tokens."""
-    return tk.token_counts(tokens(spark, sf_dir), ("tokenizer",))
+    return tk.token_counts_of(spread(documents(spark, sf_dir)), by=("tokenizer",))
 
 
 def digest(tokens: Column) -> Column:

@@ -20,6 +20,10 @@ def by(df, *keys):
     return {tuple(r[k] for k in keys): r for r in df.collect()}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blank_texts_are_skipped(texts):
     assert tk.tokenize(texts, ("whitespace",)).count() == 3
     assert tk.text_stats_of(texts).count() == 9
@@ -31,6 +35,30 @@ def test_both_ways_to_stats_agree(texts):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("by", [("tokenizer", "lang"), ("tokenizer",)])
+def test_both_ways_to_counts_agree(spark, texts, by):
+    more = texts.union(spark.createDataFrame([(None, 7, "no language \x00"), ("de", 8, "äöü🙂"), ("en", 9, "again")], texts.schema))
+    for rows in (more, more.where("doc_id = 4")):
+        a, b = tk.token_counts(tk.tokenize(rows), by), tk.token_counts_of(rows, by=by)
+        assert a.dtypes == b.dtypes and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert "regexp_extract_all(hex" not in plan(tk.token_counts_of(more, by=by))
+    total = tk.token_counts_of(more, by=("tokenizer",))
+    assert by_size(tk.least_sizes(total)) == by_size(tk.vocabulary_of(total).groupBy("tokenizer").agg((F.max("token_id") + 1).alias("vocab_size")))
+    assert "Window" not in plan(tk.least_sizes(total))
+
+
+def by_size(df):
+    return {r["tokenizer"]: r["vocab_size"] for r in df.collect()}
+
+
+def test_groups_move_no_rows(spark, texts):
+    """A join by language would bring all rows of one to one task."""
+    groups = gr.group_table(spark, {"k": {"g": ["en"]}})
+    langs = gr.Languages(spark, {"en": {}}, {"k": {"g": ["en"]}})
+    for found in (gr.by_group(texts, groups), gr.in_languages(texts, groups), langs.named(texts), langs.in_group(texts, "k")):
+        assert "SortMergeJoin" not in plan(found) and "BroadcastHashJoin" in plan(found)
+
+
 def test_fertility(texts):
     got = by(ms.fertility(tk.text_stats_of(texts)), "tokenizer")
     r = got["pieces",]
@@ -153,10 +181,6 @@ def test_validation(spark):
     assert va.require_valid(encoded.where("doc_id > 4"), size).count() == 0
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_validation_moves_no_texts(spark):
     """A join by the tokenizer's name would bring all entries to one task."""
     encoded = spark.createDataFrame([("t", "en", 1, "ab", [0, -1])], "tokenizer string, lang string, doc_id bigint, text string, token_ids array<int>")
@@ -182,3 +206,11 @@ def test_reports(spark, texts):
     assert math.isclose(by(values, "tokenizer", "metric")["whitespace", "fertility"]["value"], 1.0)
     with pytest.raises(ValueError):
         rp.union_of(tk.tokenize(texts), tk.tokenize(texts))
+
+
+def test_reports_measure_texts_once(spark, texts):
+    values = rp.all_values(tk.text_stats_of(texts), tk.token_counts_of(texts))
+    assert plan(values).count("(text#") > 0 and plan(values).count("explode(sizes") == 1  # twice if Gini measured them anew
+    gini = by(ms.gini(ms.language_costs(tk.text_stats_of(texts))), "tokenizer")
+    got = by(values.where("metric = 'gini'"), "tokenizer")
+    assert set(got) == set(gini) and all(got[k]["value"] == pytest.approx(gini[k]["gini"]) for k in gini)
