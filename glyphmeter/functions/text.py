@@ -229,5 +229,4 @@ def clean_tokens(tokens: Column) -> Column:
 
 
 def strip_punctuation(word: Column) -> Column:
-    cls = r"[.,!?;:\"()\[\]{}]+"
-    return F.regexp_replace(word, rf"^{cls}|{cls}\z", "")
+    return F.btrim(word, F.lit(PUNCTUATION))

@@ -13,13 +13,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from glyphmeter.functions.text import clean_tokens, split_words, strip_punctuation
 
 WORD_STARTS = ("Ġ", " ")
 NO_PUNCTUATION = r'[^.,!?;:"()\[\]{}]'
 LEAST_WORD = 2
+#: Special tokens as clean_marker knows them: Java's . is no line end, and its $ may be before one.
+_ENDS = r"\n\r\x{85}\x{2028}\x{2029}"
+SPECIAL = rf"^(?:<\||\[)[^{_ENDS}]*(?:\|>|\])(?:\r\n|[{_ENDS}])?$"
+SCORES = ("precision", "recall", "f1", "preservation", "over_segmentation")
 
 
 def ends(parts: Column) -> Column:
@@ -105,24 +109,60 @@ def morpheme_spans(word: str, morphemes: list[str]) -> list[tuple[int, int]]:
 def full_scores(words: DataFrame) -> DataFrame:
     """words (word, tokens, morphemes, ...) with scores, whether or not tokens spell the word.
 
-    Spans come from an Arrow function; everything after them is expressions.
+    A batch is scored at once over its flat arrays; only words that tokens or morphemes don't spell exactly are aligned
+    one at a time.
     """
-    cleaned = words.withColumn("tokens", clean_tokens(F.col("tokens"))).where("size(tokens) > 0 and size(morphemes) > 0")
-    ints = pa.list_(pa.int32())
+    schema = StructType([*words.schema.fields, *(StructField(n, DoubleType()) for n in SCORES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("word", "tokens", "morphemes")]
-            found, true = [], []
-            for word, tokens, morphemes in zip(*cols):
-                size = len(word)
-                found.append(sorted({b for _, b in token_spans(word, tokens)} - {size}))
-                true.append(sorted({b for _, b in morpheme_spans(word, morphemes)} - {size}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ints), pa.array(true, ints)], [*batch.schema.names, "found", "true"])
-
-    schema = StructType([*cleaned.schema.fields, StructField("found", ArrayType(IntegerType())), StructField("true", ArrayType(IntegerType()))])
-    scored = cleaned.mapInArrow(run, schema).withColumn("scores", boundary_scores(F.col("found"), F.col("true"), F.col("tokens"), F.col("morphemes")))
-    return scored.select("*", "scores.*").drop("scores", "found", "true")
+            yield _scored(batch)
+
+    return words.where("size(tokens) > 0 and size(morphemes) > 0").mapInArrow(run, schema)
+
+
+def _scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of a batch that have cleaned tokens and morphemes, with SCORES."""
+    lists = batch.column("tokens")
+    tokens = _cleaned(lists.flatten(), SPECIAL)
+    has = pc.fill_null(pc.not_equal(tokens, ""), False)
+    at = np.concatenate(([0], np.cumsum(has.to_numpy(zero_copy_only=False))))[_bounds(lists)]
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), tokens.filter(has))
+    batch = batch.set_column(batch.schema.get_field_index("tokens"), "tokens", lists.cast(batch.schema.field("tokens").type))
+    batch = batch.filter(pa.array(np.diff(at) > 0))
+    word, size = batch.column("word"), batch.num_rows
+    flat = [batch.column(c).flatten() for c in ("tokens", "morphemes")]
+    k, m = counts = [pc.list_value_length(batch.column(c)).to_numpy() for c in ("tokens", "morphemes")]
+    rows = [np.repeat(np.arange(size), n) for n in counts]
+    # where the parts spell the word as it is written, their ends are running sums
+    lengths = [pc.fill_null(pc.utf8_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in flat]
+    spells = [pc.fill_null(pc.equal(pc.binary_join(batch.column(c), ""), word), False).to_numpy(zero_copy_only=False) for c in ("tokens", "morphemes")]
+    spells[1] &= np.bincount(rows[1], lengths[1] == 0, size) == 0
+    other = np.flatnonzero(~(spells[0] & spells[1]))
+    bounds = []
+    for part in (0, 1):
+        sums, first = np.cumsum(lengths[part]), np.concatenate(([0], np.cumsum(counts[part])))
+        end = sums - np.concatenate(([0], sums))[first[:-1]][rows[part]]
+        inside = np.ones(len(end), np.bool_)
+        inside[first[1:] - 1] = False
+        inside[np.isin(rows[part], other)] = False
+        bounds.append([rows[part][inside] << 32 | end[inside]])
+    if len(other):
+        rest = batch.take(pa.array(other))
+        for row, w, ts, ms in zip(other, *(rest.column(c).to_pylist() for c in ("word", "tokens", "morphemes"))):
+            for part, found in enumerate((token_spans(w, ts), morpheme_spans(w, ms))):
+                bounds[part].append(np.array(sorted({b for _, b in found} - {len(w)}), np.int64) | (int(row) << 32))
+    found, true = (np.concatenate(x) for x in bounds)
+    per_row = lambda keys: np.bincount(keys >> 32, minlength=size)
+    tp, nf, nt = per_row(found[np.isin(found, true)]), per_row(found), per_row(true)
+    same = pa.concat_arrays([x.cast(pa.string()) for x in flat]).dictionary_encode()
+    code, kinds = same.indices.fill_null(-1).to_numpy(), len(same.dictionary)
+    is_token, is_morpheme = rows[0] * kinds + code[: len(rows[0])], rows[1] * kinds + code[len(rows[0]) :]
+    kept = np.bincount(rows[1][np.isin(is_morpheme, is_token) & (code[len(rows[0]) :] >= 0)], minlength=size)
+    share = lambda a, b: np.divide(a, b, out=np.zeros(size), where=b > 0)
+    precision, recall = share(tp, nf), share(tp, nt)
+    scores = (precision, recall, share(2 * precision * recall, precision + recall), share(kept, m), share(np.maximum(k - m, 0), m))
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], [*batch.schema.names, *SCORES])
 
 
 # -- words and tokens of whole texts ------------------------------------------------------------------
@@ -175,11 +215,11 @@ def _fold(batch: pa.RecordBatch, key: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(index[heads], pa.int32()), words.take(pa.array(word_at[row[heads]] + index[heads])), found], [*key, "word_index", "word", "tokens"])
 
 
-def _cleaned(tokens: pa.Array) -> pa.Array:
+def _cleaned(tokens: pa.Array, special: str = r"(?s)^(<\||\[).*(\|>|\])$") -> pa.Array:
     """clean_marker of each token."""
     start = pc.match_substring_regex(tokens, "^[Ġ▁ ]")
     more, end, split = pc.starts_with(tokens, "##"), pc.ends_with(tokens, "</w>"), pc.ends_with(tokens, "@@")
-    special = pc.match_substring_regex(tokens, r"(?s)^(<\||\[).*(\|>|\])$")
+    special = pc.match_substring_regex(tokens, special)
     cut = lambda a, b: pc.utf8_slice_codeunits(tokens, a, b)
     return pc.case_when(pc.make_struct(start, more, end, split, special), cut(1, None), cut(2, None), cut(0, -4), cut(0, -2), pa.array([""] * len(tokens)), tokens)
 
@@ -195,7 +235,7 @@ def lookup_morphemes(words: DataFrame, lexicon: DataFrame, codes: DataFrame) ->
     names = words.select("lang").distinct().join(have.withColumn("own", F.lit(True)), "lang", "left").join(known, "lang", "left")
     names = names.select("lang", F.when(F.col("own"), F.col("lang")).otherwise(F.col("other")).alias("in_lexicon"))
     renamed = best.withColumnRenamed("lang", "in_lexicon")
-    return words.join(names, "lang").withColumn("low", F.lower("word")).join(renamed, ["in_lexicon", "low"]).drop("in_lexicon", "low")
+    return words.join(F.broadcast(names), "lang").withColumn("low", F.lower("word")).join(renamed, ["in_lexicon", "low"]).drop("in_lexicon", "low")
 
 
 def infer_morphemes(base: Column, derived: Column, process: Column) -> Column:
@@ -219,9 +259,9 @@ def infer_morphemes(base: Column, derived: Column, process: Column) -> Column:
 
 def summarise(scored: DataFrame) -> DataFrame:
     """tokenizer, lang, metric: count, mean and population std of each score."""
-    names = ("precision", "recall", "f1", "preservation", "over_segmentation")
-    long = scored.select("tokenizer", "lang", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("tokenizer", "lang", "x.*")
-    return long.groupBy("tokenizer", "lang", "metric").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    figures = [F.struct(F.lit(n).alias("metric"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std")) for n in SCORES]
+    wide = scored.groupBy("tokenizer", "lang").agg(F.count("*").alias("count"), F.array(*figures).alias("x"))
+    return wide.select("tokenizer", "lang", "count", F.explode("x").alias("x")).select("tokenizer", "lang", "x.metric", "count", "x.mean", "x.std")
 
 
 MORPH_SCORES = ("morphscore_recall", "morphscore_precision", "micro_f1", "macro_f1")

@@ -23,7 +23,8 @@ _WORDS = f"words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, {_strip
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, word, n: the lower-cased words of at least two characters, without punctuation at their ends."""
-    each = spread(documents(spark, sf_dir)).select("lang", F.explode(t.split_words(F.lower("text"))).alias("w"))
+    # (outer: else Spark tests that there are words, and splits every text once more for that)
+    each = spread(documents(spark, sf_dir)).select("lang", F.explode_outer(t.split_words(F.lower("text"))).alias("w"))
     return each.select("lang", t.strip_punctuation(F.col("w")).alias("word")).where(F.length("word") >= mo.LEAST_WORD).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 

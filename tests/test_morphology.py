@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmeter.functions.text import clean_tokens, strip_punctuation
 from glyphmeter.operators import morphology as mo
+from glyphmeter.plans.registry import morphology as plans
 
 CASES = [
     ("walking", ["walk", "##ing"], ["walk", "ing"], 1.0, 1.0),
@@ -68,3 +70,58 @@ def test_lookup_by_code_and_priority(spark):
     codes = spark.createDataFrame([("en", "eng"), ("de", "deu")], "lang string, other string")
     got = {(r["lang"], r["word"]): r["morphemes"] for r in mo.lookup_morphemes(words, lexicon, codes).collect()}
     assert got == {("en", "Cats"): ["cat", "s"], ("de", "hund"): ["hund"]}
+
+
+def test_scores_of_batches_are_those_of_single_words(spark):
+    """Against plain Python, with marks, tokens that spell the word or don't, repeated and empty parts."""
+    import random
+
+    pick = random.Random(3)
+
+    def cut(w, n):
+        at = sorted(pick.randrange(len(w) + 1) for _ in range(n))
+        return [w[a:b] for a, b in zip([0, *at], [*at, len(w)])]
+
+    rows = []
+    for k in range(400):
+        w = "".join(pick.choice("abÀéß🙂İ") for _ in range(pick.randrange(1, 9)))
+        tokens, morphemes = cut(w, pick.randrange(4)), cut(w, pick.randrange(3))
+        tokens = [pick.choice(["", "##", "Ġ"]) + x for x in tokens] + pick.choice([[], [], ["[x|>"], ["[a\nb]"], ["<|a|>\n"], ["zz"], [None]])
+        rows.append((k, w, tokens, pick.choice([morphemes, morphemes, [x.upper() for x in morphemes], morphemes[::-1], []])))
+    df = spark.createDataFrame(rows, "k int, word string, tokens array<string>, morphemes array<string>")
+    cleaned = {r["k"]: r["c"] for r in df.select("k", clean_tokens(F.col("tokens")).alias("c")).collect()}
+    got = {r["k"]: r for r in mo.full_scores(df).collect()}
+    assert set(got) == {k for k, _, _, m in rows if cleaned[k] and m}
+    for k, w, _, m in rows:
+        if k in got:
+            t, r = cleaned[k], got[k]
+            found, true = ({b for _, b in f(w, x)} - {len(w)} for f, x in ((mo.token_spans, t), (mo.morpheme_spans, m)))
+            p, c = (len(found & true) / len(x) if x else 0.0 for x in (found, true))
+            assert r["tokens"] == t and (r["precision"], r["recall"], r["f1"]) == (p, c, 2 * p * c / (p + c) if p + c else 0.0)
+            assert r["preservation"] == sum(x in t for x in m) / len(m) and r["over_segmentation"] == max(len(t) - len(m), 0) / len(m)
+    assert "array_intersect" not in plan(mo.full_scores(df))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_split_once(spark):
+    assert plan(plans.words(spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 1
+
+
+def test_stripped_punctuation(spark):
+    import re
+
+    values = ["", "a", "...a.b!?", "(([x]))", "?!", ' ".a', "é:", None]
+    df = spark.createDataFrame([(v,) for v in values], "w string").select("w", strip_punctuation(F.col("w")).alias("s"))
+    cls = r"[.,!?;:\"()\[\]{}]+"
+    assert [r["s"] for r in df.collect()] == [None if v is None else re.sub(rf"^{cls}|{cls}\Z", "", v) for v in values]
+    assert "regexp" not in plan(df)
+
+
+def test_summary_of_scores(spark):
+    rows = [("t", "en", *(x,) * 5) for x in (0.0, 0.5, 1.0)]
+    scored = spark.createDataFrame(rows, "tokenizer string, lang string, " + ", ".join(f"{c} double" for c in mo.SCORES))
+    got = mo.summarise(scored)
+    assert got.columns == ["tokenizer", "lang", "metric", "count", "mean", "std"] and {(r["metric"], r["count"], r["mean"]) for r in got.collect()} == {(c, 3, 0.5) for c in mo.SCORES}
