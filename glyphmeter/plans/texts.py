@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmeter.functions import text as t
 from glyphmeter.operators import tokenized as tk
 from glyphmeter.plans import sql
-from glyphmeter.plans.common import digest, tokens
+from glyphmeter.plans.common import digest, tokens, totals
 from glyphmeter.plans.registry import QUERIES, ORACLES, documents, query
 
 _JOINED = "md5(array_to_string({}, '␟'))"
@@ -141,13 +141,13 @@ _VOCAB = f"{sql.TOK}, v AS (SELECT tokenizer, token, (dense_rank() OVER (PARTITI
 @query(f"WITH {_VOCAB} SELECT tokenizer, token, token_id FROM v")
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all tokens of each tokenizer."""
-    return tk.vocabulary(tokens(spark, sf_dir))
+    return tk.vocabulary_of(totals(spark, sf_dir))
 
 
 @query(f"WITH {_VOCAB} SELECT tokenizer, (max(token_id) + 1)::BIGINT AS vocab_size FROM v GROUP BY tokenizer")
 def vocab_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least size of a vocabulary that holds every id."""
-    return tk.vocabulary(tokens(spark, sf_dir)).groupBy("tokenizer").agg((F.max("token_id") + 1).alias("vocab_size"))
+    return tk.least_sizes(totals(spark, sf_dir))
 
 
 @query(f"WITH tok AS ({sql.tokens(('pieces',))}) SELECT tokenizer, doc_id, len(tokens)::BIGINT AS n_tokens, {_JOINED.format('tokens')} AS digest FROM tok")
