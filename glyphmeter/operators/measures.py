@@ -174,6 +174,12 @@ def language_costs(stats: DataFrame, unit: str | None = None, by: Sequence[str]
     return stats.where("not_blank").groupBy(*by).agg((F.sum("n_tokens") / F.sum(n)).alias("cost"))
 
 
+def gini_value(n: Column) -> Column:
+    """The aggregate of gini() over costs that have their rank i among n."""
+    total = F.sum("cost")
+    return F.when((n < 2) | (total <= 0), 0.0).otherwise(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("cost")) / (n * total))
+
+
 def gini(costs: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """Fairness of the costs of a tokenizer's languages: 0 if all are equal.
 
@@ -181,10 +187,10 @@ def gini(costs: DataFrame, by: Sequence[str] = TOKENIZER) -> DataFrame:
     """
     w = Window.partitionBy(*by)
     ranked = costs.select("*", F.row_number().over(w.orderBy("cost", "lang")).alias("i"), F.count("*").over(w).alias("n"))
-    total, n = F.sum("cost"), F.first("n")
+    n = F.first("n")
     few = n < 2
     return ranked.groupBy(*by).agg(
-        F.when(few | (total <= 0), 0.0).otherwise(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("cost")) / (n * total)).alias("gini"),
+        gini_value(n).alias("gini"),
         F.when(few, 0.0).otherwise(F.avg("cost")).alias("mean_cost"),
         F.when(few, 0.0).otherwise(F.stddev_pop("cost")).alias("std_cost"),
         F.min("cost").alias("min_cost"),

@@ -58,13 +58,18 @@ def all_values(stats: DataFrame, counts: DataFrame, sizes: DataFrame | None = No
     ratios = {"fertility": F.col("n_tokens") / F.col("n_words"), "token_length": F.col("n_chars") / F.col("n_tokens"), "avg_tokens_per_line": F.col("n_tokens") / F.col("n_lines"), "compression_rate": F.lit(1.0) / F.col("n_tokens")}
     parts = [x for m, r in ratios.items() for x in (F.count(F.when(n, r)).alias(f"{m}_n"), F.sum(F.when(n, r)).alias(f"{m}_s"), F.sum(F.when(n, r * r)).alias(f"{m}_q"))]
     by_language = stats.groupBy("tokenizer", "lang").agg(*parts, (F.sum(F.when(F.col("not_blank"), F.col("n_tokens"))) / F.count(F.when(F.col("not_blank"), 1))).alias("cost"))
-    per_text = by_language.groupBy("tokenizer").agg(*(F.sum(c).alias(c) for c in by_language.columns if c[-2:] in ("_n", "_s", "_q")))
+    # one chain for both, the ranks of the costs beside the sums: else the texts would be measured for each
+    own = Window.partitionBy("tokenizer")
+    ranked = by_language.select("*", F.row_number().over(own.orderBy(F.asc_nulls_last("cost"), "lang")).alias("i"), F.count("cost").over(own).alias("n"))
+    languages = F.first("n")
+    sums = [F.sum(c).alias(c) for c in by_language.columns if c[-2:] in ("_n", "_s", "_q")]
+    per_text = ranked.groupBy("tokenizer").agg(*sums, F.when(languages > 0, ms.gini_value(languages)).alias("gini"))
 
     def mean(m: str) -> tuple[Column, Column]:
         k, s, q = (F.col(f"{m}_{x}") for x in "nsq")
         return s / k, F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / k) / (k - 1))) / F.sqrt(k.cast("double")))
 
-    texts = _long(per_text, {m: mean(m) for m in ratios})
+    texts = _long(per_text, {m: mean(m) for m in ratios} | {"gini": (F.col("gini"), None)}).where("metric <> 'gini' or value is not null")
     # all measures of the token distribution from one aggregate of its histogram of counts
     total = roll_up(counts)
     levels = total.groupBy("tokenizer", "n").agg(F.count("*").alias("k"))
@@ -86,8 +91,7 @@ def all_values(stats: DataFrame, counts: DataFrame, sizes: DataFrame | None = No
         spread = spread.join(sizes, "tokenizer")
     of_spread = {"renyi_1.0": F.col("h1"), "renyi_2.5": F.col("h25"), "avg_token_rank": F.col("rank"), "type_token_ratio": F.col("types") / F.col("tokens"), "vocabulary_utilization": F.col("types") / F.col("vocab_size")}
     tokens = _long(spread, {m: (x, None) for m, x in of_spread.items()})
-    fair = _long(ms.gini(by_language.where("cost is not null")), {"gini": (F.col("gini"), None)})
-    return texts.unionByName(tokens).unionByName(fair)
+    return texts.unionByName(tokens)
 
 
 def catalogue(spark) -> DataFrame:
