@@ -197,7 +197,7 @@ class Analysis:
         for i in self.inputs:
             own, vocab = i.tokenized(), i.vocab(self.spark)
             if vocab is None and i.rows is None:
-                vocab = tk.vocabulary(own)
+                vocab = kept(tk.vocabulary(own))
                 own = tk.encode_ids(own, vocab, keep=("lang", "text")).withColumnRenamed("token_ids", "tokens")
             else:
                 own = own.withColumn("tokens", numbers(F.col("tokens")))

@@ -40,6 +40,8 @@ CLOSED = {"bytes": 256, "characters": 1114112}
 STANDARD = ("bytes", "pieces", "whitespace")
 #: A vocabulary up to this size is held by every worker.
 HELD_BYTES = 32 << 20
+#: With a larger one, tokens are looked up in blocks of about this many.
+BLOCK_ITEMS = 1 << 20
 STATS = ("n_tokens", "n_chars", "n_bytes", "n_words", "n_lines", "not_blank")
 
 
@@ -147,81 +149,112 @@ def vocabulary(tokenized: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(tokens: DataFrame) -> DataFrame:
-    """vocabulary() of distinct tokens (tokenizer, token), as token_counts by tokenizer has them."""
-    tokens = tokens.select("tokenizer", "token")
+    """vocabulary() of distinct tokens (tokenizer, token), as token_counts by tokenizer has them; their n stays."""
+    more = [c for c in tokens.columns if c == "n"]
+    tokens = tokens.select("tokenizer", "token", *more)
     bucket = tokens.withColumn("bucket", F.substring(F.hex(F.encode("token", "UTF-8")), 1, 4))
     before = Window.partitionBy("tokenizer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = bucket.groupBy("tokenizer", "bucket").agg(F.count("*").alias("size")).withColumn("shift", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     rank = F.row_number().over(Window.partitionBy("tokenizer", "bucket").orderBy("token"))
-    return bucket.withColumn("rank", rank).join(shift, ["tokenizer", "bucket"]).select("tokenizer", "token", (F.col("rank") + F.col("shift") - 1).alias("token_id"))
+    return bucket.withColumn("rank", rank).join(shift, ["tokenizer", "bucket"]).select("tokenizer", "token", (F.col("rank") + F.col("shift") - 1).alias("token_id"), *more)
 
 
-def _held(vocab: DataFrame, most_bytes: int) -> dict[str, tuple[pa.Array, pa.Array]] | None:
-    """The tokens and ids of each tokenizer, if they are few enough to be held by every worker."""
+def _held(vocab: DataFrame, most_bytes: int, names: tuple[str, str]) -> dict[str, tuple[pa.Array, pa.Array]] | None:
+    """The tokens and ids of each tokenizer, in the order of names, if they are few enough to be held by every worker."""
     kept = vocab.select("tokenizer", "token", F.col("token_id").cast("bigint").alias("token_id")).persist()
     size = kept.agg(F.sum(F.octet_length("token") + 24)).first()[0] or 0
     table = kept.toArrow() if size <= most_bytes else None
     kept.unpersist()
     if table is None:
         return None
-    names = table.column("tokenizer").unique().to_pylist()
     own = lambda n: table.filter(pc.equal(table.column("tokenizer"), pa.scalar(n)))
-    return {n: tuple(own(n).column(c).combine_chunks() for c in ("token", "token_id")) for n in names}
+    return {n: tuple(own(n).column(c).combine_chunks() for c in names) for n in table.column("tokenizer").unique().to_pylist()}
 
 
-def _mapped(rows: DataFrame, column: str, change: Callable[[str, pa.Array], pa.Array], out: str, kind: str, keep: Sequence[str] = ()) -> DataFrame:
-    """tokenizer, doc_id, the columns `keep` and the changed lists of a column: nothing is shuffled."""
-    own = ("tokenizer", "doc_id", *keep)
-    schema = StructType([*(rows.schema[c] for c in own), StructField(out, ArrayType(StringType() if kind == "string" else LongType()))])
+def _changed(batch: pa.RecordBatch, own: Sequence[str], column: str, out: str, change: Callable[[str, pa.Array], pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a list, in batches of one tokenizer, with the list changed as a whole."""
+    batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column(column)), 0), 0))
+    for name in batch.column("tokenizer").unique().to_pylist():
+        part = batch.filter(pc.equal(batch.column("tokenizer"), pa.scalar(name)))
+        lists = part.column(column)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.ListArray.from_arrays(at, change(name, lists.flatten()))], [*own, out])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column(column)), 0), 0))
+
+def _translated(rows: DataFrame, vocab: DataFrame, column: str, out: str, names: tuple[str, str], kind: pa.DataType, change: Callable[[pa.Array, pa.Array, pa.Array], pa.Array], most_bytes: int, keep: Sequence[str], items: int | None) -> DataFrame:
+    """tokenizer, doc_id, the columns `keep` and the changed lists of a column.
+
+    names: the columns of the vocabulary that are looked up and given.  A vocabulary of up to most_bytes is held by every
+    worker and nothing is shuffled.  For a larger one, rows go to blocks of about BLOCK_ITEMS items; each block asks once
+    for every distinct item that it has, and gets its own small vocabulary: no list is taken apart and put together
+    again, and a frequent item counts once a block.
+    """
+    own, (key, value) = ("tokenizer", "doc_id", *keep), names
+    schema = StructType([*(rows.schema[c] for c in own), StructField(out, ArrayType(StringType() if value == "token" else LongType()))])
+    empty = (pa.array([], kind), pa.array([], pa.string() if value == "token" else pa.int64()))
+    held = _held(vocab, most_bytes, names)
+    if held is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _changed(batch, own, column, out, lambda name, items: change(items.cast(kind), *held.get(name, empty)))
+
+        return rows.select(*own, column).mapInArrow(run, schema)
+    if items is None:
+        items = rows.agg(F.sum(F.greatest(F.size(column), F.lit(0)))).first()[0] or 0
+    blocks = -(-items // BLOCK_ITEMS) or 1
+    block = F.pmod(F.xxhash64("tokenizer", "doc_id", F.slice(column, 1, 8)), F.lit(blocks)).alias("block")
+    placed = rows.select(block, *own, column).groupBy("block")
+
+    def ask(table: pa.Table) -> pa.Table:
+        made = []
+        for batch in table.combine_chunks().to_batches():
             for name in batch.column("tokenizer").unique().to_pylist():
-                part = batch.filter(pc.equal(batch.column("tokenizer"), pa.scalar(name)))
-                lists = part.column(column)
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.ListArray.from_arrays(at, change(name, lists.flatten()))], [*own, out])
+                asked = batch.filter(pc.equal(batch.column("tokenizer"), pa.scalar(name))).column(column).flatten().cast(kind).unique()
+                made.append(pa.table([pa.repeat(batch.column("block")[0], len(asked)), pa.repeat(pa.scalar(name, pa.string()), len(asked)), asked], ["block", "tokenizer", key]))
+        return pa.concat_tables(made).slice(0) if made else pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), empty[0]], ["block", "tokenizer", key])
+
+    def answer(table: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.filter(pc.is_valid(known.column(value))).combine_chunks()
+
+        def look(name: str, items: pa.Array) -> pa.Array:
+            mine = known.filter(pc.equal(known.column("tokenizer"), pa.scalar(name))).combine_chunks()
+            return change(items.cast(kind), *(pa.concat_arrays([*mine.column(c).chunks, none]) for c, none in zip(names, empty)))
+
+        made = [x for batch in table.combine_chunks().to_batches() for x in _changed(batch, own, column, out, look)]
+        return pa.Table.from_batches(made) if made else pa.table({c: table.column(c).slice(0, 0) for c in own} | {out: pa.array([], pa.list_(empty[1].type))})
 
-    return rows.select(*own, column).mapInArrow(run, schema)
+    asked = placed.applyInArrow(ask, StructType([StructField("block", LongType()), StructField("tokenizer", StringType()), StructField(key, StringType() if key == "token" else LongType())]))
+    # (left: then every block has an answer)
+    known = asked.join(vocab.select("tokenizer", *names), ["tokenizer", key], "left").select("block", "tokenizer", key, F.col(value).cast("string" if value == "token" else "bigint").alias(value))
+    return placed.cogroup(known.groupBy("block")).applyInArrow(answer, schema)
 
 
-def encode_ids(tokenized: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+def encode_ids(tokenized: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = (), items: int | None = None) -> DataFrame:
     """tokenizer, doc_id, the columns `keep`, token_ids: tokens replaced by their ids, in order; unknown ones by -1.
 
-    A vocabulary of up to most_bytes is held by every worker and nothing is shuffled; a larger one is joined.
+    A vocabulary of up to most_bytes is held by every worker and nothing is shuffled.  A larger one is used twice, and
+    should be kept; items: how many tokens there are, if that is known (else they are counted).
     """
-    held = _held(vocab, most_bytes)
-    if held is not None:
 
-        def change(name: str, tokens: pa.Array) -> pa.Array:
-            known, ids = held.get(name, (pa.array([], pa.string()), pa.array([], pa.int64())))
-            return pc.fill_null(ids.take(pc.index_in(tokens, known)), -1)
+    def change(tokens: pa.Array, known: pa.Array, ids: pa.Array) -> pa.Array:
+        return pc.fill_null(ids.take(pc.index_in(tokens, known)), -1)
 
-        return _mapped(tokenized, "tokens", change, "token_ids", "bigint", keep)
-    each = tokenized.select("tokenizer", "doc_id", *keep, F.posexplode("tokens").alias("pos", "token"))
-    known = each.join(vocab, ["tokenizer", "token"], "left").select("tokenizer", "doc_id", *keep, F.struct("pos", F.coalesce("token_id", F.lit(-1)).alias("id")).alias("x"))
-    return known.groupBy("tokenizer", "doc_id", *keep).agg(F.array_sort(F.collect_list("x")).alias("x")).select("tokenizer", "doc_id", *keep, F.col("x.id").alias("token_ids"))
+    return _translated(tokenized, vocab, "tokens", "token_ids", ("token", "token_id"), pa.string(), change, most_bytes, keep, items)
 
 
-def decode_ids(encoded: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+def decode_ids(encoded: DataFrame, vocab: DataFrame, most_bytes: int = HELD_BYTES, keep: Sequence[str] = (), items: int | None = None) -> DataFrame:
     """tokenizer, doc_id, the columns `keep`, tokens: ids replaced by their tokens, unknown ones by <UNK_id>; see encode_ids."""
-    held = _held(vocab, most_bytes)
-    if held is not None:
 
-        def change(name: str, ids: pa.Array) -> pa.Array:
-            tokens, known = held.get(name, (pa.array([], pa.string()), pa.array([], pa.int64())))
-            ids = ids.cast(pa.int64())
-            unknown = pc.binary_join_element_wise("<UNK_", ids.cast(pa.string()), ">", "")
-            return pc.coalesce(tokens.take(pc.index_in(ids, known)), unknown)
-
-        return _mapped(encoded, "token_ids", change, "tokens", "string", keep)
-    each = encoded.select("tokenizer", "doc_id", *keep, F.posexplode("token_ids").alias("pos", "token_id"))
-    known = each.join(vocab, ["tokenizer", "token_id"], "left")
-    token = F.coalesce("token", F.concat(F.lit("<UNK_"), F.col("token_id").cast("string"), F.lit(">")))
-    grouped = known.groupBy("tokenizer", "doc_id", *keep).agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token")))).alias("x"))
-    return grouped.select("tokenizer", "doc_id", *keep, F.col("x.token").alias("tokens"))
+    def change(ids: pa.Array, known: pa.Array, tokens: pa.Array) -> pa.Array:
+        found = tokens.take(pc.index_in(ids, known))
+        if not found.null_count:
+            return found
+        unknown = pc.binary_join_element_wise("<UNK_", ids.filter(pc.is_null(found)).cast(pa.string()), ">", "")
+        return pc.replace_with_mask(found, pc.is_null(found), unknown)
+
+    return _translated(encoded, vocab, "token_ids", "tokens", ("token_id", "token"), pa.int64(), change, most_bytes, keep, items)
 
 
 def truncate(tokens: Column, most: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmeter.functions import text as t
 from glyphmeter.operators import tokenized as tk
+from glyphmeter.operators.analysis import kept
 from glyphmeter.plans import sql
 from glyphmeter.plans.common import digest, tokens, totals
 from glyphmeter.plans.registry import QUERIES, ORACLES, documents, query
@@ -141,7 +142,7 @@ _VOCAB = f"{sql.TOK}, v AS (SELECT tokenizer, token, (dense_rank() OVER (PARTITI
 @query(f"WITH {_VOCAB} SELECT tokenizer, token, token_id FROM v")
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all tokens of each tokenizer."""
-    return tk.vocabulary_of(totals(spark, sf_dir))
+    return tk.vocabulary_of(totals(spark, sf_dir)).drop("n")
 
 
 @query(f"WITH {_VOCAB} SELECT tokenizer, (max(token_id) + 1)::BIGINT AS vocab_size FROM v GROUP BY tokenizer")
@@ -154,8 +155,9 @@ def vocab_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids turned back to tokens: what was encoded comes back."""
     tok = tokens(spark, sf_dir, ("pieces",))
-    vocab = tk.vocabulary(tok)
-    decoded = tk.decode_ids(tk.encode_ids(tok, vocab), vocab)
+    vocab = kept(tk.vocabulary_of(tk.token_counts(tok, ("tokenizer",))))
+    items = vocab.agg(F.sum("n")).first()[0] or 0
+    decoded = tk.decode_ids(tk.encode_ids(tok, vocab, items=items), vocab, items=items)
     return decoded.select("tokenizer", "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), digest(F.col("tokens")).alias("digest"))
 
 

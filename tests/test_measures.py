@@ -214,3 +214,20 @@ def test_reports_measure_texts_once(spark, texts):
     gini = by(ms.gini(ms.language_costs(tk.text_stats_of(texts))), "tokenizer")
     got = by(values.where("metric = 'gini'"), "tokenizer")
     assert set(got) == set(gini) and all(got[k]["value"] == pytest.approx(gini[k]["gini"]) for k in gini)
+
+
+def test_ids_by_blocks(spark, monkeypatch):
+    """Rows with equal keys stay apart, whatever their block; items are asked for once a block, not shuffled one by one."""
+    monkeypatch.setattr(tk, "BLOCK_ITEMS", 64)
+    rows = [(f"t{k % 2}", k % 40, [f"w{(k * j) % 17}" for j in range(k % 9)] + [None] * (k % 2), "l") for k in range(90)]
+    tok = spark.createDataFrame(rows, "tokenizer string, doc_id bigint, tokens array<string>, lang string")
+    vocab = tk.vocabulary(tok.where("doc_id < 30")).where("token <> 'w3'")
+    both = []
+    for most in (tk.HELD_BYTES, 0):
+        ids = tk.encode_ids(tok, vocab, most, keep=("lang",))
+        back = tk.decode_ids(ids, vocab, most, keep=("lang",))
+        both.append([sorted(map(repr, x.collect())) for x in (ids, back)])
+    assert both[0] == both[1] and len(both[0][0]) == sum(bool(r[2]) for r in rows)
+    assert "collect_list" not in plan(back) and "posexplode" not in plan(back)
+    none = tk.encode_ids(tok.where("false"), vocab, 0)
+    assert none.collect() == [] and none.dtypes[-1] == ("token_ids", "array<bigint>")
