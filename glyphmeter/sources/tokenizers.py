@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass
 
 SPECIALS = ("<s>", "</s>", "<unk>", "<pad>")
+#: How ByteLevel splits a text.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of which not every version of Unicode need say the same, and runs that take more than linear time.
+_APART = re.compile("[^\x00-\u024f\u2010-\u2027]|\\s{1000}")
 
 
 @dataclass(frozen=True)
@@ -57,6 +62,36 @@ def _byte_level(path: str):
     return tok
 
 
+def byte_ranks(spec: str) -> tuple[dict[bytes, int], list[str]] | None:
+    """The bytes and id of each token of a plain byte-level BPE, and the added tokens; None for any other tokenizer.
+
+    tiktoken merges any two neighbours whose bytes are a token; `tokenizers` only the pair that the token was made from.
+    Both give the same ids if every token comes from one pair, ids rise with the merges, and each token encodes to itself.
+    """
+    from tokenizers import Tokenizer
+
+    d = json.loads(spec)
+    model, pre = d["model"], d.get("pre_tokenizer") or {}
+    odd = [*(d.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")), *(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))]
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(odd):
+        return None
+    vocab, printed = model["vocab"], [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    rising = made == sorted(set(made)) and -1 not in made
+    if not rising or len(vocab) != 256 + len(made) or any(c not in vocab for c in byte) or any(c not in byte for x in vocab for c in x):
+        return None
+    own = Tokenizer.from_str(spec).model
+    if any(len(own.tokenize(x)) != 1 for x in vocab):
+        return None
+    return {bytes(byte[c] for c in x): i for x, i in vocab.items()}, [x["content"] for x in d.get("added_tokens") or []]
+
+
+def alike(text: str, added: list[str]) -> bool:
+    """Whether a byte-level text is surely encoded alike, and in linear time, by tiktoken."""
+    return _APART.search(text) is None and not any(x in text for x in added) and len(max(text.split(), key=len, default="")) < 1000
+
+
 def load_all(config: dict) -> list[TokenizerSpec]:
     """From {name: path} or {name: {"path": path}}."""
     return [load(n, c if isinstance(c, str) else c["path"]) for n, c in config.items()]

@@ -92,3 +92,28 @@ def test_streams_add_up(spark, tmp_path):
     totals = st.streaming_totals(stream).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     totals.awaitTermination(120)
     assert spark.table("totals").where("tokenizer = 'whitespace'").first()["tokens"] == 40
+
+
+def test_quick_encoding_is_the_same(spark, tmp_path):
+    """What tiktoken encodes, and what is left to the tokenizers library, against the latter alone; other files are left to it."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    from glyphmeter.operators.tokenized import encode_with_file
+    from glyphmeter.sources.tokenizers import alike, byte_ranks
+
+    path, pick = "/opt/tokenizers/byte_bpe_50k.json", random.Random(1)
+    spec = open(path, encoding="utf-8").read()
+    ranks, added = byte_ranks(spec)
+    assert len(ranks) == 50256 and added == ["<|endoftext|>"]
+    changed = json.loads(spec)
+    changed["model"]["merges"][5:7] = changed["model"]["merges"][6:4:-1]
+    assert byte_ranks(json.dumps(changed)) is None and byte_ranks(json.dumps(changed | {"normalizer": {"type": "NFC"}})) is None
+    chars = [chr(c) for c in range(0x250)] + list("  \n\t aeinrst'lv") * 20
+    texts = ["".join(pick.choice(chars) for _ in range(60)) for _ in range(300)] + ["we'll  go\n\n on", "a<|endoftext|>b", "x" * 5000, " " * 3000 + "a", "漢字 🙂 é"]
+    assert [alike(x, added) for x in texts[-5:]] == [True, False, False, False, False] and all(alike(x, added) for x in texts[:300])
+    got = {r["doc_id"]: r["tokens"] for r in encode_with_file(spark.createDataFrame([("en", k, x) for k, x in enumerate(texts)], "lang string, doc_id bigint, text string"), path, "b").collect()}
+    tok = Tokenizer.from_file(path)
+    assert got == {k: tok.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts)}
